@@ -33,9 +33,9 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 24_000
 #: Words and stems with a weight of their own at most, by significance.
 LEXICON = 20_000
-#: Documents' worth of prior counts; z and log-odds from which a word has a weight of its own.
-PRIOR, MIN_Z, MIN_ODDS = 10.0, 2.5, 2.0
-STEMS = (7, 6)
+#: Documents' worth of prior counts; z (of a word, of a stem) and log-odds from which there is a weight of its own.
+PRIOR, MIN_Z, MIN_Z_STEM, MIN_ODDS = 10.0, 2.5, 3.5, 1.3
+STEMS = (7, 6, 5, 4)
 MEMO_WORDS = 400_000
 #: Bounds of the evidence of a single segment.
 FAR = 12.0
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     odds = lambda y, n: F.log((y + PRIOR * share) / (n + PRIOR - y - PRIOR * share))
     delta = odds(F.col("t"), F.lit(float(total.t))) - odds(F.col("c"), F.lit(float(total.c)))
     z = delta / F.sqrt(1 / (F.col("t") + PRIOR * share) + 1 / (F.col("c") + PRIOR * share))
-    told = counts.where("kind < 2 AND t + c > 1").select("word", "kind", delta.alias("delta"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_ODDS))
+    told = counts.where("kind < 2 AND t + c > 1").select("word", "kind", delta.alias("delta"), z.alias("z")).where((F.col("z") >= F.when(F.col("kind") == 0, MIN_Z).otherwise(MIN_Z_STEM)) & (F.col("delta") >= MIN_ODDS))
     rows = told.orderBy(F.col("z").desc(), "word", "kind").limit(lexicon).collect()
     counts.unpersist()
     bound = 6.0
