@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irloom.llm import bpe, langid, minhash, packing, quality, sql, toxicity
+from irloom.llm import bpe, langid, minhash, packing, quality, sql, topk, toxicity, vectors
 from irloom.llm.common import crc_mod, read
 
 
@@ -22,6 +22,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
     model = langid.fit(docs.where(~held_out))
@@ -32,6 +36,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 1
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held_out))
@@ -44,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_quality, op6_language_id, op7_minhash, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

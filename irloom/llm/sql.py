@@ -23,4 +23,34 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.d
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op7_minhash": OP7_MINHASH}
+OP5_TOPK = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP8_VECTORS = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), both AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), reach AS (
+  SELECT a AS node, b AS other FROM both
+  UNION SELECT r.node, e.b FROM reach r JOIN both e ON e.a = r.other
+), lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts ON a = e.vec_id LEFT JOIN lowest ON node = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS}
