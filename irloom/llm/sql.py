@@ -14,15 +14,39 @@ pairs AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * m >= 75 * (p.n + q.n - m)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
-  SELECT a AS node, b AS other FROM both
-  UNION SELECT r.node, e.b FROM reach r JOIN both e ON e.a = r.other
+  SELECT a AS node, b AS other FROM sides
+  UNION SELECT r.node, e.b FROM reach r JOIN sides e ON e.a = r.other
 ), lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = d.doc_id
 """
 
+OP1_LM_SCORING = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+  SELECT doc_id, i, w[i] AS w0, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w2
+  FROM words, unnest(generate_series(1, len(w))) AS t(i)
+), c1 AS (SELECT w0, count(*) AS n FROM spots GROUP BY ALL),
+c2 AS (SELECT w1, w0, count(*) AS n FROM spots WHERE w1 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w2, w1, w0, count(*) AS n FROM spots WHERE w2 IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM spots),
+logs AS (
+  SELECT doc_id, CASE
+    WHEN t.n >= 2 THEN ln(t.n / cb.n)
+    WHEN b.n >= 2 THEN ln(b.n / cu.n) + CASE WHEN w2 IS NOT NULL THEN ln(0.4) ELSE 0 END
+    ELSE ln(u.n / total.n) + CASE WHEN w2 IS NOT NULL THEN 2 WHEN w1 IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS l
+  FROM spots JOIN c1 u USING (w0) CROSS JOIN total
+  LEFT JOIN c3 t ON t.w2 = spots.w2 AND t.w1 = spots.w1 AND t.w0 = spots.w0
+  LEFT JOIN c2 b ON b.w1 = spots.w1 AND b.w0 = spots.w0
+  LEFT JOIN c2 cb ON cb.w1 = spots.w2 AND cb.w0 = spots.w1
+  LEFT JOIN c1 cu ON cu.w0 = spots.w1
+), sums AS (SELECT doc_id, sum(l) AS s FROM logs GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score FROM words LEFT JOIN sums USING (doc_id)
+"""
+
 OP5_TOPK = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings
@@ -41,16 +65,16 @@ WITH RECURSIVE fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), both AS (
+), sides AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
   WHERE list_cosine_similarity(x.v, y.v) >= 0.9
 ), reach AS (
-  SELECT a AS node, b AS other FROM both
-  UNION SELECT r.node, e.b FROM reach r JOIN both e ON e.a = r.other
+  SELECT a AS node, b AS other FROM sides
+  UNION SELECT r.node, e.b FROM reach r JOIN sides e ON e.a = r.other
 ), lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node),
-counts AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+counts AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN counts ON a = e.vec_id LEFT JOIN lowest ON node = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS}
