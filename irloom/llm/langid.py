@@ -219,6 +219,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     spark = docs.sparkSession
     text_batches(spark)
     keep = keep or ["doc_id"]
+    at = keep.index("text") if "text" in keep else len(keep)
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary times the languages
@@ -229,7 +230,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         scorer = Scorer.of_worker(key, shared)
         for batch in batches:
             langs, scores = [], []
-            for total in scorer.score(batch.column(batch.num_columns - 1).to_pylist()):
+            for total in scorer.score(batch.column(at).to_pylist()):
                 if total is None:
                     langs.append("und")
                     scores.append(0.0)
@@ -240,4 +241,4 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)

@@ -36,8 +36,8 @@ total AS (SELECT count(*) AS n FROM spots),
 logs AS (
   SELECT doc_id, CASE
     WHEN t.n >= 2 THEN ln(t.n / cb.n)
-    WHEN b.n >= 2 THEN ln(b.n / cu.n) + CASE WHEN w2 IS NOT NULL THEN ln(0.4) ELSE 0 END
-    ELSE ln(u.n / total.n) + CASE WHEN w2 IS NOT NULL THEN 2 WHEN w1 IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS l
+    WHEN b.n >= 2 THEN ln(b.n / cu.n) + CASE WHEN spots.w2 IS NOT NULL THEN ln(0.4) ELSE 0 END
+    ELSE ln(u.n / total.n) + CASE WHEN spots.w2 IS NOT NULL THEN 2 WHEN spots.w1 IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS l
   FROM spots JOIN c1 u USING (w0) CROSS JOIN total
   LEFT JOIN c3 t ON t.w2 = spots.w2 AND t.w1 = spots.w1 AND t.w0 = spots.w0
   LEFT JOIN c2 b ON b.w1 = spots.w1 AND b.w0 = spots.w0

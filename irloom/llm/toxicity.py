@@ -264,6 +264,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
     spark = docs.sparkSession
     text_batches(spark)
     keep = keep or ["doc_id"]
+    at = keep.index("text") if "text" in keep else len(keep)
     schema = docs.select(*keep).schema.add("score", "double")
     if passages:
         schema = schema.add("passages", "array<struct<first_word:int,end_word:int,score:double,surprise:double>>")
@@ -273,11 +274,11 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             cols = [*batch.columns[: len(keep)], pa.array([shared.value.probability(t) for t in texts], pa.float64())]
             if passages:
                 kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("surprise", pa.float64())]))
                 cols.append(pa.array([[dict(zip(("first_word", "end_word", "score", "surprise"), p, strict=True)) for p in shared.value.passages(t)[0]] for t in texts], kind))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
