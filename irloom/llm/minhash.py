@@ -11,9 +11,11 @@
 Lists of over HOT classes (a passage that many documents share, a large group of near
 copies) never emit all their pairs. Classes of which at most a third of the listed values
 are that common meet their partners in the short lists as well, so they leave the long
-ones. The others, mostly made of common content, meet in rounds: in each long list that
-still spans several components some leaders are compared with all its members, linked
-ones join a component, and a leader that has been compared with all leaves the list. A
+ones. Those with more are listed among themselves under their whole sketch, and leave
+the long lists if at most COMMON of it is common even there. The others, mostly made of
+common content, meet in rounds: in each long list that still spans several components
+some leaders are compared with all its members, linked ones join a component, and a
+leader that has been compared with all leaves the list. A
 list is done when those left are of one component; so no pair of different components
 goes uncompared, and a group of copies takes a few rounds, not all its pairs.
 
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.llm.common import cut, text_batches
@@ -38,10 +41,12 @@ from irloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
 SKETCH, LISTED, HOT = 64, 24, 32
+#: Share of a sketch in long lists from which a class must meet others there, and in how many of them.
+COMMON, MET = 0.625, 12
 #: Four standard errors of the estimate below the threshold.
 SLACK = 4 * (0.75 * 0.25 / SKETCH) ** 0.5
 #: Leaders a long list gets in each round; the last number holds from then on.
-LEADERS = (1, 1, 4, 16, 64)
+LEADERS = (1, 4, 32, 128, 512)
 #: Ids of at most so many documents are broadcast to fetch their texts; beyond that the tables are joined by shuffle.
 BROADCAST_IDS = 200_000
 MEMO_WORDS = 600_000
@@ -136,14 +141,16 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.withColumn("whole", whole).where(F.when(whole, exact).otherwise(far)).select("a", "b", "whole")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets have the similarity, from the texts."""
     pairs = cut(pairs)
     sure, open_ = pairs.where("whole"), pairs.where("NOT whole").select("a", "b")
-    ids = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = cut(texts)
+    texts = cut(texts_of(docs, open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
 
     def run(batches):
         for batch in batches:
@@ -199,20 +206,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = shared.where(F.col("df") > HOT).groupBy("rep").agg(F.count("*").alias("hot"))
     lists = cut(shared.join(hot, "rep", "left").select("v", "rep", "n", "df", F.coalesce("hot", F.lit(0)).alias("hot")))
 
-    mostly = lists.where((F.col("df") > HOT) & (F.col("hot") * 3 > F.least(F.col("n"), F.lit(LISTED))))
-    again = mostly.groupBy("v").agg(F.count("*").alias("left"))
-    mostly = cut(mostly.join(again.where("left > 1"), "v"))
     rare = list_pairs(lists.where(F.col("df") <= HOT))
     # Without common values, a pair at the threshold shares about 18 of 24 listed values.
     rare = rare.where((F.col("overlaps") >= 6) | F.col("common") | (F.col("smaller") <= 2 * LISTED)).select("a", "b")
-    pairs = rare.union(list_pairs(mostly.where(F.col("left") <= HOT)).select("a", "b")).distinct()
-    links = long_list_links(mostly.where(F.col("left") > HOT), classes, docs)
+
+    # Classes with much common content are listed under their whole sketch, among themselves.
+    mixed = lists.where(F.col("hot") * 3 > F.least(F.col("n"), F.lit(LISTED))).select("rep").distinct()
+    whole = cut(classes.join(mixed, "rep").select("rep", "n", F.posexplode("sketch").alias("at", "v")))
+    again = cut(whole.join(whole.groupBy("v").agg(F.count("*").alias("left")).where("left > 1"), "v"))
+    heavy = again.where(F.col("left") > HOT).groupBy("rep").agg(F.count("*").alias("hot"))
+    again = again.join(heavy, "rep", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    short = list_pairs(again.where(F.col("left") <= HOT).select("v", "rep", "n", "hot"))
+    # At most COMMON of a sketch is common here, so a pair at the threshold shares about 8 other values.
+    short = short.where((F.col("overlaps") >= 2) | (F.col("smaller") <= 2 * SKETCH)).select("a", "b")
+
+    # What is left is made of common content: it meets in the long lists of its smallest common values.
+    mostly = again.where((F.col("left") > HOT) & (F.col("hot") > COMMON * F.least(F.col("n"), F.lit(SKETCH))))
+    mostly = mostly.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("at"))).where(F.col("r") <= MET).select("v", "rep", "n", "hot")
+    mostly = cut(mostly)
+    mostly = cut(mostly.join(mostly.groupBy("v").agg(F.count("*").alias("left")).where("left > 1"), "v"))
+    pairs = rare.union(short).union(list_pairs(mostly.where(F.col("left") <= HOT)).select("a", "b")).distinct()
+    long_ = mostly.where(F.col("left") > HOT)
+    texts = cut(texts_of(docs, long_.select(F.col("rep").alias("doc_id")).distinct()))
+    links = long_list_links(long_, classes, texts)
     links.append(confirmed(estimated(pairs, classes), docs))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
     found = components(every)
-    whole = first.select("sig", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(whole, "sig", "left")
+    by_sig = first.select("sig", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
