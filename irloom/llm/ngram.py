@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from irloom.llm.common import Numbering, cut, text_batches, text_blocks
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 18 << 20
 #: n-grams of a bucket, about, and buckets at most.
 BUCKET_NGRAMS, MOST_BUCKETS = 3_000_000, 20_000
-SPARE = 24
+SPARE = 20
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
