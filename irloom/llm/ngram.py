@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from irloom.llm.common import Numbering, cut, text_batches, text_blocks
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_BYTES = 18 << 20
+BLOCK_BYTES = 16 << 20
 #: n-grams of a bucket, about, and buckets at most.
 BUCKET_NGRAMS, MOST_BUCKETS = 3_000_000, 20_000
 SPARE = 20
@@ -63,17 +63,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def hashes(words: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
-    """For n from 1 to order the hash of the n-gram that ends at each position; of those within one text (see `places`)."""
-    out = []
+def hashes(words: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The hash of the n-gram that ends at each of the given places."""
     with np.errstate(over="ignore"):
-        for n in range(1, order + 1):
-            at = places(lengths, n)
-            h = np.full(len(at), n, np.uint64) * FACTORS[-1]
-            for i in range(n):
-                h = h + words[at - i] * FACTORS[i]
-            out.append(mixed(h) >> np.uint64(64 - bits))
-    return out
+        h = np.full(len(at), n, np.uint64) * FACTORS[-1]
+        for i in range(n):
+            h += words[at - i] * FACTORS[i]
+        return mixed(h) >> np.uint64(64 - bits)
 
 
 def places(lengths: np.ndarray, n: int) -> np.ndarray:
@@ -100,9 +96,9 @@ def block_table(docs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, words binary, known binary, n_words long"))
 
 
-def of_block(lengths: bytes, words: bytes, known: bytes, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    sizes = unpacked(lengths, "<i4").astype(np.int64)
-    return sizes, hashes(unpacked(known, "<u8")[unpacked(words, "<i4")], sizes, order, bits)
+def of_block(lengths: bytes, words: bytes, known: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text, and the hash of every word."""
+    return unpacked(lengths, "<i4").astype(np.int64), unpacked(known, "<u8")[unpacked(words, "<i4")]
 
 
 def cuts(sorted_hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -123,15 +119,15 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, found = of_block(row["lengths"], row["words"], row["known"], order, bits)
-                own, times = np.unique(np.concatenate(found), return_counts=True)
-                del found
-                at = cuts(own, buckets, bits)
-                for first in range(0, buckets, 256):
-                    some = range(first, min(buckets, first + 256))
-                    steps = [packed(np.diff(own[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some]
-                    counts = [packed(times[at[b] : at[b + 1]].astype("<u4")) for b in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "block", "steps", "counts"])
+                sizes, words = of_block(row["lengths"], row["words"], row["known"])
+                for n in range(1, order + 1):  # one order at a time bounds memory
+                    own, times = np.unique(hashes(words, places(sizes, n), n, bits), return_counts=True)
+                    at = cuts(own, buckets, bits)
+                    for first in range(0, buckets, 256):
+                        some = range(first, min(buckets, first + 256))
+                        steps = [packed(np.diff(own[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some]
+                        counts = [packed(times[at[b] : at[b + 1]].astype("<u4")) for b in some]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([n] * len(some), pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "block", "n", "steps", "counts"])
 
     def answer(key, batches):
         table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
@@ -141,23 +137,20 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         got = np.bincount(which, given)[which].astype("<u8") if len(which) else np.zeros(0, "<u8")  # sums below 2**53 are exact
         ends = np.cumsum([len(a) for a in asked])
         replies = [packed(got[e - len(a) : e]) for a, e in zip(asked, ends, strict=True)]
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "sums": pa.array(replies, pa.binary())})
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "n": table.column("n"), "sums": pa.array(replies, pa.binary())})
 
     def settle(block, answers):
         ids, sizes_out, logs = [], [], []
         for row in block.to_pylist():
-            sizes, found = of_block(row["lengths"], row["words"], row["known"], order, bits)
-            _, which = np.unique(np.concatenate(found), return_inverse=True)
-            ends = np.cumsum([len(f) for f in found])[:-1]
-            by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("sums").to_pylist(), strict=True))
-            sums = np.concatenate([unpacked(s, "<u8") for _, s in by_bucket]) if by_bucket else np.zeros(0, "<u8")
-            per_order = [sums[w].astype(float) for w in np.split(which, ends)]
+            sizes, words = of_block(row["lengths"], row["words"], row["known"])
+            replies = sorted(zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("sums").to_pylist(), strict=True))
             log = np.zeros(int(sizes.sum()))
             done = np.zeros(len(log), bool)
-            counts, longest = [], np.zeros(len(log), np.int64)  # of the n-gram of each order that ends at a place; the longest order there
+            counts, longest = [], np.zeros(len(log), np.int8)  # of the n-gram of each order that ends at a place; the longest order there
             for n in range(1, order + 1):
                 c, at = np.zeros(len(log)), places(sizes, n)
-                c[at] = per_order[n - 1]
+                sums = np.concatenate([np.zeros(0, "<u8"), *(unpacked(r, "<u8") for m, _, r in replies if m == n)])
+                c[at] = sums[np.unique(hashes(words, at, n, bits), return_inverse=True)[1]]
                 longest[at] = n
                 counts.append(c)
             for n in range(order, 0, -1):
@@ -174,6 +167,6 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             logs += [float(np.sum(log[e - s : e])) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes_out, pa.int64()), "log_score": pa.array(logs, pa.float64())})
 
-    requests = table.drop("doc_ids", "n_words").mapInArrow(ask, "bucket int, block long, steps binary, counts binary")
-    replies = requests.groupBy("bucket").applyInArrow(answer, "bucket int, block long, sums binary")
+    requests = table.drop("doc_ids", "n_words").mapInArrow(ask, "bucket int, block long, n int, steps binary, counts binary")
+    replies = requests.groupBy("bucket").applyInArrow(answer, "bucket int, block long, n int, sums binary")
     return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle, "doc_id long, n_words long, log_score double")
