@@ -1 +1,108 @@
-"""Queries (to come)."""
+"""Queries of section M: page plans and texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from irloom.functions import scalar as s
+from irloom.functions.comment import structs_from_fields
+from irloom.operators import aggregate as a, incremental as inc, pages, query as q
+from irloom.plans.registry import query
+from irloom.plans.scalars import SLUG
+from irloom.sources.schema import FUNCTION_KINDS, RECORD_KINDS
+
+
+def _stem(name: str, tag: str = "") -> str:
+    room = 96 - (len(tag) + 1 if tag else 0)
+    x = SLUG.format(name)
+    return f"(CASE WHEN length({x}) > {room} THEN rtrim(left({x}, {room - 9}), '_') || '_' || left(sha256({name}), 8) ELSE {x} END || '{'_' + tag if tag else ''}')"
+
+
+def _case(values: dict[int, str], default: str = "") -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in values.items()) + f" ELSE '{default}' END"
+
+
+@query("m1_symbol_bodies", f"SELECT usr, '# ' || {_case(s.LABEL, 'Symbol')} || ' ' || qualified_name || chr(10) || chr(10) || '```{{' || {_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || '```' || chr(10) AS text FROM ir_symbols")
+def _(v):
+    return pages.symbol_body(v.symbols)
+
+
+def _comments(v):
+    name = F.when(F.col("name") == "user", "brief").otherwise("note")
+    return structs_from_fields(v.comment_fields.withColumn("name", name))
+
+
+@query("m2_comment_blocks", "SELECT symbol_usr, coalesce(nullif(max_by(value, ordinal) FILTER (WHERE name = 'user'), ''), '*No documentation.*') || chr(10) || chr(10) || coalesce(string_agg(':::{note}' || chr(10) || value || chr(10) || ':::', chr(10) || chr(10) ORDER BY ordinal) FILTER (WHERE name <> 'user'), '') || repeat(chr(10), 6) AS text FROM ir_comment_fields GROUP BY symbol_usr")
+def _(v):
+    return _comments(v).select("symbol_usr", pages.comment_block(F.col("comment")).alias("text"))
+
+
+@query("m3_field_lists", "SELECT conv_id AS symbol_usr, coalesce(string_agg(':param ' || role || ': ' || text, chr(10) ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id")
+def _(v):
+    rows = v.comment_fields.select("symbol_usr", F.lit("param").alias("name"), F.col("name").alias("arg"), "value", "ordinal")
+    return structs_from_fields(rows).select("symbol_usr", pages.field_list(F.col("comment")).alias("text"))
+
+
+@query("m4_index_pages", "SELECT kind, '# Index' || chr(10) || chr(10) || string_agg(qualified_name, chr(10) ORDER BY qualified_name) || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') = '' GROUP BY kind")
+def _(v):
+    return pages.index_page(q.roots(v.symbols).select("kind", F.col("qualified_name").alias("stem")), "Index", ["kind"])
+
+
+@query("m5_hub_pages", f"SELECT parent_usr, '```{{toctree}}' || chr(10) || string_agg({_stem('qualified_name')}, chr(10) ORDER BY kind, line, usr) || chr(10) || '```' || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3) GROUP BY parent_usr")
+def _(v):
+    return pages.hub_page(v.symbols.where("coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3)"))
+
+
+@query("m6_group_pages", "WITH m AS (SELECT group_id, string_agg('- ' || qualified_name, chr(10) ORDER BY ordinal) AS x FROM ir_group_members JOIN ir_symbols ON usr = member_usr GROUP BY group_id) SELECT id, '# ' || title || chr(10) || chr(10) || coalesce(x, '') AS text FROM ir_groups LEFT JOIN m ON group_id = id")
+def _(v):
+    return pages.group_page(v.groups, q.group_symbols(v.group_members, v.symbols))
+
+
+@query("m7_root_pages", f"SELECT usr, {_stem('qualified_name')} AS stem FROM ir_symbols WHERE coalesce(parent_usr, '') = ''")
+def _(v):
+    return pages.symbol_pages(v.symbols)
+
+
+@query("m8_file_pages", f"SELECT id, {_stem('path')} AS stem FROM ir_files f WHERE EXISTS (SELECT 1 FROM ir_symbols s WHERE s.file_id = f.id AND NOT EXISTS (SELECT 1 FROM ir_symbols p WHERE p.usr = s.parent_usr AND p.file_id = s.file_id))")
+def _(v):
+    return pages.file_pages(v.files, v.symbols)
+
+
+@query("m9_class_pages", f"SELECT usr, {_stem('qualified_name')} AS stem FROM ir_symbols WHERE kind IN (2, 3, 4, 16) UNION ALL SELECT usr, {_stem('qualified_name', 'ns')} FROM ir_symbols WHERE kind = 1 AND usr IN (SELECT parent_usr FROM ir_symbols WHERE kind NOT IN (1, 2, 3, 4, 16))")
+def _(v):
+    return pages.class_pages(v.symbols, RECORD_KINDS)
+
+
+@query("m10_namespace_pages", "SELECT coalesce(parent_usr, '') AS scope, CASE WHEN kind IN (5, 6, 7, 8, 15) THEN 'functions' WHEN kind = 1 THEN 'hub' WHEN kind IN (2, 3, 4, 16) THEN 'record' ELSE 'leaf' END AS page, count(*) AS n FROM ir_symbols GROUP BY 1, 2")
+def _(v):
+    page = F.when(F.col("kind").isin(FUNCTION_KINDS), "functions").when(F.col("kind") == 1, "hub").when(F.col("kind").isin(RECORD_KINDS), "record").otherwise("leaf")
+    return v.symbols.groupBy(F.coalesce("parent_usr", F.lit("")).alias("scope"), page.alias("page")).agg(F.count("*").alias("n"))
+
+
+@query("m11_degraded", "WITH c AS (SELECT kind, spelling, min_by(usr, (1 - is_documented, CASE WHEN coalesce(file_id, 0) = 0 THEN -1 ELSE file_id END, line, usr)) AS first FROM ir_symbols GROUP BY kind, spelling) SELECT usr, usr <> first AS degraded FROM ir_symbols JOIN c USING (kind, spelling)")
+def _(v):
+    first = a.canonical(v.symbols, ["kind", "spelling"]).withColumnRenamed("usr", "first")
+    return v.symbols.join(first, ["kind", "spelling"]).select("usr", (F.col("usr") != F.col("first")).alias("degraded"))
+
+
+@query("m12_rendered_pages")
+def _(v):
+    body = pages.symbol_body(v.symbols).select(F.col("usr").alias("stem"), F.sha2("text", 256).alias("fingerprint"), "text")
+    memo = body.where("stem LIKE 'p:%'")
+    return inc.memo_hits(body.select("stem", "fingerprint", F.col("text").alias("fresh")), memo).select("stem", F.coalesce("text", "fresh").alias("text"))
+
+
+@query("m13_member_pages")
+def _(v):
+    return pages.symbol_body(v.symbols.where(F.col("kind").isin(FUNCTION_KINDS)))
+
+
+@query("m14_file_texts")
+def _(v):
+    body = q.file_roots(v.symbols).join(pages.symbol_body(v.symbols), "usr")
+    return body.groupBy("file_id").agg(F.array_join(q.ordered(["kind", "line", "usr"], "text"), "\n").alias("text"))
+
+
+@query("k4_template_names", f"SELECT usr, CASE WHEN kind = 6 THEN 'custom-method' ELSE {_case(s.TEMPLATE)} END AS template FROM ir_symbols")
+def _(v):
+    return v.symbols.select("usr", s.lookup(s.TEMPLATE | {6: "custom-method"}, "kind").alias("template"))
