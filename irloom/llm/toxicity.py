@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from irloom.llm.common import bounded_sample, text_batches
 
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
     at = keep.index("text") if "text" in keep else len(keep)
     schema = docs.select(*keep).schema.add("score", "double")
     if passages:
-        schema = schema.add("passages", "array<struct<first_word:int,end_word:int,score:double,surprise:double>>")
+        schema = schema.add(*T.StructType.fromDDL("passages array<struct<first_word:int,end_word:int,score:double,surprise:double>>").fields)
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), *([F.array().cast(schema["passages"].dataType).alias("passages")] if passages else []))
     shared = spark.sparkContext.broadcast(model)  # at most LEXICON words
