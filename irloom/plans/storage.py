@@ -1 +1,59 @@
-"""Queries (to come)."""
+"""Queries of the sources, sinks and streams of sections A, F13 and L14, over folders they write themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from irloom.operators.state import shared_dir
+from irloom.plans.registry import query
+from irloom.sources import snapshot
+from irloom.streaming import ingest
+
+
+def _tables(v):
+    one = lambda t, **c: t.withColumns(c)
+    s = v.symbols
+    text = {c: F.lit("") for c in ("display_name", "signature", "type_repr", "content_hash")}
+    return {"symbols": one(s, **text, access=F.lit(0), storage=F.lit(0), col=F.lit(1)), "references": v.references, "files": v.files, "meta": v.spark.createDataFrame([("tool", "irloom")], "key string, value string")}
+
+
+@query("a1_resolved_inputs", "SELECT 1 AS files")
+def _(v):
+    return snapshot.resolve_inputs(v.spark, [f"{v.sf_dir}/part.parquet", f"{v.sf_dir}/part.parquet"]).agg(F.count_distinct("pos").alias("files")).select(F.col("files").cast("int").alias("files"))
+
+
+@query("a3_snapshot_scan", "SELECT usr, kind, qualified_name, is_documented = 1 AS is_documented FROM ir_symbols")
+def _(v):
+    path = shared_dir(v.spark)
+    snapshot.write(v.spark, path, _tables(v))
+    return snapshot.read(v.spark, path)["symbols"].select("usr", "kind", "qualified_name", "is_documented")
+
+
+@query("a5_full_replace", "SELECT count(*) AS n FROM ir_references")
+def _(v):
+    path = shared_dir(v.spark)
+    snapshot.write(v.spark, path, {"meta": _tables(v)["meta"]})
+    snapshot.write(v.spark, path, _tables(v))
+    return snapshot.read(v.spark, path)["references"].agg(F.count("*").alias("n"))
+
+
+@query("a7_snapshot_part", "SELECT count(*) AS n FROM ir_symbols WHERE file_id <> 1")
+def _(v):
+    path = shared_dir(v.spark)
+    snapshot.write(v.spark, path, _tables(v))
+    snapshot.write_part(v.spark, path, {}, v.files.where("id = 1").select("id"))
+    return snapshot.read(v.spark, path)["symbols"].agg(F.count("*").alias("n"))
+
+
+@query("f13_directory_statistics")
+def _(v):
+    path = shared_dir(v.spark)
+    v.symbols.write.parquet(path)
+    return snapshot.directory_statistics(v.spark, path)
+
+
+@query("l14_streamed_upsert", "SELECT usr, max_by(spelling, (is_definition, seq)) AS spelling, max_by(payload, (is_definition, seq)) AS payload, max(is_definition) AS is_definition, max(is_documented) AS is_documented FROM ir_symbol_writes GROUP BY usr")
+def _(v):
+    path = shared_dir(v.spark)
+    v.symbol_writes.repartition(6, "seq").write.parquet(f"{path}/log")
+    return ingest.fold_symbols(v.spark, f"{path}/log", v.symbol_writes.schema, f"{path}/state", 2)
