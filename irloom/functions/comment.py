@@ -9,8 +9,9 @@ from irloom.operators.query import ordered
 
 # The fields of a comment in their order, and which hold a list of texts.
 SCALARS = ["brief", "returns"]
-LISTS = ["detail", "see", "note", "warning", "pre", "post", "todo", "deprecated", "since", "version", "author", "invariant", "remark"]
+LISTS = ["detail", "see", "since", "deprecated", "note", "warning", "pre", "post", "invariant", "todo", "bug", "author", "version", "date"]
 PAIRS = ["param", "tparam", "retval", "throws"]
+ORDER = ["brief", "detail", "param", "tparam", "returns", "retval", "throws", *LISTS[1:]]
 
 
 def structs_from_fields(fields: DataFrame) -> DataFrame:
@@ -32,9 +33,9 @@ def fields_from_structs(structs: DataFrame) -> DataFrame:
     """Rows (symbol_usr, name, arg, value, ordinal) in the fixed order of fields, custom ones last by name."""
     row = lambda name, arg, value: F.struct(name.alias("name"), arg.alias("arg"), value.alias("value"))
     c, none = F.col("comment"), F.lit("")
-    parts = [F.filter(F.array(row(F.lit(n), none, F.coalesce(c[n], none))), lambda x: x["value"] != "") for n in SCALARS]
+    of_scalar = lambda n: F.filter(F.array(row(F.lit(n), none, F.coalesce(c[n], none))), lambda x: x["value"] != "")
     of_list = lambda n: F.transform(c[n], lambda x: row(F.lit(n), none, x))
     of_pair = lambda n: F.transform(c[n], lambda x: row(F.lit(n), F.coalesce(x["arg"], none), x["value"]))
-    parts += [*map(of_list, LISTS), *map(of_pair, PAIRS)]
+    parts = [(of_scalar if n in SCALARS else of_pair if n in PAIRS else of_list)(n) for n in ORDER]
     parts.append(F.flatten(F.transform(F.array_sort(F.map_keys(c["custom"])), lambda k: F.transform(c["custom"][k], lambda x: row(k, none, x)))))
     return structs.select("symbol_usr", F.posexplode(F.concat(*parts)).alias("ordinal", "r")).select("symbol_usr", "r.name", "r.arg", "r.value", "ordinal")

@@ -1 +1,89 @@
-"""Queries (to come)."""
+"""Queries of sections J and K: the comment grammar over whole columns, and other parsers in its place."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from irloom.functions import grammar
+from irloom.functions.rewrite import list_udf, text_udf
+from irloom.plans.registry import query
+
+
+def _raw(v):
+    """Texts as comments: the first line is a brief, later ones parameters, notes and plain lines in turn."""
+    each = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i == 0, "/// @brief ").when(i % 3 == 1, "/// @param[in] ").when(i % 3 == 2, "/// @note ").otherwise("///\n/// "), x))
+    return v("documents").select("doc_id", F.array_join(each, "\n").alias("raw"))
+
+
+@query("j1_comment_structs", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, trim(regexp_replace(x[1], '\\s+', ' ', 'g')) AS brief, CAST((len(x) + 1) // 3 AS INTEGER) AS params, CAST(len(x) // 3 AS INTEGER) AS notes FROM l")
+def _(v):
+    parsed = _raw(v).select("doc_id", grammar.parse_column("raw").alias("c"))
+    return parsed.select("doc_id", "c.brief", F.size("c.param").alias("params"), F.size("c.note").alias("notes"))
+
+
+@query("j4_command_words")
+def _(v):
+    words = v("part").select("p_partkey", F.concat(F.lit("param["), F.element_at(F.array(F.lit("in"), F.lit("inout"), F.lit("up")), (F.col("p_size") % 3 + 1).cast("int")), F.lit("]")).alias("w"))
+    return words.select("p_partkey", list_udf(grammar.command_word)("w").alias("parts"))
+
+
+@query("j5_fences")
+def _(v):
+    return v("documents").select("doc_id", text_udf(lambda x: grammar.fenced("code", "", x.split("\n")))("text").alias("block"))
+
+
+@query("j6_inline_markup", "SELECT p_partkey, '`' || p_brand || '` is **' || p_type || '**.' AS text FROM part")
+def _(v):
+    return v("part").select("p_partkey", text_udf(grammar.inline)(F.concat(F.lit("\\c "), "p_brand", F.lit(" is @b "), "p_type", F.lit("."))).alias("text"))
+
+
+@query("j7_link_targets")
+def _(v):
+    return v.symbols.select("usr", list_udf(lambda x: grammar.link_parts(x) or ("", ""))("qualified_name").alias("parts"))
+
+
+@query("j8_routed_commands", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS notes FROM events GROUP BY user_id")
+def _(v):
+    command = F.when(F.col("event_type") == "error", "/// @remark x").otherwise("/// @sa x")
+    raw = v("events").groupBy("user_id").agg(F.array_join(F.collect_list(command), "\n").alias("raw"))
+    return raw.select("user_id", F.size(grammar.parse_column("raw")["note"]).cast("long").alias("notes"))
+
+
+@query("j9_leads", "SELECT p_partkey, p_name AS brief, p_type AS detail FROM part")
+def _(v):
+    raw = v("part").select("p_partkey", grammar.parse_column(F.concat(F.lit("/// "), "p_name", F.lit("\n///\n/// "), "p_type")).alias("c"))
+    return raw.select("p_partkey", "c.brief", F.array_join("c.detail", "\n").alias("detail"))
+
+
+@query("j10_stripped_markers", "SELECT doc_id, regexp_replace(text, '[ \\t\\r]+(\\n|$)', '\\1', 'g') AS text FROM documents")
+def _(v):
+    raw = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("  /// "), x)), "\n")
+    return v("documents").select("doc_id", text_udf(lambda x: "\n".join(grammar.content(x)))(raw).alias("text"))
+
+
+@query("j11_command_classes")
+def _(v):
+    rows = [(n, "line") for n in sorted(grammar.TO_LINE_END)] + [(n, "nothing") for n in sorted(grammar.ALONE)] + [(n, "name") for n in sorted(grammar.ONE_NAME)] + [(n, "item") for n in sorted(grammar.ITEMS)]
+    return v.spark.createDataFrame(rows, "command string, takes string")
+
+
+@query("j13_group_blocks", "SELECT p_partkey, p_brand || ' ' || p_type AS ids FROM part")
+def _(v):
+    raw = F.concat(F.lit("/// @ingroup "), "p_brand", F.lit(" "), "p_type", F.lit("\n/// Text."))
+    return v("part").select("p_partkey", grammar.parse_column(raw)["custom"]["ingroup"][0].alias("ids"))
+
+
+@query("j16_comment_json")
+def _(v):
+    return _raw(v).select("doc_id", F.to_json(grammar.parse_column("raw")).alias("json"))
+
+
+@query("k1_registered_parsers")
+def _(v):
+    return v.spark.createDataFrame([(n,) for n in grammar.available_parsers()], "name string")
+
+
+@query("k3_other_parser", "SELECT doc_id, 'fixed' AS brief FROM documents")
+def _(v):
+    fixed = lambda raw: grammar.parse("/// fixed")
+    return _raw(v).select("doc_id", grammar.parse_column("raw", fixed)["brief"].alias("brief"))

@@ -7,8 +7,12 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = "4"
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}
+
+
 def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A struct from "name type, ..."; unlike DDL it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in spec.split(","))])
 
 
 TABLES: dict[str, T.StructType] = {

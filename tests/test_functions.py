@@ -35,7 +35,7 @@ def test_stems(spark):
 
 
 def test_fields_and_structs_are_inverse(spark):
-    rows = [("u", "brief", "", "B", 0), ("u", "note", "", "one", 1), ("u", "note", "", "two", 2), ("u", "param", "[in] x", "an x", 3), ("u", "zeta", "", "z", 4)]
+    rows = [("u", "brief", "", "B", 0), ("u", "param", "[in] x", "an x", 1), ("u", "note", "", "one", 2), ("u", "note", "", "two", 3), ("u", "zeta", "", "z", 4)]
     fields = spark.createDataFrame(rows, "symbol_usr string, name string, arg string, value string, ordinal int")
     back = comment.fields_from_structs(comment.structs_from_fields(fields)).orderBy("ordinal").collect()
     assert [tuple(r) for r in back] == rows
