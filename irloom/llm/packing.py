@@ -144,8 +144,13 @@ def plan_pieces(lengths: list[int], capacity: int = CAPACITY, quadratic: float =
     total = sum(r[0] for r in rest)
     sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
     used, costs = [0] * len(sizes), [0.0] * len(sizes)
-    open_heap = [(0.0, s) for s in range(len(sizes))]
-    heapq.heapify(open_heap)
+    # Documents come by descending length, so a sequence with room for one keeps it for those that follow
+    # until it is filled further; one with too little waits under its room until documents are that short.
+    fits: list[tuple[float, int]] = []  # a heap of the sequences with room for the document at hand
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for s, size in enumerate(sizes):
+        waiting[size].append(s)
+    reached = capacity + 1
 
     def put(s: int, d: int, start: int, n: int) -> None:
         out.append((d, start, n, n_full + s, used[s]))
@@ -153,21 +158,20 @@ def plan_pieces(lengths: list[int], capacity: int = CAPACITY, quadratic: float =
         costs[s] += cost(n, quadratic)
 
     spill: list[tuple[int, int, int]] = []
-    looks = 24  # lowest-cost sequences tried before a document waits to be cut
     for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
-        tried = []
-        while open_heap and len(tried) < looks:
-            c, s = heapq.heappop(open_heap)
-            if sizes[s] - used[s] >= n:
-                put(s, d, start, n)
-                if used[s] < sizes[s]:
-                    heapq.heappush(open_heap, (costs[s], s))
-                break
-            tried.append((c, s))
-        else:
+        while reached > n:
+            reached -= 1
+            for s in waiting[reached]:
+                heapq.heappush(fits, (costs[s], s))
+        if not fits:
             spill.append((n, d, start))
-        for x in tried:
-            heapq.heappush(open_heap, x)
+            continue
+        s = heapq.heappop(fits)[1]
+        put(s, d, start, n)
+        if sizes[s] - used[s] >= n:
+            heapq.heappush(fits, (costs[s], s))
+        else:
+            waiting[sizes[s] - used[s]].append(s)
     room = sorted((s for s in range(len(sizes)) if used[s] < sizes[s]), key=lambda s: (used[s] - sizes[s], costs[s], s))
     at = 0
     for n, d, start in spill:

@@ -95,6 +95,43 @@ def test_pieces_of_equal_lengths():
         assert [sum(p[2] for p in pieces if p[0] == d) for d in range(len(lengths))] == lengths
 
 
+def brute_plan(lengths, capacity):
+    """Each document to the lowest-cost sequence of all that have room, cut only where none has; (document, start, sequence, length)."""
+    out, rest, full = [], [], 0
+    for d, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((d, k * capacity, full, capacity))
+            full += 1
+        if n % capacity:
+            rest.append((n % capacity, d, n - n % capacity))
+    total = sum(n for n, _, _ in rest)
+    room = [capacity] * (total // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (total % capacity) >> b & 1]
+    costs, cut = [0.0] * len(room), []
+    for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
+        s = min((s for s in range(len(room)) if room[s] >= n), key=lambda s: (costs[s], s), default=None)
+        if s is None:
+            cut.append(d)
+            continue
+        out.append((d, start, full + s, n))
+        room[s] -= n
+        costs[s] += packing.cost(n)
+    return out, cut
+
+
+def test_pieces_by_brute_force():
+    """More sequences than one would look at in turn, the cheap ones among them nearly full."""
+    rng = random.Random(17)
+    for capacity, lengths in [
+        (64, [rng.randint(1, 150) for _ in range(60)]), (64, [33] * 40 + [20] * 40 + [1] * 9), (256, [rng.choice([3, 40, 90, 140, 255]) for _ in range(500)]),
+        (4096, [int(rng.lognormvariate(6, 1.3)) + 1 for _ in range(1500)]), (4096, [rng.randint(1, 4095) for _ in range(800)]),
+    ]:
+        want, cut = brute_plan(lengths, capacity)
+        pieces = packing.plan_pieces(lengths, capacity)
+        assert {p[0] for p in pieces if p[0] not in cut and p[2] < lengths[p[0]] % capacity} == set()
+        assert sorted((d, start, s, n) for d, start, n, s, _ in pieces if d not in cut) == sorted(w for w in want if w[0] not in cut)
+        assert [sum(p[2] for p in pieces if p[0] == d) for d in range(len(lengths))] == lengths
+
+
 def brute_components(ids, linked):
     parent = {i: i for i in ids}
 
