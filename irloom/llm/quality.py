@@ -11,6 +11,7 @@ no labels); equal statistics give equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,10 +46,10 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x]
     w = len(words)
     lengths = list(map(len, words))
-    kinds = len(set(words))
+    counts = Counter(words)
+    kinds = len(counts)
     again = sum(map(bytes.__eq__, words, words[1:])) if w > 1 else 0
-    sample = words[:: max(1, w // 400)]  # evenly over the whole text
-    top = max(map(sample.count, set(sample))) / len(sample) if 0 < kinds < w else (1 / w if w else 0.0)
+    top = max(counts.values()) / w if w else 0.0
     return [
         float(n), float(w), float(len(lines)), sum(lengths) / w if w else 0.0, float(max(lengths, default=0)), share(UPPER), share(DIGIT), share(SPACE), share(SYMBOL), raw.count(b"!") / n,
         raw.count(b"|") / n, raw.count(b".") / n, raw.count(b",") / n, share(ANGLE), share(WIDE), kinds / w if w else 0.0, again / w if w else 0.0, len(set(lines)) / len(lines) if lines else 0.0, sum(map((4).__gt__, lengths)) / w if w else 0.0, top,

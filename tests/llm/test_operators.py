@@ -301,6 +301,14 @@ def test_quality(spark, odd, words, empty):
     assert all(0 <= r.score <= 1 for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect())
 
 
+def test_top_word_counts_the_whole_text():
+    at = quality.STATISTICS.index("top_word")
+    share = lambda text: quality.statistics(text)[at]
+    assert share(" ".join(["one", "two"] * 500)) == 0.5
+    assert share(" ".join(f"w{i}" if i % 50 == 0 else "often" for i in range(20_000))) == 0.98
+    assert share("a b c") == pytest.approx(1 / 3) and share(" \n ") == 0.0 and share("a " * 900) == 1.0
+
+
 def brute_word(model, word):
     out = []
     for k in range(len(model.languages)):
