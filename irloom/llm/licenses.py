@@ -1,15 +1,19 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions alone.
 
-Features are the words and word pairs of a paragraph; a multinomial logistic regression
+Features are all words and word pairs of a paragraph; a multinomial logistic regression
 with an L1 penalty, trained on the driver from notice templates, their variants and
 sentences that only sound like notices, gives each licence family and `unknown` a
 probability. A temperature fitted on variants kept out of the training calibrates them.
 A paragraph's family is confirmed if enough of the word pairs of one of its templates
-stand in it. Every feature holds a cue word, so a paragraph without one is of no family,
-and is not looked at further.
+stand in it. Listed are the paragraphs of a family, and those of none that hold a cue
+word. A text or paragraph without any word or pair of the gate is not scored: all other features
+together cannot outweigh the lead of `unknown` (see Model.gate), so it is of no family.
 
-Cases: null and empty texts have no paragraphs; a paragraph is a non-empty line of any
-length; equal probabilities go to the family first by name; repeated rows give repeated
+A paragraph is a run of lines with letters or digits. It ends early where a line ends a
+sentence and the next starts with a capital, and around a line that is a confirmed notice
+by itself; so a notice may be wrapped anywhere, and one on a line of its own stays apart.
+
+Cases: null and empty texts have no paragraphs; a paragraph may have any length; equal probabilities go to the family first by name; repeated rows give repeated
 results; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -34,6 +38,8 @@ TEMPLATES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "This software is licensed under the BSD 3-Clause License.",
+        "Redistributions of source code must retain the above copyright notice.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
@@ -47,12 +53,15 @@ TEMPLATES = {
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "Distributed under the terms of the GPLv3.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The software is provided as is.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.",
         "SPDX-License-Identifier: MIT",
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -65,10 +74,13 @@ UNKNOWN = [
     "Please read the license before you use the software.", "The general public was not admitted.", "Copyright by the publisher, no part may be copied.", "They released the song under a new name.",
     "The software is provided to licensed users only.", "The GNU is an antelope of the plains.", "Mozilla announced a new version of the browser.", "The creative commons of the village was open to all.",
     "Licensed premises close at ten.", "This file is licensed.", "Released under license.", "Permission to enter was granted by the guard.",
+    "Released under LGPL 2.1", "Distributed under the terms of the LGPL.", "mit der Zeit und mit ihm", "The work of the group is distributed under the table.",
 ]
 
-#: Words of which every feature holds one. (Not "mit": a common word in German; the notices that hold it hold another.)
-CUES = ["apache", "bsd", "cc", "commons", "creative", "gnu", "gpl", "licence", "license", "licensed", "mozilla", "mpl", "permission", "redistribution", "spdx"]
+#: Words with one of which a paragraph of no family is listed as unknown.
+CUES = ["apache", "bsd", "cc", "commons", "creative", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "licence", "license", "licensed", "mozilla", "mpl", "permission", "redistribution", "redistributions", "spdx"]
+#: Words of which the gate does without where it can.
+COMMON = frozenset("a an and any are as at by can for in is it may mit not of on or released text that the this to under use with you".split())
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 CONFIRM = 0.6
 PENALTY, STEPS = 2e-4, 1500
@@ -78,13 +90,9 @@ def tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
-def has_cue(token: str) -> bool:
-    return any(c in re.split(r"[.\-]", token) for c in CUES)
-
-
 def grams(words: list[str]) -> set[str]:
-    """Words and pairs of words that hold a cue."""
-    return {w for w in words if has_cue(w)} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if has_cue(a) or has_cue(b)}
+    """Words and pairs of words."""
+    return {*words, *pairs(words)}
 
 
 def pairs(words: list[str]) -> list[str]:
@@ -99,6 +107,22 @@ class Model:
     bias: np.ndarray
     temperature: float
 
+    def gate(self) -> list[str]:
+        """Features without any of which no paragraph is of a family.
+
+        The features set aside, common words and then the weakest first, could all stand in one paragraph and
+        still leave every family at or below `unknown`.
+        """
+        lead = self.bias[-1] - self.bias[:-1]
+        gain = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0)
+        spent, left = np.zeros(len(lead)), []
+        for i in sorted(range(len(gain)), key=lambda i: (self.features[i] not in COMMON, not COMMON.issuperset(self.features[i].split()), gain[i].max())):
+            if (spent + gain[i] <= lead - 1e-6).all():
+                spent = spent + gain[i]
+            else:
+                left.append(self.features[i])
+        return sorted(left)
+
     def probabilities(self, text: str) -> np.ndarray:
         g = grams(tokens(text))
         z = (self.bias + sum((self.weights[i] for i, f in enumerate(self.features) if f in g), np.zeros(len(self.families)))) / self.temperature
@@ -131,8 +155,8 @@ def train() -> Model:
             for v in variants(t, 1000 * k + n):
                 texts.append(v)
                 kinds.append(k)
-    for cue in CUES:  # a cue by itself tells no family
-        texts += [cue, f"the {cue} of the day"]
+    for word in sorted({*CUES, *(w for notices in TEMPLATES.values() for t in notices for w in tokens(t))}):  # a word by itself tells no family
+        texts += [word, f"the {word} of the day"]
         kinds += [len(families) - 1] * 2
     sets = [grams(tokens(t)) for t in texts]
     features = tuple(sorted(set().union(*sets)))
@@ -162,32 +186,56 @@ def train() -> Model:
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity and confirmed of each paragraph with a cue."""
+    """doc_id, paragraph (number of its first line from 0), family, probability, similarity and confirmed of each paragraph of a family or with a cue."""
     model = model or train()
-    # Cheap tests first: most texts hold no cue at all.
-    low = F.lower(F.col(text_col))
-    stems = sorted({c[:5] for c in CUES if len(c) > 4})
-    short = "|".join(c for c in CUES if len(c) < 5)
-    any_cue = F.lit(False)
-    for s in stems:
-        any_cue = any_cue | F.contains(low, F.lit(s))
-    cue = rf"(?<![a-z0-9])(?:{'|'.join(CUES)})(?![a-z0-9])"
-    hit = docs.where(any_cue | F.rlike(low, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")))
-    lines = hit.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.rlike(F.lower("line"), F.lit(cue)))
+    one_of = lambda grams: rf"(?<![a-z0-9])(?:{'|'.join(re.escape(g).replace(chr(92) + ' ', '[^a-z0-9]+') for g in grams)})(?![a-z0-9])"
+    cue, some = one_of(CUES), one_of(sorted({*CUES, *model.gate()}))
+    notices = [q for t in TEMPLATES.values() for n in t if (q := pairs(tokens(n)))]
+
+    # Of a confirmed notice, one of any so many pairs that the others are too few must stand there; those with fewest common words are asked for.
+    rare = lambda q: sorted(q, key=lambda p: (len(COMMON.intersection(p.split())), -len(p)))[: len(q) - math.ceil(CONFIRM * len(q)) + 1]
+    sign = one_of(sorted({p for q in notices for p in rare(q)}))
+
+    def pairs_of(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+    def share(p: Column, q: list[str]) -> Column:
+        return F.size(F.array_intersect(p, F.array(*map(F.lit, q)))) / F.lit(float(len(q)))
+
+    def whole(line: Column) -> Column:
+        """Whether the line is a confirmed notice by itself."""
+        p = pairs_of(F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})"), 1))
+        table = F.array(*(F.array(*map(F.lit, q)) for q in notices))
+        return F.when(F.rlike(F.lower(line), F.lit(sign)), F.exists(F.array(p), lambda x: F.exists(table, lambda q: F.size(F.array_intersect(x, q)) >= F.lit(CONFIRM) * F.size(q)))).otherwise(F.lit(False))
+
+    def apart(a: Column, b: Column) -> Column:
+        """Whether a paragraph ends between two lines."""
+        blank = F.lit(r"^[^\p{L}\p{N}]*$")
+        stop = F.rlike(a.line, F.lit(r"[.!?][\"')\]]*\s*$")) & F.rlike(b.line, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}"))
+        return F.rlike(a.line, blank) | F.rlike(b.line, blank) | stop | a.whole | b.whole
+
+    hit = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike(F.lower("text"), F.lit(some)))
+    lines = hit.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), whole(x).alias("whole"))).alias("lines"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | apart(F.get("lines", F.greatest(i - 1, F.lit(0))), F.get("lines", i)))
+    runs = lines.withColumn("starts", starts)
+    run = F.transform("starts", lambda b, j: F.struct(b.alias("paragraph"), F.array_join(F.slice("lines.line", b + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - b), "\n").alias("line")))
+    lines = runs.select("doc_id", F.inline(run)).where(F.rlike(F.lower("line"), F.lit(some)))
     words = lines.withColumn("w", F.regexp_extract_all(F.lower("line"), F.lit(f"({TOKEN})"), 1))
-    words = words.withColumn("p", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    words = words.withColumn("p", pairs_of(F.col("w")))
     grams_ = words.withColumn("g", F.concat("w", "p"))
-    table = F.array(*(F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, map(float, w))).alias("w")) for f, w in zip(model.features, model.weights, strict=True)))
+    known = F.array(*map(F.lit, model.features))
+    table = F.array(*(F.array(*map(F.lit, map(float, w))) for w in model.weights))
     start = F.array(*map(F.lit, map(float, model.bias)))
-    z = F.aggregate(F.filter(table, lambda x: F.array_contains(F.col("g"), x.f)), start, lambda acc, x: F.zip_with(acc, x.w, lambda a, b: a + b))
+    z = F.aggregate(F.array_intersect("g", known), start, lambda acc, x: F.zip_with(acc, F.get(table, F.array_position(known, x).cast("int") - 1), lambda a, b: a + b))
     scored = grams_.withColumn("z", F.transform(z, lambda v: v / F.lit(model.temperature)))
     scored = scored.withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     best = F.array_position("e", F.array_max("e")).cast("int")
     names = F.array(*map(F.lit, model.families))
-    scored = scored.select("doc_id", "paragraph", "p", F.element_at(names, best).alias("family"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+    scored = scored.select("doc_id", "paragraph", "line", "p", F.element_at(names, best).alias("family"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+    scored = scored.where((F.col("family") != "unknown") | F.rlike(F.lower("line"), F.lit(cue)))
     similarity: Column = F.lit(0.0)
     for family, notices in TEMPLATES.items():
-        share = [F.size(F.array_intersect("p", F.array(*map(F.lit, q)))) / F.lit(float(len(q))) for q in (pairs(tokens(t)) for t in notices) if q]
-        similarity = F.when(F.col("family") == family, F.greatest(*share) if len(share) > 1 else share[0]).otherwise(similarity)
+        shares = [share(F.col("p"), q) for q in (pairs(tokens(t)) for t in notices) if q]
+        similarity = F.when(F.col("family") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(similarity)
     return scored.withColumn("similarity", similarity).select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))

@@ -252,6 +252,29 @@ def test_licenses(spark, empty):
         assert r.probability == pytest.approx(float(model.probabilities("This work is licensed under the GNU General Public License, version 3.").max()))
 
 
+def test_license_paragraphs(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following\n * conditions are met."
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public License, v.\n# 2.0."
+    texts = [
+        "Distributed under the terms of the GPLv3.", "Released under LGPL 2.1", "Redistributions of source code must retain the above copyright notice", "THE SOFTWARE IS PROVIDED AS IS, ...", "Title\n\n" + bsd, mpl,
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nThis work is licensed under the GNU\nGeneral Public License, version 3.",
+    ]
+    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {
+        (0, 0): ("gpl-3.0", True), (1, 0): ("unknown", False), (2, 0): ("bsd", True), (3, 0): ("mit", True), (4, 2): ("bsd", True), (5, 0): ("mpl-2.0", True),
+        (6, 0): ("mit", True), (6, 1): ("apache-2.0", True), (6, 2): ("gpl-3.0", True),
+    }
+
+
+def test_license_gate_passes_every_family():
+    model, rng = licenses.train(), random.Random(19)
+    gate = set(model.gate())
+    words = sorted({w for f in model.features for w in f.split()} - gate)
+    for _ in range(2000):
+        text = " ".join(rng.choices(words, k=rng.choice([1, 3, 10, 200])))
+        assert gate & licenses.grams(text.split()) or model.families[int(model.probabilities(text).argmax())] == "unknown"
+
+
 def test_segments_are_maximal():
     rng = random.Random(2)
     for _ in range(300):
