@@ -1,18 +1,21 @@
-"""Bracket-aware rewriters of C++ text. They need balanced scans, so they are Python functions over Arrow batches."""
+"""Bracket-aware rewriters of C++ text.
+
+A text is read once into a tree of leaves and bracket groups; each rewriter walks the tree.
+Balanced scans have no native expression, so these are Python functions over Arrow batches.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<([{", ">)]}"
-
-
 def text_udf(f):
     return F.pandas_udf(lambda s: pd.Series([None if x is None else f(x) for x in s], dtype=object), "string")
 
@@ -26,117 +29,156 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
-def depths(text: str, opening: str = OPEN, closing: str = CLOSE) -> list[int]:
-    """Nesting depth before each character; a closing bracket is at the depth outside it."""
-    out, depth = [], 0
-    for c in text:
-        depth -= c in closing
-        out.append(depth)
-        depth += c in opening
+# The brackets of C++, its quotes, and what stands in text where a value or an operator was lost.
+PAIRS = {"<": ">", "(": ")", "[": "]", "{": "}"}
+QUOTES = "\"'"
+LOST_VALUE, SPLIT_EQUAL = "= <recovery-expr>", "= ="
+
+_QUOTED = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*{q}" for q in QUOTES)
+_GAP = {text: re.escape(text).replace(r"\ ", r"\s*" if text == LOST_VALUE else r"\s+") for text in (LOST_VALUE, SPLIT_EQUAL)}
+LEXEME = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<lost>\s*{_GAP[LOST_VALUE]})|(?P<split>{_GAP[SPLIT_EQUAL]})|(?P<compares>[<>=!]=)|(?P<arrow>->)|(?P<open>[<(\[{{])|(?P<shut>[>)\]}}])|(?P<comma>,)|(?P<word>\w+)|(?P<rest>.)", re.DOTALL)
+
+
+@dataclass
+class Leaf:
+    kind: str
+    text: str
+
+    def __str__(self) -> str:
+        return self.text
+
+
+@dataclass
+class Group:
+    """A bracket and what it holds; `shut` is empty if nothing closes it."""
+
+    open: str
+    items: list = field(default_factory=list)
+    shut: str = ""
+
+    def __str__(self) -> str:
+        return self.open + spelled(self.items) + self.shut
+
+    def is_list(self) -> bool:
+        return self.open == "<" and bool(self.shut)
+
+
+def spelled(items: list) -> str:
+    return "".join(map(str, items))
+
+
+def tree(text: str) -> list:
+    """The text as leaves and groups. A closing bracket ends all groups inside its own; one of no group is a leaf."""
+    path = [Group("")]
+    for m in LEXEME.finditer(text):
+        if m.lastgroup == "open":
+            path.append(Group(m[0]))
+            path[-2].items.append(path[-1])
+        elif m.lastgroup == "shut" and any(PAIRS.get(g.open) == m[0] for g in path):
+            while PAIRS.get((last := path.pop()).open) != m[0]:
+                pass
+            last.shut = m[0]
+        else:
+            path[-1].items.append(Leaf(m.lastgroup, m[0]))
+    return path[0].items
+
+
+def listed(items: list) -> list[list]:
+    """Items between commas."""
+    out: list[list] = [[]]
+    for item in items:
+        if isinstance(item, Leaf) and item.kind == "comma":
+            out.append([])
+        else:
+            out[-1].append(item)
     return out
 
 
 def split_top_level(text: str) -> list[str]:
     """Parts between the commas that no bracket encloses, trimmed, empty ones left out."""
-    cuts = [i for i, (c, d) in enumerate(zip(text, depths(text), strict=True)) if c == "," and d == 0]
-    return [p for a, b in zip([-1, *cuts], [*cuts, len(text)], strict=True) if (p := text[a + 1 : b].strip())]
+    return [part for items in listed(tree(text)) if (part := spelled(items).strip())]
+
+
+def first_list(items: list) -> Group | None:
+    return next((g for g in items if isinstance(g, Group) and g.is_list()), None)
 
 
 def template_parameter_names(head: str) -> list[str]:
     """The names a template head declares; '' for one without a name."""
-    inner = re.search(r"<(.*)>", head, re.DOTALL)
-    last = (re.search(r"(\w+)\s*$", p.partition("=")[0]) for p in split_top_level(inner[1])) if inner else ()
-    return [m[1] if m else "" for m in last]
+    names = []
+    for items in listed(found.items if (found := first_list(tree(head))) else []):
+        until = next((i for i, x in enumerate(items) if str(x).lstrip().startswith("=")), len(items))
+        own = [x for x in items[:until] if str(x).strip()]
+        if own or until < len(items):
+            names.append(own[-1].text if own and isinstance(own[-1], Leaf) and own[-1].kind == "word" else "")
+    return names
 
 
 def scope_suffix(suffix: str, head: str) -> str:
     """A specialization's arguments; nothing if they only repeat the parameter names of the head."""
-    own = [a.removesuffix("...").strip() for a in split_top_level(suffix[1:-1])] if suffix else []
-    return "" if own == template_parameter_names(head) else suffix
+    given = first_list(tree(suffix))
+    names = [spelled(items).strip().removesuffix("...").rstrip() for items in listed(given.items)] if given and given.items else []
+    return suffix if names != template_parameter_names(head) else ""
 
 
 def scope_suffix_of(signature: str) -> str:
     return scope_suffix(split_scope_arguments(signature)[1], "template<typename U, typename V>")
 
 
-LITERAL = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''
-
-
 def repair_split_operators(text: str) -> str:
     """`= =` becomes `==`, but not in a quoted literal."""
-    return re.sub(rf"({LITERAL})|=\s+=", lambda m: m[1] or "==", text)
-
-
-def closing(text: str, start: int, opening: str, closing_: str) -> int:
-    """Position behind the bracket that closes the one at `start`; the text's end if none does."""
-    depth = 0
-    for i in range(start, len(text)):
-        depth += (text[i] == opening) - (text[i] == closing_)
-        if not depth:
-            return i + 1
-    return len(text)
+    return "".join(SPLIT_EQUAL.replace(" ", "") if m.lastgroup == "split" else m[0] for m in LEXEME.finditer(text))
 
 
 def strip_recovery_defaults(signature: str) -> str:
     """Drops defaults that could not be evaluated, with their argument list."""
-    mark = re.compile(r"\s*=\s*<recovery-expr>")
-    while m := mark.search(signature):
-        end = closing(signature, m.end(), "(", ")") if signature[m.end() : m.end() + 1] == "(" else m.end()
-        signature = signature[: m.start()] + signature[end:]
-    return signature
+
+    def without(items: list) -> list:
+        out: list = []
+        lost = False
+        for item in items:
+            after_lost, lost = lost, isinstance(item, Leaf) and item.kind == "lost"
+            if lost or (after_lost and isinstance(item, Group) and item.open == "("):
+                continue
+            out.append(Group(item.open, without(item.items), item.shut) if isinstance(item, Group) else item)
+        return out
+
+    return spelled(without(tree(signature)))
 
 
 def parenthesize_comparisons(target: str) -> str:
-    """Template arguments that compare at their top level get parentheses. Text without balance stays."""
-    marked = re.sub(r"(<=|>=)", lambda m: {"<=": "\x00\x01", ">=": "\x02\x01"}[m[1]], target)  # not brackets: comparisons
-    plain = lambda t: t.replace("\x00\x01", "<=").replace("\x02\x01", ">=")
-
-    def rewrite(text: str) -> str:
-        out, i = [], 0
-        while i < len(text):
-            if text[i] != "<":
-                out.append(text[i])
-                i += 1
-                continue
-            end = closing(text, i, "<", ">")
-            if text[end - 1] != ">":
-                return "".join(out) + text[i:]
-            out.append("<" + arguments(text[i + 1 : end - 1]) + ">")
-            i = end
-        return "".join(out)
+    """Template arguments that compare at their top level get parentheses. A list that nothing closes stays."""
+
+    def argument(items: list) -> str:
+        compares = any(isinstance(x, Leaf) and x.kind in ("compares", "split") for x in items)
+        return f"({spelled(items)})" if compares else shielded(items)
 
-    def arguments(inner: str) -> str:
-        cuts = [i for i, (c, d) in enumerate(zip(inner, depths(inner), strict=True)) if c == "," and d == 0]
-        done = []
-        for a, b in zip([-1, *cuts], [*cuts, len(inner)], strict=True):
-            arg, level = inner[a + 1 : b], depths(inner[a + 1 : b])
-            compares = any(level[m.start()] <= 0 for m in re.finditer("\x00\x01|\x02\x01|==|!=", arg))
-            done.append(f"({arg})" if compares and arg.strip() else rewrite(arg))
-        return ",".join(done)
+    def shielded(items: list) -> str:
+        return "".join(str(x) if isinstance(x, Leaf) or not x.shut else x.open + (",".join(map(argument, listed(x.items))) if x.open == "<" else shielded(x.items)) + x.shut for x in items)
 
-    return plain(rewrite(marked))
+    return shielded(tree(target))
 
 
 def split_scope_arguments(scope: str) -> tuple[str, str]:
     """What is before a scope's last argument list, and the list, if the scope ends in one."""
-    level = depths(scope, "<", ">")
-    starts = [i for i, c in enumerate(scope) if c == "<" and level[i] == 0]
-    if starts and scope.endswith(">") and level[-1] == 0:
-        return scope[: starts[-1]].rstrip(), scope[starts[-1] :]
+    items = tree(scope)
+    if items and isinstance(items[-1], Group) and items[-1].is_list():
+        return spelled(items[:-1]).rstrip(), str(items[-1])
     return scope, ""
 
 
 def plain_name(text: str) -> str:
     """A target as a plain qualified name: argument lists dropped, cut at the first parenthesis."""
-    level = depths(text, "<", ">")
-    kept = "".join(c for c, d in zip(text, level, strict=True) if d == 0 and c not in "<>")
-    return kept.partition("(")[0].strip()
+    kept = itertools.takewhile(lambda x: not (isinstance(x, Group) and x.open == "("), tree(text))
+    return spelled([x for x in kept if str(x)[0] not in "<>"]).strip()
 
 
 def without_injected_arguments(name: str) -> str:
-    """`Foo<Bar<X>>(int)` becomes `Foo(int)`: a constructor's name without its class's arguments."""
-    m = re.match(r"(~?\w+)\s*<", name)
-    return m[1] + name[closing(name, m.end() - 1, "<", ">") :] if m else name
+    """`Foo<Bar<X>>(int)` becomes `Foo(int)`: a constructor's name without its class's arguments. Other shapes stay."""
+    items = tree(name)
+    at = next((i for i, x in enumerate(items) if isinstance(x, Group) and x.open == "<"), 0)
+    behind = spelled(items[at + 1 :])
+    return spelled(items[:at]) + behind if at and items[at].shut and behind[:1] in ("", "(") else name
 
 
 def recovered_scope(signature: str) -> str:

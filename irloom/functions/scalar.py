@@ -112,8 +112,13 @@ def xref_target(c: Column | str) -> Column:
     return F.when(F.rlike(_c(c), F.lit(r"<[^<>]*>\s*$")), explicit).otherwise(_c(c))
 
 
+# Specifiers in front of a declaration that do not tell two apart.
+IDENTITY_SPECIFIERS = ["constexpr", "consteval", "constinit", "inline"]
+
+
 def identity_text(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), r"^(?:(?:constexpr|consteval|constinit|inline)\s+)+", "")
+    """A declaration without the specifiers in front of it that do not tell two apart."""
+    return F.regexp_replace(_c(c), rf"^(?:(?:{'|'.join(IDENTITY_SPECIFIERS)})\s+)*", "")
 
 
 def dep_value(c: Column | str) -> Column:
