@@ -13,11 +13,19 @@ copies) never emit all their pairs. Classes of which at most a third of the list
 are that common meet their partners in the short lists as well, so they leave the long
 ones. Those with more are listed among themselves under their whole sketch, and leave
 the long lists if at most COMMON of it is common even there. The others, mostly made of
-common content, meet in rounds: in each long list that still spans several components
-some leaders are compared with all its members, linked ones join a component, and a
-leader that has been compared with all leaves the list. A
-list is done when those left are of one component; so no pair of different components
-goes uncompared, and a group of copies takes a few rounds, not all its pairs.
+common content, go on with their whole sets. Of these, a class with under PERCENT of its
+set in other classes has no partner and leaves. In each long list the most typical member
+leads: all others are compared with it, and those linked form the list's main component;
+a few more leaders from outside it follow. What then stands outside the main component
+is compared with the whole list, in blocks, which return a spanning forest of what they
+link; pairs inside the main component are never looked at. So no pair of different
+components goes uncompared, and a group of copies takes one comparison a member.
+
+Bounds: a pair at the threshold without common values shares fewer than 6 of 24 listed
+values with probability 4e-8; one whose partner's sketch is common up to the limit, none
+of the others with 2e-5 (both fall steeply above the threshold); the estimate drops a pair
+at the threshold with 6e-5. Sets of at most SKETCH shingles are never estimated. Whole
+sets are compared by 63-bit hashes of shingles in long lists, by their words elsewhere.
 
 Cases: null or empty texts, and such without words, have the empty set, are linked with
 nothing and are kept; texts of one to four words have one shingle, their whole sequence;
@@ -42,11 +50,13 @@ from irloom.llm.components import components
 WORDS, PERCENT = 5, 75
 SKETCH, LISTED, HOT = 64, 24, 32
 #: Share of a sketch in long lists from which a class must meet others there, and in how many of them.
-COMMON, MET = 0.625, 12
+COMMON, MET = 0.5, 12
 #: Four standard errors of the estimate below the threshold.
 SLACK = 4 * (0.75 * 0.25 / SKETCH) ** 0.5
-#: Leaders a long list gets in each round; the last number holds from then on.
-LEADERS = (1, 4, 32, 128, 512)
+#: Leaders, one after another, that a long list is compared with at most before blocks of it are.
+LEADER_ROUNDS = 4
+#: Members and set values of a block of a long list.
+BLOCK_ROWS, BLOCK_VALUES = 4096, 4_000_000
 #: Ids of at most so many documents are broadcast to fetch their texts; beyond that the tables are joined by shuffle.
 BROADCAST_IDS = 200_000
 MEMO_WORDS = 600_000
@@ -165,33 +175,139 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sure.select("a", "b").union(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def long_list_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> list[DataFrame]:
-    """Links found in rounds in the long lists (v, rep, n)."""
+def set_bytes(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, n and `set`, the whole hashed set, of the classes in `reps`, from the texts."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [hashed_set(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "set"])
+
+    return texts_of(docs, reps.select(F.col("rep").alias("doc_id"))).dropDuplicates(["doc_id"]).mapInArrow(run, "rep long, n long, set array<long>")
+
+
+def shared_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, n, `common` (the values of the whole set that another class of `reps` has as well) and `typical`.
+
+    A partner holds PERCENT of a class's set at least, so a class with fewer common values
+    has none here and is left out. `typical` is the cosine to the sum of all sets, up to a
+    constant.
+    """
+    values = cut(set_bytes(docs, reps).select("rep", "n", F.explode("set").alias("v")))
+    counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    each = values.join(counts, "v").groupBy("rep", "n").agg(F.collect_list("v").alias("common"), (F.sum("df") / F.sqrt(F.first("n"))).alias("typical"))
+    return cut(each.where(F.size("common") * 100 >= F.col("n") * PERCENT))
+
+
+def moved(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (v, rep, component) after links between components (a, b)."""
+    to = components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return members.join(to, "component", "left").select("v", "rep", F.coalesce("to", "component").alias("component"))
+
+
+def with_main(members: DataFrame) -> DataFrame:
+    """Members of lists that span several components, with each list's largest component as `main`."""
+    sizes = members.groupBy("v", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("v").agg(F.count("*").alias("many"), F.max_by("component", F.struct("size", -F.col("component"))).alias("main"))
+    return members.join(main.where("many > 1").select("v", "main"), "v")
+
+
+def leader_links(lists: DataFrame, shared: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links of components found by comparing each list (v, rep) with its leaders, and the members (v, rep, component)."""
     links: list[DataFrame] = []
-    members = cut(lists.select("v", "rep", "n", F.col("rep").alias("component"), F.lit(False).alias("done")))
-    rounds = 0
-    while True:
-        open_ = members.where("NOT done").groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("v", "low")
-        live = cut(members.join(open_, "v"))
-        if live.isEmpty():
-            return links
-        per_list = LEADERS[min(rounds, len(LEADERS) - 1)]
-        order = F.xxhash64("rep", F.lit(rounds))
-        # Leaders come from outside the component with the smallest id; in the first round each class is its own.
-        outside = live.where("NOT done" + (" AND component <> low" if rounds else ""))
-        leaders = cut(outside.groupBy("v", F.pmod(order, F.lit(per_list)).alias("k")).agg(F.min_by(F.struct("rep", "n", "component"), order).alias("leader")).select("v", "leader"))
-        met = live.join(leaders, "v").where((F.col("component") != F.col("leader.component")) & (F.col("rep") != F.col("leader.rep")))
-        met = met.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb")).where(near()).select("a", "b").distinct()
-        new = cut(confirmed(estimated(met, classes), docs))
-        members = live.drop("low").join(leaders.select("v", F.col("leader.rep").alias("rep"), F.lit(True).alias("led")), ["v", "rep"], "left").select("v", "rep", "n", "component", F.expr("done OR coalesce(led, false)").alias("done"))
-        if not new.isEmpty():
-            links.append(new)
-            at = live.select(F.col("rep"), "component").distinct()
-            joined = new.join(at.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-            moved = components(joined, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
-            members = members.join(moved, "component", "left").select("v", "rep", "n", F.coalesce("to", "component").alias("component"), "done")
-        members = cut(members)
-        rounds += 1
+    members = cut(lists.select("v", "rep", F.col("rep").alias("component")))
+    n = members.count()
+    for k in range(LEADER_ROUNDS):
+        live = cut(with_main(members).join(shared.select("rep", "typical"), "rep"))
+        outside = live.where("component <> main") if k else live
+        leaders = outside.groupBy("v").agg(F.max_by(F.struct("rep", "component"), F.struct("typical", -F.col("rep"))).alias("leader"))
+        met = live.join(leaders, "v").where("component <> leader.component").select(F.col("leader.rep").alias("a"), F.col("leader.component").alias("ca"), F.col("rep").alias("b"), F.col("component").alias("cb")).distinct()
+        left, right = (shared.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"s{x}")) for x in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        linked = met.join(left, "a").join(right, "b").where(near()).withColumn("both", both).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT)
+        new = cut(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        gained = new.count()
+        if not gained:
+            break
+        links.append(new)
+        members = cut(moved(members, new))
+        if gained * LISTED < n:
+            break
+    return links, members
+
+
+def block_links(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (a, b) of components from all pairs of each list (v, rep, component) but those inside its main component.
+
+    A list is dealt out in blocks of bounded bytes, and pairs of blocks are compared. A
+    pair of blocks yields a spanning forest of the components that it links, not its pairs.
+    """
+    live = with_main(members).join(shared.select("rep", "n", "common"), "rep")
+    live = cut(live.withColumn("rest", F.col("component") != F.col("main")))
+    need = lambda rest: F.ceil(F.greatest(F.sum(F.when(rest, F.size("common") + 1)) / BLOCK_VALUES, F.count(F.when(rest, 1)) / BLOCK_ROWS))
+    blocks = live.groupBy("v").agg(need(F.lit(True)).alias("all"), need(F.col("rest")).alias("r"), need(~F.col("rest")).alias("c"))
+    # A list of one block stays whole; else the rest and the main component get blocks of their own.
+    blocks = blocks.select("v", F.when(F.col("all") <= 1, 1).otherwise(F.col("r")).cast("int").alias("r"), F.when(F.col("all") <= 1, 0).otherwise(F.col("c")).cast("int").alias("c"))
+    dealt = live.join(blocks, "v")
+    spot = F.xxhash64("rep")
+    own = F.when(F.col("rest") | (F.col("c") == 0), F.pmod(spot, F.col("r"))).otherwise(F.col("r") + F.pmod(spot, F.greatest("c", F.lit(1)))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("q", F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("r"), F.col("r") + F.col("c")).otherwise(F.col("r")) - 1)))
+    dealt = dealt.select("v", F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), "rep", "n", "component", "rest", "common")
+    dealt = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "rep")
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = [held.column(c).to_numpy() for c in ("v", "i", "j")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            start = 0
+            for end in ends.tolist():
+                yield forest(held.slice(start, end - start))
+                start = end
+            held = held.slice(start)
+        if held is not None and held.num_rows:
+            yield forest(held)
+
+    text_batches(members.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def forest(block: pa.Table) -> pa.RecordBatch:
+    """A spanning forest (a, b) of the components that similar pairs of the block link."""
+    block = block.combine_chunks()
+    n, component, rest = (block.column(c).to_numpy() for c in ("n", "component", "rest"))
+    sets = block.column("common").combine_chunks()
+    _, value = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(n)), np.diff(sets.offsets.to_numpy()))
+    some = np.flatnonzero(rest)
+    both = np.zeros((len(some), len(n)), np.float32)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    width = 2048
+    for first in range(0, int(value[-1]) + 1 if len(value) else 0, width):
+        lo, hi = np.searchsorted(value, (first, first + width))
+        holds = np.zeros((len(n), width), np.float32)
+        holds[owner[lo:hi], value[lo:hi] - first] = 1
+        both += holds[some] @ holds.T
+    x, y = np.nonzero(both * 100 >= (n[some][:, None] + n[None] - both) * PERCENT)
+    a, b = component[some[x]], component[y]
+    found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b], axis=0)
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for a, b in found.tolist():
+        s, t = top(a), top(b)
+        if s != t:
+            root[max(s, t)] = min(s, t)
+            out.append((a, b))
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,14 +338,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # What is left is made of common content: it meets in the long lists of its smallest common values.
     mostly = again.where((F.col("left") > HOT) & (F.col("hot") > COMMON * F.least(F.col("n"), F.lit(SKETCH))))
-    mostly = mostly.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("at"))).where(F.col("r") <= MET).select("v", "rep", "n", "hot")
-    mostly = cut(mostly)
-    mostly = cut(mostly.join(mostly.groupBy("v").agg(F.count("*").alias("left")).where("left > 1"), "v"))
-    pairs = rare.union(short).union(list_pairs(mostly.where(F.col("left") <= HOT)).select("a", "b")).distinct()
-    long_ = mostly.where(F.col("left") > HOT)
-    texts = cut(texts_of(docs, long_.select(F.col("rep").alias("doc_id")).distinct()))
-    links = long_list_links(long_, classes, texts)
-    links.append(confirmed(estimated(pairs, classes), docs))
+    shared = shared_sets(docs, mostly.select("rep").distinct())
+    mostly = mostly.join(shared.select("rep"), "rep").withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("at"))).where(F.col("r") <= MET)
+    links, members = leader_links(mostly, shared)
+    links.append(cut(block_links(members, shared)))
+    links.append(confirmed(estimated(rare.union(short).distinct(), classes), docs))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)

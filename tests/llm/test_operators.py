@@ -176,6 +176,25 @@ def test_near_duplicates_in_long_lists(spark, words, monkeypatch):
     hold_near_duplicates(spark, rows)
 
 
+@pytest.mark.parametrize("block_rows", [4096, 60])
+def test_near_duplicates_in_large_groups(spark, words, monkeypatch, block_rows):
+    """Two groups of hundreds of near copies, whose members stand on either side of the threshold, and cut versions."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    rng = random.Random(29)
+    rows = []
+    for start, size, most in ((0, 500, 9), (1000, 150, 14)):
+        base = rng.choices(words, k=120)
+        for i in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, most)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10_000)}"
+            if i % 7 == 0:
+                at = rng.randrange(80)
+                del w[at : at + rng.randint(1, 40)]
+            rows.append((start + i, " ".join(w), "en"))
+    hold_near_duplicates(spark, rows)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
