@@ -1,22 +1,25 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-All scores of all queries are computed, in blocks of queries against blocks of
-candidates. Each pass counts the scores in equal steps of the interval that is known to
-hold a query's k-th score; the step where the count from above reaches k is the next
-interval, until it is a single value. A last pass keeps what is above that value, and of
-the candidates that tie at it those with the smallest ids.
-
-A block counts no score below its own k-th: such a score is among no query's first k, so
-a block sends k counts a query at most. Passes read blocks that are written once.
-
-Cases: vectors that are null, empty, or hold a null or a non-finite component take no
-part; vectors meet only those of their length; a query with fewer than k candidates gets
-all; a row is never a candidate of a query with its own id; repeated rows of another id
-count each; an empty table gives no rows; extra columns are ignored.
+All scores of all queries are computed once, in blocks of queries against blocks of
+candidates; a block keeps its first k of each query, since no other score of it is among
+a query's first k. Over what is kept, each pass counts the scores in equal steps of the
+interval that is known to hold a query's k-th score; the step where the count from above
+reaches k is the next interval, until it is a single value. What is above that value
+stays, and of the candidates that tie at it those with the smallest ids.
+
+Cases: vectors that are null, empty, or hold a component that is null or, times SCALE,
+not finite take no part; vectors meet only those of their length, and a query without any such other vector
+has no rows; a query with fewer than k candidates gets all; a row is never a candidate of
+a query with its own id; repeated rows of another id count each; of several vectors under
+one query id the smallest in order is asked for; scores beyond 64 bits rank by their value
+up to 10^37 and are given as the largest or smallest long; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +32,13 @@ K, SCALE = 5, 256
 CANDIDATES, QUERIES, STEPS = 1024, 256, 1024
 #: Block pairs handed to Python at a time.
 BATCH_ROWS = 32
-MERGE = 64
+#: Scores are exact up to this value; components from here on have no multiple by SCALE in double precision.
+FAR, LARGEST = 10**37, 2.0**1016
 
 
 def clean(items: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(LARGEST)))
     return items.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -58,12 +62,12 @@ def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
 
 
 def score(q: bytes, c: bytes, dim: int) -> np.ndarray:
-    """Integer inner products, exact: in doubles where they hold them, else in Python's integers."""
+    """Integer inner products: in doubles where these hold them, else in Python's integers, up to FAR."""
     a, b = np.frombuffer(q, "<f8").reshape(-1, dim), np.frombuffer(c, "<f8").reshape(-1, dim)
     if dim * float(np.abs(a).max()) * float(np.abs(b).max()) < 2**53:
         return (a @ b.T).astype(np.int64)
-    whole = np.frompyfunc(int, 1, 1)
-    return whole(a).dot(whole(b).T)
+    whole, near = np.frompyfunc(int, 1, 1), np.frompyfunc(lambda x: max(-FAR, min(FAR, x)), 1, 1)
+    return near(whole(a).dot(whole(b).T))
 
 
 def scores_above(row: dict, k: int):
@@ -85,76 +89,64 @@ def scores_above(row: dict, k: int):
         yield i, c[keep], s[i, keep]
 
 
+def block_best(pairs: DataFrame, k: int) -> DataFrame:
+    """id, vec_id and score of the first k candidates of each query in each block of candidates, ties to smaller ids."""
+
+    def run(batches):
+        for batch in batches:
+            q, v, x = [], [], []
+            for row in batch.to_pylist():
+                q_ids = np.frombuffer(row["q_ids"], "<i8").tolist()
+                for i, ids, s in scores_above(row, k):
+                    best = sorted((-int(b), int(a)) for a, b in zip(ids, s, strict=True))[:k]
+                    q += [q_ids[i]] * len(best)
+                    v += [a for _, a in best]
+                    x += [Decimal(-b) for b, _ in best]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(x, pa.decimal128(38, 0))], names=["id", "vec_id", "score"])
+
+    return pairs.mapInArrow(run, "id long, vec_id long, score decimal(38,0)")
+
+
+def kth_scores(found: DataFrame, k: int) -> DataFrame:
+    """id and low: each query's k-th score, or its smallest if it has fewer, by refining histograms.
+
+    Each pass counts, per query, the scores in equal steps of the interval that holds the
+    k-th; the step in which the count from above reaches k is the next interval. A score
+    above the interval counts in its topmost step, which none but they can fill up to k.
+    """
+    whole = lambda c: c.cast("decimal(38,0)")
+    low, high = found.agg(F.min("score"), F.max("score")).first()
+    known = found.select("id").distinct().withColumn("low", whole(F.lit(low)))
+    width = int(high) - int(low) + 1 if low is not None else 1
+    while width > 1:
+        step = -(-width // STEPS)
+        top = -(-width // step)
+        over = F.least(F.col("score") - F.col("low"), F.lit(Decimal(top * step)))
+        binned = found.join(known, "id").where(F.col("score") >= F.col("low")).select("id", over.alias("over")).selectExpr("id", f"over DIV {step}BD AS bin")
+        histogram = binned.groupBy("id", "bin").agg(F.count("*").alias("m"))
+        running = histogram.withColumn("run", F.sum("m").over(W.partitionBy("id").orderBy(F.desc("bin"))))
+        reached = running.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("run") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
+        known = cut(known.join(reached, "id").select("id", whole(F.col("low") + F.col("bin") * F.lit(Decimal(step))).alias("low")))
+        width = step
+    return known
+
+
 def top_k(items: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best; `is_query` is a condition on `id_col`."""
     spark = items.sparkSession
     rows = cut(clean(items, id_col, vector_col))
-    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").dropDuplicates(["id"])
-    n, largest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * SCALE).cast("double"), 2)))).first()
-    candidates = cut(blocks(rows, CANDIDATES, n))
+    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
+    asked = cut(asked.groupBy("id").agg(F.min("v").alias("v")))
+    candidates = cut(blocks(rows, CANDIDATES, rows.count()))
     queries = cut(blocks(asked, QUERIES, asked.count()))
-    # No inner product is larger than the largest squared length.
-    bound = int(largest or 0) + 1
     ids = candidates.select(F.col("block").alias("c_block"), "dim")
-    pairs = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).join(ids, "dim")
+    pairs = queries.select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).join(ids, "dim")
     pairs = pairs.join(candidates.select(F.col("block").alias("c_block"), "dim", F.col("ids").alias("c_ids"), F.col("m").alias("c_m")), ["c_block", "dim"])
-    # known: per query the interval [low, low + width) of its k-th score and how many scores are above it
-    known = asked.select("id", F.lit(-bound).cast("long").alias("low"), F.lit(2 * bound + 1).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
-    many = max(1, -(-asked.count() // QUERIES))
-    width = 2 * bound + 1
-
-    def with_state(known: DataFrame) -> DataFrame:
-        """Block pairs with the state of the block's queries as arrays, in the order of the ids."""
-        per = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("q_block")).agg(F.sort_array(F.collect_list(F.struct("id", "low"))).alias("state"))
-        return pairs.join(per, "q_block")  # a block holds about QUERIES queries
-
-    while width > 1:
-        step = -(-width // STEPS)
-
-        def count(batches, step=step, width=width):
-            for batch in batches:
-                q, b, m = [], [], []
-                for row in batch.to_pylist():
-                    low = {s["id"]: s["low"] for s in row["state"]}
-                    q_ids = np.frombuffer(row["q_ids"], "<i8").tolist()
-                    for i, _, s in scores_above(row, k):
-                        base = low[q_ids[i]]
-                        at = [(int(x) - base) // step for x in s if x >= base]  # none is above a known interval but those counted before
-                        for x, times in zip(*np.unique(np.minimum(at, -(-width // step)), return_counts=True), strict=True) if at else ():
-                            q.append(q_ids[i])
-                            b.append(int(x))
-                            m.append(int(times))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int64())], names=["id", "bin", "m"])
-
-        text_batches(spark, BATCH_ROWS)
-        histogram = with_state(known).mapInArrow(count, "id long, bin long, m long").groupBy("id", "bin").agg(F.sum("m").alias("m"))
-        # Counts of steps from the top down; the first that reaches k holds the k-th score. Fewer than k in all: the lowest.
-        running = F.sum("m").over(W.partitionBy("id").orderBy(F.desc("bin")))
-        reached = histogram.withColumn("run", running).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("run") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
-        known = cut(known.join(reached, "id").select("id", (F.col("low") + F.col("bin") * step).alias("low"), F.lit(step).alias("width"), "above"))
-        width = step
-
-    def keep(batches):
-        for batch in batches:
-            q, v, x, c = [], [], [], []
-            for row in batch.to_pylist():
-                low = {s["id"]: s["low"] for s in row["state"]}
-                q_ids = np.frombuffer(row["q_ids"], "<i8").tolist()
-                for i, ids_, s in scores_above(row, k):
-                    if q_ids[i] not in low:
-                        continue
-                    best = sorted(((-int(b), int(a)) for a, b in zip(ids_, s, strict=True) if b >= low[q_ids[i]]))[:k]
-                    for b, a in best:
-                        q.append(q_ids[i])
-                        v.append(a)
-                        x.append(-b)
-                        c.append(row["c_block"])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(x, pa.int64()), pa.array(c, pa.int32())], names=["query_id", "vec_id", "score", "c_block"])
-
     text_batches(spark, BATCH_ROWS)
+    found = cut(block_best(pairs, k))
+    # What is at or above a query's k-th score: fewer than k rows and those that tie at it.
+    left = found.join(kth_scores(found, k), "id").where(F.col("score") >= F.col("low"))
     order = [F.desc("score"), F.asc("vec_id")]
-    found = with_state(known).mapInArrow(keep, "query_id long, vec_id long, score long, c_block int")
-    # Ties may come from every block: first the best of groups of blocks, then those of the query.
-    found = found.withColumn("r", F.row_number().over(W.partitionBy("query_id", F.pmod("c_block", F.lit(MERGE))).orderBy(*order))).where(F.col("r") <= k)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order)).cast("int")).where(F.col("rank") <= k)
+    most = F.lit(2**63 - 1).cast("decimal(38,0)")
+    return ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", F.greatest(-most, F.least(most, "score")).cast("long").alias("score"))
