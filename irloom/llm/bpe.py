@@ -27,7 +27,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irloom.llm.common import Numbering, gather, text_batches, text_blocks
+from irloom.llm.common import Numbering, gather, text_batches, text_blocks, worker_memo
+from irloom.llm.common import digest as digest_of
 
 BLOCK_BYTES = 24 << 20
 #: Distinct pieces whose ids a worker keeps; about 250 bytes each.
@@ -156,20 +157,12 @@ def replay(merges: Merges, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts; remembers the pieces it has replayed."""
 
-    _worker: dict[int, Encoder] = {}
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.merges, self.cut = Merges(ranks), regex.compile(pattern).findall
         self.forget()
 
-    @classmethod
-    def of_worker(cls, key: int, ranks, pattern: str) -> Encoder:
-        if key not in cls._worker:
-            cls._worker[key] = cls(ranks.value, pattern)
-        return cls._worker[key]
-
     def forget(self) -> None:
         self.number, self.lengths, self.flat = Numbering(), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -190,11 +183,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     spark = docs.sparkSession
     text_batches(spark)
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    table = spark.sparkContext.broadcast(load_ranks(path))  # a fixed vocabulary file
-    key = hash((path, pattern))
+    ranks = load_ranks(path)
+    table = spark.sparkContext.broadcast(ranks)  # a fixed vocabulary file
+    key = ("bpe", digest_of(repr(sorted(ranks.items())).encode(), pattern.encode()))
 
     def run(batches):
-        encoder = Encoder.of_worker(key, table, pattern)
+        encoder = worker_memo(key, lambda: Encoder(table.value, pattern))
         for ids_, texts in text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES):
             encoded = encoder.encode(texts)
             del texts

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +61,33 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(buckets)) < int(buckets * limit / n))
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def worker_memo(owner: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers between tasks, of one owner at a time.
+
+    Workers serve all stages of a session, so what an earlier stage remembered goes, and
+    its memory is handed back, before another begins.
+    """
+    if owner not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps or returns freed memory by itself
+        _held[owner] = make()
+    return _held[owner]
+
+
+def digest(*parts: bytes) -> str:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(len(p).to_bytes(8, "little") + p)
+    return h.hexdigest()
+
+
 class Numbering(dict):
     """Gives each new key the next number."""
 
