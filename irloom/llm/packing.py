@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irloom.llm.common import Numbering, gather, text_batches, text_blocks
+from irloom.llm.common import Numbering, digest, gather, text_batches, text_blocks, worker_memo
 
 CAPACITY = 4096
 END_ID = 2
@@ -47,8 +47,6 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordEncoder:
     """Token ids of texts, string by string between spaces; remembers what it has encoded."""
 
-    _worker: dict[int, WordEncoder] = {}
-
     def __init__(self, model: str):
         import os
 
@@ -56,19 +54,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
         self.forget()
 
-    @classmethod
-    def of_worker(cls, model: str) -> WordEncoder:
-        key = hash(model)
-        if key not in cls._worker:
-            cls._worker[key] = cls(model)
-        return cls._worker[key]
-
     def forget(self) -> None:
         self.number, self.lengths, self.flat = Numbering(), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
@@ -189,15 +179,17 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
     The tokenizer drops white space, so what stands between two spaces is encoded by
     itself. A worker keeps the ids of up to MEMO_WORDS such strings and encodes only new
-    ones. Strings of special tokens in a text are ordinary text.
+    ones. A special token that is written out in a text gets its id, as the library does it.
     """
     spark = docs.sparkSession
     text_batches(spark)
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary file
+        raw = f.read()
+    model = spark.sparkContext.broadcast(raw)  # a fixed vocabulary file
+    key = ("packing", digest(raw.encode()))
 
     def run(batches):
-        encoder = WordEncoder.of_worker(model.value)
+        encoder = worker_memo(key, lambda: WordEncoder(model.value))
         part, n_seq = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
         for ids_, texts in text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES):
