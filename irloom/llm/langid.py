@@ -6,8 +6,8 @@ by a forward recursion over its characters, so no single segmentation decides. A
 score for a language is the sum of the log-probabilities of its words; the prediction is
 the language with the largest, and the score its posterior under even priors.
 
-Words are maximal runs of letters of the lower-cased text, marked at their start; a run
-of over MAX_WORD letters is scored in parts of that length.
+Words are maximal runs of letters of the lower-cased text, marked at their start. The
+forward sums are scaled every few characters, so a run of any length is scored whole.
 
 Cases: a null text or one without letters gives `und` with score 0; equal likelihoods go
 to the first language by name; with no labelled row nothing is learned and every text is
@@ -19,6 +19,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +28,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irloom.llm.common import Numbering, bounded_sample, text_batches
+from irloom.llm.common import Numbering, bounded_sample, digest, text_batches, worker_memo
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-MAX_WORD = 32
 #: Labelled rows learned from at most.
 SAMPLE_ROWS = 6000
 #: Added to every count of a piece.
@@ -39,6 +39,10 @@ SMOOTHING = 0.5
 #: Probability of one character that no piece covers.
 UNSEEN = 1e-7
 MEMO_WORDS = 600_000
+#: Characters after which the forward sums are scaled.
+SCALED = 8
+#: Letters scored together.
+BATCH_LETTERS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -68,26 +72,24 @@ class Pieces:
         self.order = np.argsort(h)
         self.hashes = h[self.order]
 
-    def find(self, codes: np.ndarray) -> list[list[np.ndarray]]:
-        """found[e][l - 1]: the piece of length l that ends before place e, of each word (-1: none)."""
+    def find(self, codes: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For each place after a character, by length from 1: the piece that ends there, of each word (-1: none)."""
         n, m = codes.shape
         with np.errstate(over="ignore"):
-            prefix = np.zeros((m + 1, n), np.uint64)
-            for j in range(m):
-                prefix[j + 1] = prefix[j] * BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
             power, p = [], np.uint64(1)
             for _ in range(self.longest + 1):
                 power.append(p)
                 p = p * BASE
-            found = [[]]
+            prefix = [np.zeros(n, np.uint64)]
             for e in range(1, m + 1):
+                prefix.append(prefix[-1] * BASE + codes[:, e - 1].astype(np.uint64) + np.uint64(1))
+                prefix = prefix[-self.longest - 1 :]
                 row = []
-                for size in range(1, min(e, self.longest) + 1):
-                    h = prefix[e] - prefix[e - size] * power[size]
+                for size in range(1, len(prefix)):
+                    h = prefix[-1] - prefix[-1 - size] * power[size]
                     at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                     row.append(np.where(self.hashes[at] == h, self.order[at], -1))
-                found.append(row)
-        return found
+                yield row
 
 
 def by_length(words: list[str]):
@@ -96,8 +98,9 @@ def by_length(words: list[str]):
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for size, at in groups.items():
-        for k in range(0, len(at), 20_000):
-            part = at[k : k + 20_000]
+        step = max(1, BATCH_LETTERS // (size + 1))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
             codes = np.frombuffer("".join(MARK + words[i] for i in part).encode("utf-32-le"), "<u4").reshape(len(part), size + 1)
             yield np.array(part), codes
 
@@ -113,35 +116,28 @@ class Model:
         """log P(word | language), summed over all segmentations."""
         out = np.zeros((len(words), len(self.languages)))
         for at, codes in by_length(words):
-            found = self.pieces.find(codes)
-            forward = [np.ones((len(at), len(self.languages)))]
-            for e in range(1, len(found)):
-                total = forward[e - 1] * UNSEEN
-                for size, piece in enumerate(found[e], 1):
+            forward, logs = [np.ones((len(at), len(self.languages)))], np.zeros((len(at), len(self.languages)))
+            for e, row in enumerate(self.pieces.find(codes), 1):
+                total = forward[-1] * UNSEEN
+                for size, piece in enumerate(row, 1):
                     hit = np.flatnonzero(piece >= 0)
                     if len(hit):
-                        total[hit] += forward[e - size][hit] * self.probability[piece[hit]]
-                forward.append(total)
-            out[at] = np.log(forward[-1])
+                        total[hit] += forward[-size][hit] * self.probability[piece[hit]]
+                forward = [*forward[-self.pieces.longest + 1 :], total]
+                if e % SCALED == 0:
+                    logs += np.log(total)
+                    forward = [f / total for f in forward]
+            out[at] = logs + np.log(forward[-1])
         return out
 
 
 class Scorer:
     """A worker's model and the scores of words it has met."""
 
-    _worker: dict[str, Scorer] = {}
-
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
-    @classmethod
-    def of_worker(cls, key: str, model) -> Scorer:
-        if key not in cls._worker:
-            cls._worker.clear()
-            cls._worker[key] = cls(model.value)
-        return cls._worker[key]
-
     def forget(self) -> None:
         self.number, self.table = Numbering(), np.zeros((0, len(self.model.languages)))
 
@@ -153,8 +149,6 @@ class Scorer:
         rows = []
         for t in texts:
             words = words_of(t) if t else []
-            if any(map(MAX_WORD.__lt__, map(len, words))):
-                words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
             rows.append(np.fromiter(map(self.number.__getitem__, words), np.int64))
         new = list(itertools.islice(self.number, known, None))
         if new:
@@ -214,20 +208,20 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, sample_rows: int =
     return Model(languages, Pieces([pieces[i] for i in ordinary]), probability)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns in `keep` with lang_pred and score of every text."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in `keep` with the language and score of every text under the names in `to`."""
     spark = docs.sparkSession
     text_batches(spark)
     keep = keep or ["doc_id"]
     at = keep.index("text") if "text" in keep else len(keep)
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(to[0]), F.lit(0.0).alias(to[1]))
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary times the languages
-    key = f"{spark.sparkContext.applicationId}-{id(shared)}"
+    key = ("langid", digest(repr((model.languages, model.pieces.pieces)).encode(), model.probability.tobytes()))
     languages = model.languages
 
     def run(batches):
-        scorer = Scorer.of_worker(key, shared)
+        scorer = worker_memo(key, lambda: Scorer(shared.value))
         for batch in batches:
             langs, scores = [], []
             for total in scorer.score(batch.column(at).to_pylist()):
@@ -238,7 +232,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                     best = int(total.argmax())
                     langs.append(languages[best])
                     scores.append(1 / math.fsum(np.exp(total - total[best])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs), pa.array(scores)], names=[*keep, *to])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(to[0], "string").add(to[1], "double")
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string")])).mapInArrow(run, schema)
