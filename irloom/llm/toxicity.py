@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from irloom.llm.common import bounded_sample, text_batches
+from irloom.llm.common import bounded_sample, digest, text_batches, worker_memo
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows learned from at most.
 SAMPLE_ROWS = 24_000
-#: Words and stems with a weight of their own at most, by significance.
-LEXICON = 20_000
 #: Documents' worth of prior counts; z (of a word, of a stem) and log-odds from which there is a weight of its own.
 PRIOR, MIN_Z, MIN_Z_STEM, MIN_ODDS = 10.0, 2.5, 3.5, 1.3
 STEMS = (7, 6, 5, 4)
@@ -109,13 +107,15 @@ class Model:
 
     def weights(self, words: list[str]) -> np.ndarray:
         """Weights of words; those met before are kept, up to a bound."""
-        known = self.__dict__.setdefault("_known", Known(self))
+        if "_key" not in self.__dict__:
+            self._key = ("toxicity", digest(repr((sorted(self.words.items()), sorted(self.stems.items()), self.other)).encode()))
+        known = worker_memo(self._key, lambda: Known(self))
         if len(known) > MEMO_WORDS:
             known.clear()
         return np.fromiter(map(known.__getitem__, words), float, len(words))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k != "_key"}
 
     def surprise(self, score: float, n: int) -> float:
         """-log of how many segments of this score chance gives in n words."""
@@ -177,15 +177,16 @@ def near_key(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(keys, pa.string())], names=["toxic", "text", "near"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from `labels` (doc_id, toxic), a bounded sample of whose rows is looked up in `docs`.
 
     Of equal and most nearly equal texts of one label one counts. Words are counted on the executors; only those
-    that pass the test of significance come to the driver, at most `lexicon`.
+    that pass the test of significance come to the driver. They are words and stems of the sample, so its bound is
+    theirs. A label counts as toxic if it is above 0.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    marked = bounded_sample(labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", sample_rows)
+    marked = bounded_sample(labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")), "doc_id", sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))  # bounded by sample_rows
     texts = texts.mapInArrow(near_key, "toxic int, text string, near string").groupBy("toxic", "near").agg(F.min("text").alias("text")).drop("near").persist()
 
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     delta = odds(F.col("t"), F.lit(float(total.t))) - odds(F.col("c"), F.lit(float(total.c)))
     z = delta / F.sqrt(1 / (F.col("t") + PRIOR * share) + 1 / (F.col("c") + PRIOR * share))
     told = counts.where("kind < 2 AND t + c > 1").select("word", "kind", delta.alias("delta"), z.alias("z")).where((F.col("z") >= F.when(F.col("kind") == 0, MIN_Z).otherwise(MIN_Z_STEM)) & (F.col("delta") >= MIN_ODDS))
-    rows = told.orderBy(F.col("z").desc(), "word", "kind").limit(lexicon).collect()
+    rows = told.collect()
     counts.unpersist()
     bound = 6.0
     weights = {k: {r.word: max(-bound, min(bound, r.delta)) for r in rows if r.kind == k and r.delta > 0} for k in (0, 1)}
@@ -242,6 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     mean_above = (sum(r.above for r in clean) + 1.0) / (n_above + 1.0)
     # All other words share one weight, low enough that a clean text's sum falls twice as fast as it rises.
     model.other = -(0.03 + 3 * sum(r.above for r in clean) / max(1, n_all))
+    model.__dict__.pop("_key", None)
     model.rate = fit_rate(np.array([mean_above, model.other]), np.array([n_above + 1.0, max(1.0, n_all - n_above)]))
     scored = spark.sparkContext.broadcast(model)
     clean = [r for r in untouched.mapInArrow(best, "n long, best double").collect() if r.n]
@@ -260,18 +262,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     return model
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, passages: bool = False) -> DataFrame:
-    """The columns in `keep` with the score of every text; with `passages` also its significant passages."""
+def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, passages: bool = False, to: str = "score") -> DataFrame:
+    """The columns in `keep` with the score of every text as `to`; with `passages` also its significant passages."""
     spark = docs.sparkSession
     text_batches(spark)
     keep = keep or ["doc_id"]
     at = keep.index("text") if "text" in keep else len(keep)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(to, "double")
     if passages:
         schema = schema.add(*T.StructType.fromDDL("passages array<struct<first_word:int,end_word:int,score:double,surprise:double>>").fields)
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), *([F.array().cast(schema["passages"].dataType).alias("passages")] if passages else []))
-    shared = spark.sparkContext.broadcast(model)  # at most LEXICON words
+        return docs.select(*keep, F.lit(0.0).alias(to), *([F.array().cast(schema["passages"].dataType).alias("passages")] if passages else []))
+    shared = spark.sparkContext.broadcast(model)  # words of a bounded sample
 
     def run(batches):
         for batch in batches:
@@ -282,4 +284,4 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, p
                 cols.append(pa.array([[dict(zip(("first_word", "end_word", "score", "surprise"), p, strict=True)) for p in shared.value.passages(t)[0]] for t in texts], kind))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string")])).mapInArrow(run, schema)
