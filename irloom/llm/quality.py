@@ -31,6 +31,9 @@ STATISTICS = [
     "pipe_share", "stop_share", "comma_share", "angle_share", "wide_share", "distinct_words", "repeated_next", "distinct_lines", "short_words", "top_word",
 ]
 
+#: Of the columns of statistics, which so clash with none of a table.
+PREFIX = "__stat_"
+
 UPPER, DIGIT, SPACE = bytes(range(65, 91)), bytes(range(48, 58)), b" \t\n\r\x0b\x0c"
 SYMBOL, ANGLE, WIDE = b"#$%&*^~=+_@\\/`", b"<>{}[]", bytes(range(0xC2, 0xF5))
 
@@ -57,11 +60,11 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in `keep` and one double column per statistic."""
+    """The columns in `keep` and one double column per statistic, named PREFIX and its name."""
     text_batches(docs.sparkSession)
     schema = docs.select(*keep).schema
     for s in STATISTICS:
-        schema = schema.add(s, "double")
+        schema = schema.add(PREFIX + s, "double")
 
     def run(batches):
         for batch in batches:
@@ -143,7 +146,7 @@ class Model:
         for rule, weight in self.rules:
             test = F.lit(True)
             for j, above, t in rule:
-                c = F.col(STATISTICS[j])
+                c = F.col(PREFIX + STATISTICS[j])
                 test = test & (c > F.lit(t) if above else c <= F.lit(t))
             total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
