@@ -7,31 +7,32 @@ longest chain. Links stay in the cluster and are written to the shared folder ea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from irloom.llm.common import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    """A count and a digest that tell whether two link tables are the same."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table as written, with a count and a digest that tell whether two link tables are the same."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")))
+    return out, (seen.get["n"], seen.get["digest"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) for every node that has a link to another one."""
-    e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = _state(e)
+    e, state = _written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(most_rounds):
         if not state[0]:
             break
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", "m"))
-        e = cut(small.distinct())
-        before, state = state, _state(e)
+        before = state
+        e, state = _written(small.distinct())
         if state == before:
             break
     else:

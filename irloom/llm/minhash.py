@@ -41,10 +41,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.llm.common import cut, text_batches
+from irloom.llm.common import cut, text_batches, worker_memo
 from irloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -53,8 +52,8 @@ SKETCH, LISTED, HOT = 64, 24, 32
 COMMON, MET = 0.5, 12
 #: Four standard errors of the estimate below the threshold.
 SLACK = 4 * (0.75 * 0.25 / SKETCH) ** 0.5
-#: Leaders, one after another, that a long list is compared with at most before blocks of it are.
-LEADER_ROUNDS = 4
+#: Leaders, one after another, that a long list is compared with before blocks of it are.
+LEADER_ROUNDS = 2
 #: Members and set values of a block of a long list.
 BLOCK_ROWS, BLOCK_VALUES = 4096, 4_000_000
 #: Ids of at most so many documents are broadcast to fetch their texts; beyond that the tables are joined by shuffle.
@@ -64,14 +63,13 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 class WordHashes(dict):
+    """The hashes of words that a worker has met."""
+
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_known = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
@@ -88,7 +86,10 @@ def hashed_set(text: str | None, k: int = WORDS) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.int64)
-    w = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    known = worker_memo("minhash", WordHashes)
+    if len(known) > MEMO_WORDS:
+        known.clear()
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         if len(w) < k:
             h = (w * FACTORS[: len(w)]).sum(keepdims=True) + np.uint64(len(w)) * FACTORS[-1]
@@ -108,8 +109,6 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            if len(_known) > MEMO_WORDS:
-                _known.clear()
             sizes, sigs, small = [], [], []
             for text in batch.column(1).to_pylist():
                 s = hashed_set(text)
@@ -199,12 +198,6 @@ def shared_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return cut(each.where(F.size("common") * 100 >= F.col("n") * PERCENT))
 
 
-def moved(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (v, rep, component) after links between components (a, b)."""
-    to = components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return members.join(to, "component", "left").select("v", "rep", F.coalesce("to", "component").alias("component"))
-
-
 def with_main(members: DataFrame) -> DataFrame:
     """Members of lists that span several components, with each list's largest component as `main`."""
     sizes = members.groupBy("v", "component").agg(F.count("*").alias("size"))
@@ -213,27 +206,25 @@ def with_main(members: DataFrame) -> DataFrame:
 
 
 def leader_links(lists: DataFrame, shared: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Links of components found by comparing each list (v, rep) with its leaders, and the members (v, rep, component)."""
+    """Links (a, b) found by comparing each list (v, rep, typical) with its leaders, and the members (v, rep, component).
+
+    A component here is the smallest leader that a class is linked to by itself; the links
+    tell what leaders have to do with one another.
+    """
     links: list[DataFrame] = []
-    members = cut(lists.select("v", "rep", F.col("rep").alias("component")))
-    n = members.count()
+    members = cut(lists.withColumn("component", F.col("rep")))
     for k in range(LEADER_ROUNDS):
-        live = cut(with_main(members).join(shared.select("rep", "typical"), "rep"))
-        outside = live.where("component <> main") if k else live
-        leaders = outside.groupBy("v").agg(F.max_by(F.struct("rep", "component"), F.struct("typical", -F.col("rep"))).alias("leader"))
-        met = live.join(leaders, "v").where("component <> leader.component").select(F.col("leader.rep").alias("a"), F.col("leader.component").alias("ca"), F.col("rep").alias("b"), F.col("component").alias("cb")).distinct()
+        live = with_main(members).where("component <> main") if k else members
+        leaders = live.groupBy("v").agg(F.max_by(F.struct("rep", "component"), F.struct("typical", -F.col("rep"))).alias("leader"))
+        met = members.join(leaders, "v").where("component <> leader.component").select(F.col("leader.rep").alias("a"), F.col("leader.component").alias("to"), F.col("rep").alias("b")).distinct()
         left, right = (shared.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("common").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
         linked = met.join(left, "a").join(right, "b").where(near()).withColumn("both", both).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT)
-        new = cut(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        gained = new.count()
-        if not gained:
-            break
-        links.append(new)
-        members = cut(moved(members, new))
-        if gained * LISTED < n:
-            break
-    return links, members
+        new = cut(linked.select("a", "b", "to"))
+        links.append(new.select("a", "b"))
+        to = new.groupBy(F.col("b").alias("rep")).agg(F.min("to").alias("to"))
+        members = cut(members.join(to, "rep", "left").select("v", "rep", "typical", F.least("component", "to").alias("component")))
+    return links, members.drop("typical")
 
 
 def block_links(members: DataFrame, shared: DataFrame) -> DataFrame:
@@ -316,30 +307,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("sig", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row"))
     classes = cut(rows.drop("sig", "doc_id").join(first.drop("sig"), "row").select("rep", "n", "sketch"))
 
-    listed = classes.select("rep", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    shared = listed.join(listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
-    shared = cut(shared)
-    hot = shared.where(F.col("df") > HOT).groupBy("rep").agg(F.count("*").alias("hot"))
-    lists = cut(shared.join(hot, "rep", "left").select("v", "rep", "n", "df", F.coalesce("hot", F.lit(0)).alias("hot")))
+    def with_counts(values: DataFrame) -> DataFrame:
+        """rep, n and l, the values (v, at, df) that another class has too, in order."""
+        counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+        return cut(values.join(counts, "v").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "v", "df"))).alias("l")))
+
+    def hot(c: str = "l"):
+        return F.size(F.filter(c, lambda x: x.df > HOT))
+
+    def short_lists(of: DataFrame) -> DataFrame:
+        return list_pairs(of.select("rep", "n", hot().alias("hot"), F.explode(F.filter("l", lambda x: x.df <= HOT)).alias("x")).select("x.v", "rep", "n", "hot"))
 
-    rare = list_pairs(lists.where(F.col("df") <= HOT))
+    listed = with_counts(classes.select("rep", "n", F.posexplode(F.slice("sketch", 1, LISTED)).alias("at", "v")))
+    rare = short_lists(listed)
     # Without common values, a pair at the threshold shares about 18 of 24 listed values.
     rare = rare.where((F.col("overlaps") >= 6) | F.col("common") | (F.col("smaller") <= 2 * LISTED)).select("a", "b")
 
     # Classes with much common content are listed under their whole sketch, among themselves.
-    mixed = lists.where(F.col("hot") * 3 > F.least(F.col("n"), F.lit(LISTED))).select("rep").distinct()
-    whole = cut(classes.join(mixed, "rep").select("rep", "n", F.posexplode("sketch").alias("at", "v")))
-    again = cut(whole.join(whole.groupBy("v").agg(F.count("*").alias("left")).where("left > 1"), "v"))
-    heavy = again.where(F.col("left") > HOT).groupBy("rep").agg(F.count("*").alias("hot"))
-    again = again.join(heavy, "rep", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    short = list_pairs(again.where(F.col("left") <= HOT).select("v", "rep", "n", "hot"))
-    # At most COMMON of a sketch is common here, so a pair at the threshold shares about 8 other values.
-    short = short.where((F.col("overlaps") >= 2) | (F.col("smaller") <= 2 * SKETCH)).select("a", "b")
+    mixed = listed.where(hot() * 3 > F.least(F.col("n"), F.lit(LISTED))).select("rep")
+    again = with_counts(classes.join(mixed, "rep").select("rep", "n", F.posexplode("sketch").alias("at", "v")))
+    # At most COMMON of a sketch is common here, so a pair at the threshold shares about 16 other values.
+    short = short_lists(again).where((F.col("overlaps") >= 2) | (F.col("smaller") <= 2 * SKETCH)).select("a", "b")
 
     # What is left is made of common content: it meets in the long lists of its smallest common values.
-    mostly = again.where((F.col("left") > HOT) & (F.col("hot") > COMMON * F.least(F.col("n"), F.lit(SKETCH))))
-    shared = shared_sets(docs, mostly.select("rep").distinct())
-    mostly = mostly.join(shared.select("rep"), "rep").withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("at"))).where(F.col("r") <= MET)
+    mostly = again.where(hot() > COMMON * F.least(F.col("n"), F.lit(SKETCH)))
+    shared = shared_sets(docs, mostly.select("rep"))
+    lists = F.slice(F.filter("l", lambda x: x.df > HOT), 1, MET)["v"]
+    mostly = mostly.join(shared.select("rep", "typical"), "rep").select(F.explode(lists).alias("v"), "rep", "typical")
     links, members = leader_links(mostly, shared)
     links.append(cut(block_links(members, shared)))
     links.append(confirmed(estimated(rare.union(short).distinct(), classes), docs))
