@@ -69,7 +69,7 @@ def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
+    odd = [*odd[:-1], (900, "a <|endoftext|> b", "en"), (901, "x<|startoftext|>Y, <|EndOfText|> <|endoftext|>", "en"), odd[-1]]  # the library knows special tokens in a text
     docs = documents(spark, odd[:-1]).coalesce(1)
     want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in odd[:-1]}
     rows = packing.pack(docs, with_ids=True).collect()
@@ -218,6 +218,25 @@ def test_vectors(spark):
     assert sum(want[i] != i for i, _ in rows) > 0
 
 
+@pytest.mark.parametrize("turns", [1, 4])
+def test_recall_of_vectors(spark, monkeypatch, turns):
+    """Ten thousand vectors with planted links just above the threshold, held to brute force, with more turns than so few need."""
+    monkeypatch.setattr(vectors, "PER_BUCKET", {1: 128, 4: 1 / 1000}[turns])
+    rng = np.random.default_rng(turns)
+    base = rng.normal(size=(7000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(3000, 64))
+    side -= (side * base[:3000]).sum(1, keepdims=True) * base[:3000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate((base, 0.901 * base[:3000] + (1 - 0.901**2) ** 0.5 * side))
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    n = np.zeros(len(x), int)
+    for r in got:
+        n[r.vec_id] = r.n_links
+    assert (n <= want).all() and n.sum() >= 0.98 * want.sum() > 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.choice([-0.5, 0.1, 0.3], 4)]) for i in range(120)] + [(500, None), (501, [float("inf")] * 4), (502, [0.1, 0.2])]
@@ -232,6 +251,23 @@ def test_top_k(spark):
     assert topk.top_k(items.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_odd_rows(spark):
+    """A query whose length no other row has, very large components, repeated rows and query ids, ties."""
+    rows = [(0, [1.0, 2.0, 3.0]), (50, [1e9, 1.0]), (1, [1e9, -1.0]), (2, [-1e9, 0.0]), (3, [0.5, 0.25]), (100, [1e200, 1.0]), (4, [1e308, 1e308]), (150, [0.5, 0.5]), (150, [0.25, 0.5]), (5, [0.5, 0.25]), (5, [0.5, 0.25]), (6, [0.5, 0.25])]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = [(i, [math.floor(256 * y) for y in x]) for i, x in rows if math.isfinite(256 * max(x))]
+    asked = {0: rows[0][1], 50: rows[1][1], 100: rows[5][1], 150: rows[8][1]}
+    got = {}
+    for r in topk.top_k(items, F.col("vec_id") % 50 == 0, k=6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {50, 100, 150}
+    clip = lambda x, most: max(-most, min(most, x))
+    for q, found in got.items():
+        v = [math.floor(256 * y) for y in asked[q]]
+        best = sorted((-clip(sum(map(int.__mul__, v, c)), topk.FAR), i) for i, c in fine if i != q and len(c) == len(v))[:6]
+        assert sorted(found) == [(n, i, clip(-s, 2**63 - 1)) for n, (s, i) in enumerate(best, 1)]
+
+
 def brute_scores(rows, order=3, alpha=0.4, least=2):
     from collections import Counter
 
@@ -280,15 +316,48 @@ def test_license_paragraphs(spark):
     ]
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     assert got == {
-        (0, 0): ("gpl-3.0", True), (1, 0): ("unknown", False), (2, 0): ("bsd", True), (3, 0): ("mit", True), (4, 2): ("bsd", True), (5, 0): ("mpl-2.0", True),
+        (0, 0): ("gpl-3.0", True), (1, 0): ("lgpl-2.1", True), (2, 0): ("bsd", True), (3, 0): ("mit", True), (4, 2): ("bsd", True), (5, 0): ("mpl-2.0", True),
         (6, 0): ("mit", True), (6, 1): ("apache-2.0", True), (6, 2): ("gpl-3.0", True),
     }
 
 
+UNSEEN = {
+    "This library is covered by the GNU Lesser General Public License, version 2.1.": "lgpl-2.1", "Available under the GNU Affero General Public License v3": "agpl-3.0", "Released under LGPL 2.1": "lgpl-2.1",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "bsl-1.0", "This program and the accompanying materials are made available under the Eclipse Public License 2.0": "epl-2.0",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "isc", "under the terms of the GNU General Public License version 2 only": "gpl-2.0",
+    "To the extent possible under law, the person has waived all copyright to this file, CC0 1.0 Universal": "cc0-1.0", "see the Mozilla Public License for details": "mpl-2.0",
+    "Permission is hereby granted to visitors to enter the garden.": "unknown", "He studied at MIT.": "unknown", "some words here": "unknown", "The licence of the inn was renewed.": "unknown",
+}
+
+
+def test_license_notices_that_no_template_holds(spark):
+    model = licenses.train()
+    texts = list(UNSEEN)
+    assert not set(texts) & {t for rows in licenses.examples() for t, _ in rows[:1]}
+    assert {t: model.families[int(model.probabilities(t).argmax())] for t in texts} == UNSEEN
+    got = {r.doc_id: (r.family, r.probability) for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        if UNSEEN[t] != "unknown":
+            assert got[i] == (UNSEEN[t], pytest.approx(float(model.probabilities(t).max())))
+
+
+def test_license_scan_of_odd_rows(spark):
+    """Ties, repeated rows, a very long line, columns named like the operator's own."""
+    notice = "Released under the MIT License."
+    rows = [(1, notice), (1, notice), (2, "word " * 60_000 + "license"), (3, notice + "\n" + notice), (4, "x" * 300_000)]
+    docs = spark.createDataFrame([(i, t, 1, "l", 2.0, [1]) for i, t in rows], "doc_id long, text string, paragraph int, line string, p double, w array<int>")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs).collect())
+    assert got == [(1, 0, "mit"), (1, 0, "mit"), (2, 0, "unknown"), (3, 0, "mit"), (3, 1, "mit")]
+    even = licenses.Model(("a", "b", "unknown"), ("zeta",), np.array([[9.0, 9.0, 0.0]]), np.array([0.0, 0.0, 1.0]), 1.0)
+    assert [r.family for r in licenses.scan(docs.select("doc_id", F.lit("zeta").alias("text")).limit(1), even).collect()] == ["a"]
+
+
 def test_license_gate_passes_every_family():
     model, rng = licenses.train(), random.Random(19)
     gate = set(model.gate())
     words = sorted({w for f in model.features for w in f.split()} - gate)
+    whole = [" ".join(words), " ".join(f for f in model.features if not gate & set(f.split()))]
+    assert all(model.families[int(model.probabilities(t).argmax())] == "unknown" for t in whole)
     for _ in range(2000):
         text = " ".join(rng.choices(words, k=rng.choice([1, 3, 10, 200])))
         assert gate & licenses.grams(text.split()) or model.families[int(model.probabilities(text).argmax())] == "unknown"
