@@ -67,17 +67,28 @@ def spelled(items: list) -> str:
     return "".join(map(str, items))
 
 
+def closes(path: list[Group], bracket: str) -> int:
+    """Which of the open groups a bracket closes; 0 for none."""
+    at = len(path) - 1
+    while at and PAIRS[path[at].open] != bracket and path[at].open == "<":
+        at -= 1
+    return at if at and PAIRS[path[at].open] == bracket else 0
+
+
 def tree(text: str) -> list:
-    """The text as leaves and groups. A closing bracket ends all groups inside its own; one of no group is a leaf."""
+    """The text as leaves and groups.
+
+    A closing bracket ends the argument lists left open inside its own group; one that closes nothing is a leaf, as
+    is the `>` of a comparison in parentheses.
+    """
     path = [Group("")]
     for m in LEXEME.finditer(text):
         if m.lastgroup == "open":
             path.append(Group(m[0]))
             path[-2].items.append(path[-1])
-        elif m.lastgroup == "shut" and any(PAIRS.get(g.open) == m[0] for g in path):
-            while PAIRS.get((last := path.pop()).open) != m[0]:
-                pass
-            last.shut = m[0]
+        elif m.lastgroup == "shut" and (at := closes(path, m[0])):
+            path[at].shut = m[0]
+            del path[at:]
         else:
             path[-1].items.append(Leaf(m.lastgroup, m[0]))
     return path[0].items

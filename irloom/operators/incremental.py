@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException as SparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RACY_NS = 2_000_000_000
@@ -65,3 +68,69 @@ def damaged_outputs(recorded: DataFrame, listed: DataFrame) -> DataFrame:
     """Recorded outputs that are gone or whose size or digest differs."""
     j = recorded.alias("r").join(listed.alias("l"), "name", "left")
     return j.where(F.col("l.digest").isNull() | (F.col("l.digest") != F.col("r.digest"))).select("name")
+
+
+RENDER_KEYS = ["render_fingerprint", "render_summary"]
+CACHE_VERSION = "1"
+
+
+def put_meta(meta: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Meta rows (by, key, value) with those of `new` in place of theirs."""
+    keys = [*by, "key"]
+    return meta.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*meta.columns))
+
+
+def record_render(meta: DataFrame, renders: DataFrame, by: list[str]) -> DataFrame:
+    """Meta after renders (by, fingerprint, summary as JSON)."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in zip(RENDER_KEYS, ("fingerprint", "summary"), strict=True)))
+    return put_meta(meta, renders.select(*by, F.inline(pairs)), by)
+
+
+def record_parse(meta: DataFrame, parses: DataFrame, by: list[str]) -> DataFrame:
+    """Meta after parses (by, fingerprint): the new fingerprint stands and the render record is gone, in one table."""
+    stale = meta.join(parses.select(*by), by, "left_semi").where(F.col("key").isin(RENDER_KEYS))
+    left = meta.join(stale.select(*by, "key"), [*by, "key"], "left_anti")
+    return put_meta(left, parses.select(*by, F.lit("parse_fingerprint").alias("key"), F.col("fingerprint").alias("value")), by)
+
+
+def render_validity(meta: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """by, is_current: whether the recorded render has the wanted fingerprint and a summary that is a JSON object."""
+    of = {k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in RENDER_KEYS}
+    recorded = meta.groupBy(*by).agg(*of.values())
+    told = F.from_json("render_summary", "map<string,string>").isNotNull() & F.rlike("render_summary", F.lit(r"^\s*\{"))
+    same = F.col("render_fingerprint") == F.col("fingerprint")
+    return wanted.join(recorded, by, "left").select(*by, F.coalesce(same & told, F.lit(False)).alias("is_current"))
+
+
+def open_cache(spark: SparkSession, path: str, tables: dict[str, str], version: str = CACHE_VERSION) -> dict[str, DataFrame]:
+    """The tables of a cache below `path`, given with their schemas as DDL; all empty if its version is another or it cannot be read."""
+
+    def read(name: str) -> DataFrame:
+        df = spark.read.schema(tables[name]).parquet(f"{path}/{name}")
+        df.agg(*(F.max(F.col(c).cast("string")) for c in df.columns)).collect()  # a damaged file shows only when it is read
+        return df
+
+    empty = {n: spark.createDataFrame([], ddl) for n, ddl in tables.items()}
+    try:
+        meta = spark.read.schema("key string, value string").parquet(f"{path}/meta").where("key = 'cache_version'").first()
+        return {n: read(n) for n in tables} if meta is not None and meta.value == version else empty
+    except (AnalysisException, Py4JJavaError, SparkException):
+        return empty
+
+
+def save_cache(spark: SparkSession, path: str, tables: dict[str, DataFrame], version: str = CACHE_VERSION) -> None:
+    """Tables first, the version last: a cache that was not finished has none and counts as empty."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([("cache_version", version)], "key string, value string").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+#: A template says in a comment that pages made of it may be replayed.
+DECLARED = r"(?s)\{#(?:(?!#\}).)*?\bpage-cache\b.*?#\}"
+
+
+def memo_modes(configs: DataFrame, templates: DataFrame, by: str = "config", suffix: str = ".jinja") -> DataFrame:
+    """Per configuration whether pages may be memoised, and on the wide fingerprint: `templates` (by, path, content) are
+    the files of its own template directories. Without any it may; with some only if all declare it, and then widely."""
+    own = templates.where(F.endswith("path", F.lit(suffix))).groupBy(by).agg(F.bool_and(F.rlike("content", F.lit(DECLARED))).alias("all_declare"))
+    return configs.select(by).join(own, by, "left").select(by, F.coalesce("all_declare", F.lit(True)).alias("memoise"), F.coalesce("all_declare", F.lit(False)).alias("wide"))

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irloom.functions import grammar
+from irloom.functions import grammar, scalar as s
 from irloom.functions.rewrite import list_udf, text_udf
+from irloom.operators import templates
+from irloom.operators.state import shared_dir
 from irloom.plans.registry import query
+from irloom.sources import snapshot
+from irloom.sources.schema import FUNCTION_KINDS
+
+
+def kind_case(values: dict[int, str], default: str = "") -> str:
+    """SQL of a constant map over the kind."""
+    return "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in values.items()) + f" ELSE '{default}' END"
 
 
 def _raw(v):
@@ -21,25 +34,61 @@ def _(v):
     return parsed.select("doc_id", "c.brief", F.size("c.param").alias("params"), F.size("c.note").alias("notes"))
 
 
-@query("j4_command_words")
+WORDS = ["param[in]", "param[inout]", "tparam[in,out]", "param[up]", "code{.py}", "code{c}", "code{unparsed}", "brief", "param[out]x", "code{"]
+
+
+@query("j4_command_words", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES (0, ['param', 'in', '']), (1, ['param', 'in,out', '']), (2, ['tparam', 'in,out', '']), (3, ['param[up]', '', '']), (4, ['code', '', 'py']), (5, ['code', '', 'c']), (6, ['code', '', '']), (7, ['brief', '', '']), (8, ['param[out]x', '', '']), (9, ['code{', '', ''])) t(k, r) ON p_partkey % 10 = k")
 def _(v):
-    words = v("part").select("p_partkey", F.concat(F.lit("param["), F.element_at(F.array(F.lit("in"), F.lit("inout"), F.lit("up")), (F.col("p_size") % 3 + 1).cast("int")), F.lit("]")).alias("w"))
+    words = v("part").select("p_partkey", F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 10 + 1).cast("int")).alias("w"))
     return words.select("p_partkey", list_udf(grammar.command_word)("w").alias("parts"))
 
 
-@query("j5_fences")
+@query("j5_fences", "SELECT p_partkey, repeat('`', greatest(3, p_size % 7 + 1)) || CASE WHEN p_size % 2 = 0 THEN 'py' ELSE 'cpp' END || chr(10) || p_name || chr(10) || chr(10) || '  ' || repeat('`', p_size % 7) || 'x' || chr(10) || repeat('`', greatest(3, p_size % 7 + 1)) AS block FROM part")
 def _(v):
-    return v("documents").select("doc_id", text_udf(lambda x: grammar.fenced("code", "", x.split("\n")))("text").alias("block"))
+    """Blank lines around a block go, its indent too, and the fence is longer than any run of backticks in it."""
+    text = F.concat(F.lit("\n  \n   "), "p_name", F.lit("\n \n     "), F.repeat(F.lit("`"), F.col("p_size") % 7), F.lit("x\n\n"))
+    block = lambda language: text_udf(lambda x: grammar.fenced("code", language, x.split("\n")))(text)
+    return v("part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, block("py")).otherwise(block("")).alias("block"))
 
 
-@query("j6_inline_markup", "SELECT p_partkey, '`' || p_brand || '` is **' || p_type || '**.' AS text FROM part")
-def _(v):
-    return v("part").select("p_partkey", text_udf(grammar.inline)(F.concat(F.lit("\\c "), "p_brand", F.lit(" is @b "), "p_type", F.lit("."))).alias("text"))
+#: Prose with inline commands, and the markup it becomes.
+MARKUP = [
+    ('see \\c code. and @p arg,', 'see `code`. and `arg`,'),
+    ('a @b bold word and \\e it (\\em them) \\a arg', 'a **bold** word and *it* (*them*) *arg*'),
+    ('(see \\ref parse_files) @ref Vec::operator[].', '(see {cpp:any}`parse_files`) {cpp:any}`Vec::operator[]`.'),
+    ('\\ref a::b "the title" end', '{cpp:any}`the title <a::b>` end'),
+    ('@ref 1x and \\link a::b, more', '`1x` and {cpp:any}`a::b`, more'),
+    ('one \\n two user@b.example \\unknown x', 'one two user@b.example \\unknown x'),
+]
 
 
-@query("j7_link_targets")
+@query("j6_inline_markup", "SELECT p_partkey, p_brand || ' ' || r AS text FROM part JOIN (VALUES " + ", ".join(f"({k}, '{x}')" for k, (_, x) in enumerate(MARKUP)) + f") t(k, r) ON p_partkey % {len(MARKUP)} = k")
 def _(v):
-    return v.symbols.select("usr", list_udf(lambda x: grammar.link_parts(x) or ("", ""))("qualified_name").alias("parts"))
+    prose = F.element_at(F.array(*(F.lit(x) for x, _ in MARKUP)), (F.col("p_partkey") % len(MARKUP) + 1).cast("int"))
+    return v("part").select("p_partkey", text_udf(grammar.inline)(F.concat("p_brand", F.lit(" "), prose)).alias("text"))
+
+
+#: Tokens, and the name and the punctuation behind it that they are.
+LINKS = [
+    ('parse_files)', ['parse_files', ')']),
+    ('Vec::operator[]', ['Vec::operator[]', '']),
+    ('Vec::operator[].', ['Vec::operator[]', '.']),
+    ('operator.', ['', '']),
+    ('a::operator()', ['a::operator()', '']),
+    ('foo().', ['foo', '().']),
+    ('x-y', ['', '']),
+    ('Vec::operator<<=,', ['Vec::operator<<=', ',']),
+    ('operatorx', ['operatorx', '']),
+    ('1a', ['', '']),
+    ('a::b::c!', ['a::b::c', '!']),
+    ('A::operator bool', ['', '']),
+]
+
+
+@query("j7_link_targets", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES " + ", ".join(f"({k}, {x})" for k, (_, x) in enumerate(LINKS)) + f") t(k, r) ON p_partkey % {len(LINKS)} = k")
+def _(v):
+    token = F.element_at(F.array(*(F.lit(x) for x, _ in LINKS)), (F.col("p_partkey") % len(LINKS) + 1).cast("int"))
+    return v("part").select("p_partkey", list_udf(lambda x: grammar.link_parts(x) or ("", ""))(token).alias("parts"))
 
 
 @query("j8_routed_commands", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS notes FROM events GROUP BY user_id")
@@ -61,10 +110,16 @@ def _(v):
     return v("documents").select("doc_id", text_udf(lambda x: "\n".join(grammar.content(x)))(raw).alias("text"))
 
 
-@query("j11_command_classes")
+@query("j11_command_classes", "SELECT * FROM (VALUES ('ingroup', 'line'), ('defgroup', 'line'), ('addtogroup', 'line'), ('internal', 'nothing'), ('endinternal', 'nothing'), ('endcode', 'nothing'), ('endverbatim', 'nothing'), ('class', 'name'), ('struct', 'name'), ('union', 'name'), ('enum', 'name'), ('namespace', 'name'), ('fn', 'name'), ('var', 'name'), ('typedef', 'name'), ('relates', 'name'), ('li', 'item'), ('arg', 'item'), ('brief', 'paragraph'), ('note', 'paragraph')) t(command, takes)")
 def _(v):
-    rows = [(n, "line") for n in sorted(grammar.TO_LINE_END)] + [(n, "nothing") for n in sorted(grammar.ALONE)] + [(n, "name") for n in sorted(grammar.ONE_NAME)] + [(n, "item") for n in sorted(grammar.ITEMS)]
-    return v.spark.createDataFrame(rows, "command string, takes string")
+    """What a command takes, seen from what becomes of the line behind it."""
+    raw = lambda c: f"@{c} Word more\nnext line."
+    commands = [*grammar.TO_LINE_END, *grammar.ALONE, *grammar.ONE_NAME, *grammar.ITEMS, "brief", "note"]
+    parsed = v.spark.createDataFrame([(c, raw(c)) for c in commands], "command string, raw string").select("command", grammar.parse_column(F.col("raw")).alias("c"))
+    first = lambda c: F.get(c, F.lit(0))
+    own = F.coalesce(first(F.element_at("c.custom", F.col("command"))), F.when(F.col("command") == "brief", F.col("c.brief")), first(F.col("c.note")))
+    takes = F.when(own == "Word more", "line").when(own == "", "nothing").when(own == "Word", "name").when(F.size("c.detail") + F.length("c.brief") == 0, "paragraph").when(F.startswith(first(F.col("c.detail")), F.lit("- ")) | F.startswith("c.brief", F.lit("- ")), "item").otherwise("paragraph")
+    return parsed.select("command", takes.alias("takes"))
 
 
 @query("j13_group_blocks", "SELECT p_partkey, p_brand || ' ' || p_type AS ids FROM part")
@@ -78,12 +133,56 @@ def _(v):
     return _raw(v).select("doc_id", F.to_json(grammar.parse_column("raw")).alias("json"))
 
 
-@query("k1_registered_parsers")
+@query("k1_registered_parsers", "SELECT * FROM (VALUES ('doxygen', true), ('plain', true), ('shout', false)) t(name, built_in)")
 def _(v):
-    return v.spark.createDataFrame([(n,) for n in grammar.available_parsers()], "name string")
+    """The parsers that are built in, and one that is registered and taken away again."""
+    before = set(grammar.available_parsers())
+    grammar.register_parser("shout", grammar.plain)
+    try:
+        return v.spark.createDataFrame([(n, n in before) for n in grammar.available_parsers()], "name string, built_in boolean")
+    finally:
+        del grammar.PARSERS["shout"]
+
+
+def _named_parts(v):
+    return v("part").select("p_partkey", F.concat(F.lit("/// @brief "), "p_name", F.lit("\n/// "), "p_type").alias("raw"))
+
+
+@query("k2_overrides", "SELECT how, p_partkey, CASE WHEN how = 'default' THEN '' ELSE '@brief ' END || p_name || ' ' || p_type AS brief FROM part, (VALUES ('callable'), ('default'), ('dotted path'), ('environment'), ('name')) t(how)")
+def _(v):
+    """Another parser given by itself, by name, by path and by the environment; and none."""
+    found = {"callable": grammar.resolve_override(grammar.plain), "name": grammar.resolve_override("plain"), "dotted path": grammar.resolve_override("irloom.functions.grammar:plain"), "default": grammar.resolve_override(None)}
+    before = os.environ.get(grammar.OVERRIDE)
+    os.environ[grammar.OVERRIDE] = "plain"
+    try:
+        found["environment"] = grammar.resolve_override(None)
+    finally:
+        if before is None:
+            del os.environ[grammar.OVERRIDE]
+        else:
+            os.environ[grammar.OVERRIDE] = before
+    each = [_named_parts(v).select(F.lit(how).alias("how"), "p_partkey", grammar.parse_column(F.col("raw"), parser or grammar.parse)["brief"].alias("brief")) for how, parser in found.items()]
+    return reduce(DataFrame.union, each)
+
+
+@query("k3_other_parser", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '@brief ' || rtrim(x[1], ' ' || chr(9) || chr(13)) ELSE trim(regexp_replace(x[1], '\\s+', ' ', 'g')) END AS brief FROM l")
+def _(v):
+    """Parsers by symbol: every third comment by one that keeps its first line as it stands, the others by the grammar."""
+
+    def first_line(raw):
+        return grammar.plain(None) | {"brief": grammar.content(raw)[0]}
+
+    which = F.when(F.col("doc_id") % 3 == 0, "first line").when(F.col("doc_id") % 3 == 1, "doxygen")
+    return _raw(v).select("doc_id", grammar.parse_each(F.col("raw"), which, {"first line": first_line, "doxygen": grammar.parse})["brief"].alias("brief"))
 
 
-@query("k3_other_parser", "SELECT doc_id, 'fixed' AS brief FROM documents")
+@query("k5_template_directories", f"SELECT usr, CASE WHEN kind IN (2, 3, 4, 16) THEN 'first ' || spelling || CASE WHEN is_documented = 1 THEN ' told' ELSE '' END WHEN kind IN (5, 6, 7, 8, 15) THEN 'own ' || usr WHEN kind = 17 THEN 'second ' || qualified_name ELSE '# ' || {kind_case(s.LABEL)} || ' ' || qualified_name || chr(10) || chr(10) || '```{{' || {kind_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || '```' || chr(10) END AS text FROM ir_symbols")
 def _(v):
-    fixed = lambda raw: grammar.parse("/// fixed")
-    return _raw(v).select("doc_id", grammar.parse_column("raw", fixed)["brief"].alias("brief"))
+    """Two directories: the first has classes, the second classes and concepts; functions go by a template of another name; the rest is bundled."""
+    path = shared_dir(v.spark)
+    for name, text in (("one/class", "first {{ spelling }}{% if told %} told{% endif %}{# a remark #}"), ("two/class", "never"), ("two/concept", "second {{qualified_name}}"), ("two/method", "own {{ usr }}")):
+        snapshot.write_small(v.spark, f"{path}/{name}{templates.SUFFIX}", text.encode())
+    kind = F.col("kind")
+    fields = {c: F.col(c) for c in ("usr", "spelling", "qualified_name")} | {"told": F.when(F.col("is_documented") == 1, "yes"), "label": s.lookup(s.LABEL, "kind"), "directive": s.lookup(s.DIRECTIVE, "kind")}
+    names = dict.fromkeys(FUNCTION_KINDS, "method")
+    return v.symbols.select("usr", templates.rendered(v.spark, kind, fields, [f"{path}/one", f"{path}/two"], names).alias("text"))

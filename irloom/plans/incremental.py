@@ -81,6 +81,32 @@ def _(v):
     return out.select(F.substring_index("stem", " ", -1).alias("stem"), "text")
 
 
+SUMMARY = """CASE c_custkey % 5 WHEN 0 THEN '{"pages":"' || CAST(c_custkey AS VARCHAR) || '"}' WHEN 1 THEN '[1]' WHEN 2 THEN 'pages' ELSE '{}' END"""
+
+
+@query("l9_render_validity", f"SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 4 <> 3 AND c_nationkey % 3 <> 0 AND json_valid({SUMMARY}) AND json_type(CASE WHEN json_valid({SUMMARY}) THEN {SUMMARY} ELSE '0' END) = 'OBJECT' AS is_current FROM customer")
+def _(v):
+    """A cache a customer: most have a recorded render, some of another fingerprint, some parsed anew since."""
+    c = v("customer")
+    summary = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('{"pages":"'), F.col("c_custkey").cast("string"), F.lit('"}'))).when(F.col("c_custkey") % 5 == 1, "[1]").when(F.col("c_custkey") % 5 == 2, "pages").otherwise("{}")
+    print_of = lambda column: F.sha2(F.col(column).cast("string"), 256)
+    meta = c.select("c_custkey", F.lit("parse_fingerprint").alias("key"), F.lit("first").alias("value"))
+    rendered = c.where("c_custkey % 7 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 3, "old").otherwise(print_of("c_name")).alias("fingerprint"), summary.alias("summary"))
+    meta = inc.record_render(meta, rendered.withColumn("fingerprint", F.lit("before")), ["c_custkey"])
+    meta = inc.record_render(meta, rendered, ["c_custkey"])
+    meta = inc.record_parse(meta, c.where("c_nationkey % 3 = 0").select("c_custkey", F.lit("second").alias("fingerprint")), ["c_custkey"])
+    return inc.render_validity(meta, c.select("c_custkey", print_of("c_name").alias("fingerprint")), ["c_custkey"])
+
+
+@query("l12_memo_modes", "SELECT c_custkey AS config, coalesce(bool_and(p_size % 10 <> 0) FILTER (WHERE p_size % 4 <> 0), true) AS memoise, coalesce(bool_and(p_size % 10 <> 0) FILTER (WHERE p_size % 4 <> 0), false) AS wide FROM customer LEFT JOIN part ON p_partkey % 500 = c_custkey GROUP BY c_custkey")
+def _(v):
+    """Configurations with template files of their own: some without any, some whose templates all declare that they may be replayed."""
+    size = F.col("p_size")
+    content = F.when(size % 10 != 0, F.concat(F.lit("{# own\n page-cache #}\n"), "p_name")).when(size % 20 == 0, F.lit("{# own #} page-cache {# x #}")).otherwise(F.col("p_name"))
+    templates = v("part").select((F.col("p_partkey") % 500).alias("config"), F.concat("p_name", F.when(size % 4 != 0, ".md.jinja").otherwise(".md")).alias("path"), content.alias("content"))
+    return inc.memo_modes(v("customer").select(F.col("c_custkey").alias("config")), templates)
+
+
 @query("l10_damaged_outputs", "SELECT 'p' || CAST(p_partkey AS VARCHAR) AS name FROM part WHERE p_partkey % 5 = 0 OR (p_partkey % 7 = 0 AND p_name <> p_brand)")
 def _(v):
     name = F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name")

@@ -81,16 +81,62 @@ def _(v):
     return _named(v).select("usr", s.spec_suffix("display_name", "spelling").alias("suffix"))
 
 
+#: Signatures with the nestings that the rewriters look for.
+FORMS = [
+    "void f(int a = <recovery-expr>(g(1), h()), T b)", "template<typename T, int N = 4>", "std::conditional_t<sizeof(T) >= sizeof(int), A<B, C>, D>", 'bool x = = "a = = b"',
+    "Outer<T>::Inner<U, V<W>>", "Foo<Bar<X>>(int)", "Traits<U, V>", "enable_if_t<N == 1 && (M > 2), std::array<int, (N != 3)>>", "template<template<typename> class C, typename... Ts>",
+    "::ns::Vec<T>::operator==(const Vec<T>&) const", "int g(S s = <recovery-expr>, std::map<K, V> m = {{1, 2}, {3, 4}})", "~Node<Key, Less<Key>>",
+]
+
+
 def _signatures(v):
-    """Signatures with the nestings that the rewriters look for, one per part."""
-    forms = F.array(*map(F.lit, ["void f(int a = <recovery-expr>(g(1), \")\"), T b)", "template<typename T, int N = 4>", "std::conditional_t<sizeof(T) >= sizeof(int), A<B, C>, D>", "bool x = = \"a = = b\"", "Outer<T>::Inner<U, V<W>>", "Foo<Bar<X>>(int)"]))
-    return v("part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 6 + 1).cast("int")).alias("signature"))
+    forms = F.array(*map(F.lit, FORMS))
+    return v("part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % len(FORMS) + 1).cast("int")).alias("signature"))
+
+
+def _literal(x) -> str:
+    return "[" + ", ".join(map(_literal, x)) + "]::VARCHAR[]" if isinstance(x, list | tuple) else "'" + x.replace("'", "''") + "'"
+
+
+def by_form(column: str, expected: list) -> str:
+    """SQL of a value for each form, written out."""
+    return f"SELECT p_partkey, r AS {column} FROM part JOIN (VALUES {', '.join(f'({k}, {_literal(x)})' for k, x in enumerate(expected))}) t(k, r) ON p_partkey % {len(FORMS)} = k"
+
 
+def _but(**changed: str) -> list[str]:
+    """The forms, some of them changed: f3="..." is the fourth."""
+    return [changed.get(f"f{k}", x) for k, x in enumerate(FORMS)]
 
-for _name, _f in {"i9_scope_suffix": rewrite.scope_suffix_of, "i10_repair_operators": rewrite.repair_split_operators, "i11_strip_defaults": rewrite.strip_recovery_defaults, "i12_parenthesize": rewrite.parenthesize_comparisons, "i32_plain_names": rewrite.plain_name, "i37_injected_names": rewrite.without_injected_arguments}.items():
-    query(_name)(lambda v, f=_f: _signatures(v).select("p_partkey", rewrite.text_udf(f)("signature").alias("rewritten")))
-for _name, _g in {"i13_scope_arguments": rewrite.split_scope_arguments, "i14_top_level": rewrite.split_top_level, "i15_parameter_names": rewrite.template_parameter_names}.items():
-    query(_name)(lambda v, f=_g: _signatures(v).select("p_partkey", rewrite.list_udf(f)("signature").alias("parts")))
+
+REWRITTEN = {
+    "i9_scope_suffix": (rewrite.scope_suffix_of, ["", "<typename T, int N = 4>", "<sizeof(T) >= sizeof(int), A<B, C>, D>", "", "<U, V<W>>", "", "", "<N == 1 && (M > 2), std::array<int, (N != 3)>>", "<template<typename> class C, typename... Ts>", "", "", "<Key, Less<Key>>"]),
+    "i10_repair_operators": (rewrite.repair_split_operators, _but(f3='bool x == "a = = b"')),
+    "i11_strip_defaults": (rewrite.strip_recovery_defaults, _but(f0="void f(int a, T b)", f10="int g(S s, std::map<K, V> m = {{1, 2}, {3, 4}})")),
+    "i12_parenthesize": (rewrite.parenthesize_comparisons, _but(f2="std::conditional_t<(sizeof(T) >= sizeof(int)), A<B, C>, D>", f7="enable_if_t<(N == 1 && (M > 2)), std::array<int, (N != 3)>>")),
+    "i32_plain_names": (rewrite.plain_name, ["void f", "template", "std::conditional_t", 'bool x = = "a = = b"', "Outer::Inner", "Foo", "Traits", "enable_if_t", "template", "::ns::Vec::operator==", "int g", "~Node"]),
+    "i37_injected_names": (rewrite.without_injected_arguments, _but(f1="template", f2="std::conditional_t", f5="Foo(int)", f6="Traits", f7="enable_if_t", f8="template", f11="~Node")),
+}
+PARTS = {
+    "i13_scope_arguments": (rewrite.split_scope_arguments, [[FORMS[0], ""], ["template", "<typename T, int N = 4>"], ["std::conditional_t", "<sizeof(T) >= sizeof(int), A<B, C>, D>"], [FORMS[3], ""], ["Outer<T>::Inner", "<U, V<W>>"], [FORMS[5], ""], ["Traits", "<U, V>"], ["enable_if_t", "<N == 1 && (M > 2), std::array<int, (N != 3)>>"], ["template", "<template<typename> class C, typename... Ts>"], [FORMS[9], ""], [FORMS[10], ""], ["~Node", "<Key, Less<Key>>"]]),
+    "i15_parameter_names": (rewrite.template_parameter_names, [[], ["T", "N"], ["", "", "D"], [], ["T"], [""], ["U", "V"], ["N", ""], ["C", "Ts"], ["T"], [], ["Key", ""]]),
+}
+for _name, (_f, _expected) in REWRITTEN.items():
+    query(_name, by_form("rewritten", _expected))(lambda v, f=_f: _signatures(v).select("p_partkey", rewrite.text_udf(f)("signature").alias("rewritten")))
+for _name, (_f, _expected) in PARTS.items():
+    query(_name, by_form("parts", _expected))(lambda v, f=_f: _signatures(v).select("p_partkey", rewrite.list_udf(f)("signature").alias("parts")))
+
+
+#: Lists, and their parts.
+LISTS = [
+    ("typename T, int N = 4", ["typename T", "int N = 4"]), ("A<B, C>, D", ["A<B, C>", "D"]), ("f(a, b), {1, 2}, x[i, j]", ["f(a, b)", "{1, 2}", "x[i, j]"]), ("", []), (" , ", []), ("one", ["one"]), ("a,,b,", ["a", "b"]),
+    ("template<typename, typename> class C, Pair<int, int> P = Pair<int, int>{1, 2}", ["template<typename, typename> class C", "Pair<int, int> P = Pair<int, int>{1, 2}"]),
+]
+
+
+@query("i14_top_level", f"SELECT p_partkey, r AS parts FROM part JOIN (VALUES {', '.join(f'({k}, {_literal(x)})' for k, (_, x) in enumerate(LISTS))}) t(k, r) ON p_partkey % {len(LISTS)} = k")
+def _(v):
+    text = F.element_at(F.array(*(F.lit(x) for x, _ in LISTS)), (F.col("p_partkey") % len(LISTS) + 1).cast("int"))
+    return v("part").select("p_partkey", rewrite.list_udf(rewrite.split_top_level)(text).alias("parts"))
 
 
 @query("i16_headings", "SELECT p_partkey, repeat('#', least(p_size, 6)) AS marker FROM part")
