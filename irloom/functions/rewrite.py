@@ -192,26 +192,9 @@ def without_injected_arguments(name: str) -> str:
     return spelled(items[:at]) + behind if at and items[at].shut and behind[:1] in ("", "(") else name
 
 
-def recovered_scope(signature: str) -> str:
-    """The scope that a definition's signature spells before its name; '' if none."""
-    head = plain_name(signature)
-    last = head.split(" ")[-1] if head else ""
-    return last.rpartition("::")[0]
-
-
-def signature_column() -> Column:
-    """A declaration by kind, from kind, qualified_name, signature and type_repr."""
-    from irloom.functions import scalar
-    from irloom.sources.schema import FUNCTION_KINDS, RECORD_KINDS
-
-    kind, name = F.col("kind"), F.col("qualified_name")
-    function = text_udf(lambda x: strip_recovery_defaults(repair_split_operators(x)))("signature")
-    return F.when(kind.isin(FUNCTION_KINDS), function).when(kind.isin(RECORD_KINDS), F.concat(name, scalar.spec_suffix("display_name", "spelling"))).when(kind.isin(9, 10), scalar.with_array_extent("type_repr", name)).when(kind.isin(13, 14), F.concat(name, F.lit(" = "), "type_repr")).otherwise(name)
-
-
-def macro_signature(tokens: str) -> Column:
+def macro_signature(tokens: str | Column) -> Column:
     """A macro's name and, if a parenthesis follows it, the parameters up to the one that closes it."""
     shut = F.array_position(tokens, ")").cast("int")
-    has = (F.element_at(tokens, 2) == "(") & (shut > 0)
+    has = F.coalesce(F.get(tokens, 1) == "(", F.lit(False)) & (shut > 0)
     inner = F.array_join(F.filter(F.slice(tokens, 3, F.greatest(shut - 3, F.lit(0))), lambda x: x != ","), ", ")
     return F.when(has, F.concat(F.element_at(tokens, 1), F.lit("("), inner, F.lit(")"))).otherwise(F.element_at(tokens, 1))

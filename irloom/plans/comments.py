@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import reduce
 
@@ -12,6 +13,7 @@ from irloom.functions import grammar, scalar as s
 from irloom.functions.rewrite import list_udf, text_udf
 from irloom.operators import templates
 from irloom.operators.state import shared_dir
+from irloom.plans.comment_shapes import SHAPES
 from irloom.plans.registry import query
 from irloom.sources import snapshot
 from irloom.sources.schema import FUNCTION_KINDS
@@ -28,6 +30,22 @@ def _raw(v):
     return v("documents").select("doc_id", F.array_join(each, "\n").alias("raw"))
 
 
+def compact(raw: str) -> str:
+    """A comment's fields that are not empty, as JSON with sorted keys."""
+    return grammar.fields_json({k: x for k, x in grammar.parse(raw).items() if x not in ("", [], {})})
+
+
+def _shape(v, choose):
+    """A row a part: a shape, with the part's type as its word."""
+    shapes = F.array(*(F.lit(raw) for raw, _ in SHAPES))
+    return v("part").select("p_partkey", F.replace(F.element_at(shapes, (choose % len(SHAPES) + 1).cast("int")), F.lit("%w"), F.col("p_type")).alias("raw"))
+
+
+def _shape_sql(column: str, values: list[str]) -> str:
+    quoted = ", ".join("({}, '{}')".format(k, x.replace("'", "''")) for k, x in enumerate(values))
+    return f"SELECT p_partkey, replace(r, '%w', p_type) AS {column} FROM part JOIN (VALUES {quoted}) t(k, r) ON p_partkey % {len(values)} = k"
+
+
 @query("j1_comment_structs", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, trim(regexp_replace(x[1], '\\s+', ' ', 'g')) AS brief, CAST((len(x) + 1) // 3 AS INTEGER) AS params, CAST(len(x) // 3 AS INTEGER) AS notes FROM l")
 def _(v):
     parsed = _raw(v).select("doc_id", grammar.parse_column("raw").alias("c"))
@@ -98,10 +116,11 @@ def _(v):
     return raw.select("user_id", F.size(grammar.parse_column("raw")["note"]).cast("long").alias("notes"))
 
 
-@query("j9_leads", "SELECT p_partkey, p_name AS brief, p_type AS detail FROM part")
+@query("j9_leads", _shape_sql("lead", [want.get("brief", "") + "|" + "/".join(want.get("detail", [])) for _, want in SHAPES]))
 def _(v):
-    raw = v("part").select("p_partkey", grammar.parse_column(F.concat(F.lit("/// "), "p_name", F.lit("\n///\n/// "), "p_type")).alias("c"))
-    return raw.select("p_partkey", "c.brief", F.array_join("c.detail", "\n").alias("detail"))
+    """The brief, and the paragraphs that are not the brief, of every shape."""
+    parsed = _shape(v, F.col("p_partkey")).select("p_partkey", grammar.parse_column(F.col("raw")).alias("c"))
+    return parsed.select("p_partkey", F.concat_ws("|", "c.brief", F.array_join("c.detail", "/")).alias("lead"))
 
 
 @query("j10_stripped_markers", "SELECT doc_id, regexp_replace(text, '[ \\t\\r]+(\\n|$)', '\\1', 'g') AS text FROM documents")
@@ -122,15 +141,19 @@ def _(v):
     return parsed.select("command", takes.alias("takes"))
 
 
-@query("j13_group_blocks", "SELECT p_partkey, p_brand || ' ' || p_type AS ids FROM part")
+@query("j13_group_blocks", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ingroup' WHEN 1 THEN 'defgroup' WHEN 2 THEN 'addtogroup' ELSE 'class' END AS command, CASE p_partkey % 4 WHEN 0 THEN p_type || ' other' WHEN 1 THEN p_type || ' The ' || p_brand WHEN 2 THEN p_type ELSE p_type END AS argument, CASE WHEN p_partkey % 4 = 3 THEN 'of ' || p_brand ELSE 'What it is.' END AS brief, CASE WHEN p_partkey % 4 = 3 THEN 'What it is.' ELSE '' END AS detail FROM part")
 def _(v):
-    raw = F.concat(F.lit("/// @ingroup "), "p_brand", F.lit(" "), "p_type", F.lit("\n/// Text."))
-    return v("part").select("p_partkey", grammar.parse_column(raw)["custom"]["ingroup"][0].alias("ids"))
+    """Group and structural commands take their line or a name; the prose behind them stays prose."""
+    kind = F.col("p_partkey") % 4
+    line = F.when(kind == 0, F.concat(F.lit("@ingroup "), "p_type", F.lit(" other"))).when(kind == 1, F.concat(F.lit("@defgroup "), "p_type", F.lit(" The "), "p_brand")).when(kind == 2, F.concat(F.lit("@addtogroup "), "p_type")).otherwise(F.concat(F.lit("@class "), "p_type", F.lit(" of "), "p_brand"))
+    parsed = v("part").select("p_partkey", grammar.parse_column(F.concat(F.lit("/**\n * "), line, F.lit("\n * What it is.\n */"))).alias("c"))
+    command = F.map_keys("c.custom")[0]
+    return parsed.select("p_partkey", command.alias("command"), F.element_at("c.custom", command)[0].alias("argument"), "c.brief", F.array_join("c.detail", "").alias("detail"))
 
 
-@query("j16_comment_json")
+@query("j16_comment_json", _shape_sql("json", [json.dumps(want, sort_keys=True, ensure_ascii=False) for _, want in SHAPES]))
 def _(v):
-    return _raw(v).select("doc_id", F.to_json(grammar.parse_column("raw")).alias("json"))
+    return _shape(v, F.col("p_partkey")).select("p_partkey", text_udf(compact)("raw").alias("json"))
 
 
 @query("k1_registered_parsers", "SELECT * FROM (VALUES ('doxygen', true), ('plain', true), ('shout', false)) t(name, built_in)")

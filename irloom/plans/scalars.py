@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from irloom.functions import rewrite, scalar as s
-from irloom.operators import query as q
+from irloom.operators import query as q, signatures
 from irloom.plans.registry import query
 from irloom.sources.schema import FUNCTION_KINDS, RECORD_KINDS
 
@@ -36,9 +36,9 @@ def _(v):
     return rows.select("usr", s.content_hash([F.col("usr"), F.col("kind").cast("string"), F.col("qualified_name"), F.col("is_definition").cast("string")], each, F.col("spelling")).alias("content_hash"))
 
 
-@query("i3_fingerprint")
+@query("i3_fingerprint", "SELECT sha256('{' || string_agg('\"' || source || '\": true', ', ' ORDER BY source) || '}') AS fingerprint FROM (SELECT DISTINCT source FROM documents)")
 def _(v):
-    keys = [r[0] for r in v("documents").select("source").distinct().orderBy("source").collect()]  # a configuration: few keys
+    keys = [r[0] for r in v("documents").select("source").distinct().collect()]  # a configuration: few keys, in any order
     return v.spark.createDataFrame([(rewrite.fingerprint({k: True for k in keys}),)], "fingerprint string")
 
 
@@ -174,10 +174,24 @@ def _(v):
     return v.symbols.select("usr", s.xref_target(F.when(F.col("line") % 2 == 0, F.concat("spelling", F.lit(" <"), "qualified_name", F.lit(">"))).otherwise(F.col("spelling"))).alias("target"))
 
 
-@query("i22_signatures")
+#: Symbols with templates among the classes, and a signature or a type by kind.
+SUFFIXES = "CASE WHEN kind = 2 AND line % 4 = 0 THEN '<T>' WHEN kind = 2 AND line % 4 = 2 THEN '<T*>' WHEN kind = 3 AND line % 3 = 0 THEN '<int>' ELSE '' END"
+HEADS = "CASE WHEN kind = 2 AND line % 2 = 0 THEN 'template<typename T>' WHEN kind = 3 AND line % 3 = 0 THEN 'template<>' WHEN kind = 17 THEN 'template<typename U>' ELSE '' END"
+
+
+def _declared(v):
+    bare = F.when(F.col("kind") == 6, F.concat(F.lit("int "), "spelling", F.lit("(S s = <recovery-expr>(g()), bool b = = c) const"))).when(F.col("kind") == 5, F.concat(F.lit("void "), "spelling", F.lit("()"))).when(F.col("kind") == 18, F.concat("spelling", F.lit("(a, b)"))).otherwise(F.expr(HEADS))
+    types = F.when(F.col("kind") == 10, "int [4]").when(F.col("kind") == 13, "conditional_t<sizeof(T) >= 4, A, B>").otherwise("")
+    return v.symbols.withColumns({"display_name": F.concat("spelling", F.expr(SUFFIXES)), "signature": bare, "type_repr": types})
+
+
+@query("i22_signatures", f"""
+WITH p AS (SELECT usr, qualified_name || {SUFFIXES} AS q, coalesce(nullif({HEADS}, '') || ' ', '') AS heads FROM ir_symbols)
+SELECT d.usr, CASE WHEN kind = 6 THEN heads || 'int ' || q || '::' || spelling || '(S s, bool b == c) const' WHEN kind = 5 THEN 'void ' || spelling || '()' WHEN kind = 10 THEN 'int ' || spelling || '[4]' WHEN kind = 13 THEN spelling || ' = conditional_t<(sizeof(T) >= 4), A, B>'
+  WHEN kind = 18 THEN spelling || '(a, b)' WHEN kind = 17 THEN 'template<typename U> ' || qualified_name WHEN kind IN (2, 3) THEN coalesce(nullif({HEADS}, '') || ' ', '') || qualified_name || {SUFFIXES} ELSE qualified_name END AS signature
+FROM ir_symbols d LEFT JOIN p ON p.usr = parent_usr""")
 def _(v):
-    rows = _named(v).withColumns({"signature": F.concat("display_name", F.lit(" const")), "type_repr": F.lit("int [4]")})
-    return rows.select("usr", rewrite.signature_column().alias("signature"))
+    return signatures.signatures(_declared(v))
 
 
 @query("i23_array_extents", "SELECT p_partkey, p_type || ' ' || replace(p_name, ' ', '_') || CASE WHEN p_size % 3 = 0 THEN '' ELSE '[' || CAST(p_size AS VARCHAR) || ']' END AS declaration FROM part")
@@ -191,17 +205,22 @@ def _(v):
     return v.references.where("ref_kind = 1").groupBy("from_usr").agg(F.concat(F.lit(": "), F.array_join(q.ordered(["ordinal", "to_spelling"], F.concat(s.lookup(s.ACCESS, F.col("access") + 1), F.lit(" "), "to_spelling")), ", ")).alias("clause"))
 
 
-@query("i25_recovered_scopes")
+@query("i25_recovered_scopes", f"""
+SELECT o.usr, CASE WHEN o.line % 5 = 0 THEN 'int Other::' || o.spelling || '(int x) const' ELSE CASE WHEN c.line % 2 = 0 THEN 'template<typename T> ' ELSE '' END || 'int ' || c.qualified_name || CASE WHEN c.line % 2 = 0 THEN '<T, A<U>>' ELSE '' END || '::' || o.spelling || '(int x) const' END AS signature
+FROM ir_symbols o JOIN ir_symbols c ON c.usr = o.parent_usr WHERE o.kind = 6""")
 def _(v):
-    return _signatures(v).select("p_partkey", rewrite.text_udf(rewrite.recovered_scope)("signature").alias("scope"))
+    """Definitions outside their class that spell its name; every fifth names a class that there is not."""
+    rows = _declared(v)
+    c = rows.where("kind = 2").select(F.col("usr").alias("parent_usr"), F.col("spelling").alias("c_spelling"), F.col("qualified_name").alias("c_name"), F.col("line").alias("c_line"))
+    scope = F.when(F.col("line") % 5 == 0, "Other").otherwise(F.concat("c_spelling", F.when(F.col("c_line") % 2 == 0, "<T, A<U>>").otherwise("")))
+    defined = rows.where("kind = 6").join(c, "parent_usr").select("usr", "spelling", F.concat("c_name", F.lit("::"), "spelling").alias("qualified_name"), F.concat(F.lit("int "), scope, F.lit("::"), "spelling", F.lit("(int x) const")).alias("signature"))
+    return signatures.recovered(defined, rows.where("kind < 4"))
 
 
-@query("i26_enum_scopes")
+@query("i26_enum_scopes", "SELECT o.usr, CASE WHEN c.line % 4 = 0 THEN 'template<typename T> ' || c.qualified_name WHEN c.line % 4 = 2 THEN 'template<typename T> ' || c.qualified_name || '<T*>' ELSE '' END AS scope FROM ir_symbols o JOIN ir_symbols c ON c.usr = o.parent_usr WHERE o.kind = 6 UNION ALL SELECT usr, '' FROM ir_symbols WHERE kind = 11")
 def _(v):
-    from irloom.operators import graph
-
-    names = graph.qualifier(v.symbols.where("kind IN (1, 2, 3)"), [1, 2, 3])
-    return names.join(_named(v).select("usr", s.spec_suffix("display_name", "spelling").alias("suffix")), "usr").select("usr", F.concat("qualified", "suffix").alias("scope"))
+    """Enums in classes: of a primary template the scope is bare, of a partial specialization it keeps the arguments."""
+    return signatures.enum_scopes(_declared(v).withColumn("kind", F.when(F.col("kind") == 6, 11).otherwise(F.col("kind"))))
 
 
 @query("i27_identity_texts", "SELECT usr, CASE WHEN line % 3 = 2 THEN 'static inline ' || spelling ELSE spelling END AS text FROM ir_symbols")
@@ -256,9 +275,14 @@ def _(v):
     return v.symbols.where("is_definition = 1").select("usr", s.dep_token("parent_usr", "spelling", "line").alias("token"))
 
 
-@query("i36_token_lists")
+#: Tokens behind a macro's name, and the signature they make.
+MACROS = [("( a , b ) x", "(a, b)"), ("( ) x", "()"), ("x ( a )", ""), ("( a , ... ) ( b )", "(a, ...)"), ("", ""), ("( a , b", "")]
+
+
+@query("i36_token_lists", f"SELECT p_partkey, p_brand || r AS signature FROM part JOIN (VALUES {', '.join(f'({k}, {_literal(x)})' for k, (_, x) in enumerate(MACROS))}) t(k, r) ON p_partkey % {len(MACROS)} = k")
 def _(v):
-    tokens = v("part").select("p_partkey", F.split(F.concat(F.lit("MAX ( a , b ) "), "p_name"), " ").alias("tokens"))
+    behind = F.element_at(F.array(*(F.lit(x) for x, _ in MACROS)), (F.col("p_partkey") % len(MACROS) + 1).cast("int"))
+    tokens = v("part").select("p_partkey", F.split(F.rtrim(F.concat("p_brand", F.lit(" "), behind)), " ").alias("tokens"))
     return tokens.select("p_partkey", rewrite.macro_signature("tokens").alias("signature"))
 
 
