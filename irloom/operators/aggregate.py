@@ -7,6 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.operators.query import ordered
+from irloom.operators.state import cut
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], to: str = "position") -> DataFrame:
+    """Adds as `to` the place from 0, in `order`, among the rows that agree in `by`; order must tell rows apart.
+
+    Rows are dealt out by range and numbered where they lie; a table with a row for each
+    part of each key then shifts them. So a key that holds most rows is spread like any other.
+    """
+    keys = [*by, *order]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    dealt = cut(dealt)
+    parts = dealt.groupBy(*by, "__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return dealt.join(parts, same).select(*rows.columns, (F.col("__id") - F.col("__first") + F.col("__before")).alias(to))
 
 
 def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -45,8 +64,7 @@ def contested(names: DataFrame, stem: Column) -> DataFrame:
 
 def chunks(rows: DataFrame, key: str, pos: str, size: int) -> DataFrame:
     """Batches of at most `size` consecutive rows of a key; a batch is named by its key and number."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(pos)) - 1
-    return rows.withColumn("batch", F.floor(n / size).cast("long"))
+    return numbered(rows, [key], [pos], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def most_common(rows: DataFrame, value: str, limit: int = 20) -> DataFrame:
@@ -54,6 +72,7 @@ def most_common(rows: DataFrame, value: str, limit: int = 20) -> DataFrame:
 
 
 def positions(rows: DataFrame, owner: str, order: list[str]) -> DataFrame:
+    """Places among the rows of an owner; owners have few rows each."""
     return rows.withColumn("ordinal", (F.row_number().over(W.partitionBy(owner).orderBy(*order)) - 1).cast("long"))
 
 
@@ -64,11 +83,29 @@ def first_declarations(rows: DataFrame, page: str, name: str, order: list[str],
 
 
 def unique_stems(names: DataFrame, stem: Column, name: str = "name") -> DataFrame:
-    """name and a stem of its own: contested stems are tagged with a digest; equal ones that remain get underscores in order of name."""
-    tagged = names.select(name, stem.alias("s")).withColumn("claims", F.count("*").over(W.partitionBy(F.lower("s"))))
-    tagged = tagged.withColumn("s", F.when(F.col("claims") > 1, F.concat("s", F.lit("_"), F.left(F.sha2(F.col(name), 256), F.lit(8)))).otherwise(F.col("s")))
-    again = F.row_number().over(W.partitionBy(F.lower("s")).orderBy(name)) - 1
-    return tagged.select(name, F.concat("s", F.repeat(F.lit("_"), again)).alias("stem"))
+    """name and a stem of its own, without regard to case.
+
+    Contested stems are tagged with a digest; where equal ones remain, all but the first by
+    name get underscores, more and more until no other name has the stem.
+    """
+    tagged = names.select(name, stem.alias("s"))
+    claims = tagged.groupBy(F.lower("s").alias("key")).agg(F.count("*").alias("claims"))
+    tagged = tagged.join(claims, F.lower("s") == F.col("key"))
+    open_ = tagged.select(name, F.when(F.col("claims") > 1, F.concat("s", F.lit("_"), F.left(F.sha2(F.col(name), 256), F.lit(8)))).otherwise(F.col("s")).alias("s"))
+    done = None
+    while True:
+        first = open_.groupBy(F.lower("s").alias("key")).agg(F.min(name).alias("first"))
+        at = open_.join(first, F.lower("s") == F.col("key"))
+        won = at.where(F.col(name) == F.col("first")).select(name, F.col("s").alias("stem"))
+        if done is None:
+            done = cut(won)
+        else:  # a stem that an earlier round gave away is taken
+            taken = done.select(F.lower("stem").alias("key")).distinct()
+            done = cut(done.union(won.join(taken, F.lower("stem") == F.col("key"), "left_anti")))
+        left = open_.join(done.select(name), name, "left_anti").select(name, F.concat("s", F.lit("_")).alias("s"))
+        open_ = cut(left)
+        if open_.isEmpty():
+            return done
 
 
 def islands(rows: DataFrame, partition: str, line: str, family: Column, text: Column) -> DataFrame:

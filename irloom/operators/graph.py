@@ -7,34 +7,30 @@ lineage and survives a lost executor.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.operators.state import cut
+from irloom.operators.aggregate import numbered
+from irloom.operators.state import Grown, cut
 
 
 def fixpoint_up(start: DataFrame, parents: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """The usrs in `start` and all their ancestors by `parents` (usr, parent_usr)."""
-    reached = frontier = cut(start.distinct())
+    reached = Grown(start.distinct())
     for _ in range(most_rounds):
-        up = frontier.join(parents, "usr").select(F.col("parent_usr").alias("usr")).distinct()
-        frontier = cut(up.join(reached, "usr", "left_anti"))
-        if frontier.isEmpty():
+        up = reached.last.join(parents, "usr").select(F.col("parent_usr").alias("usr")).distinct()
+        if not reached.add(up.join(reached.all(), "usr", "left_anti")):
             break
-        reached = cut(reached.union(frontier))
-    return reached
+    return reached.all()
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """root, node and depth of everything reachable by edges (src, dst) from each root (column node), itself at depth 0."""
-    frontier = reached = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
+    reached = Grown(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
     for depth in range(1, most_rounds):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(reached, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
+        step = reached.last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        if not reached.add(step.join(reached.all(), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"))):
             break
-        reached = cut(reached.union(frontier))
-    return reached
+    return reached.all()
 
 
 def ancestors(symbols: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -42,15 +38,13 @@ def ancestors(symbols: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     parents = symbols.where(F.coalesce("parent_usr", F.lit("")) != "").select("usr", "parent_usr")
     known = symbols.select(F.col("usr").alias("k_usr"))
     links = cut(parents.join(known, parents.parent_usr == F.col("k_usr"), "left_semi"))
-    frontier = reached = cut(links.where("usr <> parent_usr").select("usr", F.col("parent_usr").alias("ancestor"), F.lit(1).alias("distance")))
+    reached = Grown(links.where("usr <> parent_usr").select("usr", F.col("parent_usr").alias("ancestor"), F.lit(1).alias("distance")))
     up = links.select(F.col("usr").alias("ancestor"), F.col("parent_usr").alias("next"))
     for distance in range(2, most_rounds):
-        step = frontier.join(up, "ancestor").select("usr", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")).where("usr <> ancestor")
-        frontier = cut(step.join(reached, ["usr", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
+        step = reached.last.join(up, "ancestor").select("usr", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")).where("usr <> ancestor")
+        if not reached.add(step.join(reached.all(), ["usr", "ancestor"], "left_anti")):
             break
-        reached = cut(reached.union(frontier))
-    return reached
+    return reached.all()
 
 
 def qualifier(symbols: DataFrame, kinds: list[int], sep: str = "::") -> DataFrame:
@@ -64,25 +58,18 @@ def preorder(symbols: DataFrame, kinds: list[int]) -> DataFrame:
     """root, usr, depth and path of everything below each root, entered only through the given kinds; path sorts to preorder."""
     key = F.struct(F.col("kind"), F.col("line"), F.col("qualified_name"), F.col("usr"))
     rows = cut(symbols.select("usr", F.coalesce("parent_usr", F.lit("")).alias("parent_usr"), F.col("kind").isin(kinds).alias("opens"), key.alias("key")))
-    frontier = reached = cut(rows.where("parent_usr = ''").select(F.col("usr").alias("root"), "usr", "opens", F.lit(0).alias("depth"), F.array("key").alias("path")))
+    reached = Grown(rows.where("parent_usr = ''").select(F.col("usr").alias("root"), "usr", "opens", F.lit(0).alias("depth"), F.array("key").alias("path")))
+    below = rows.select(F.col("usr").alias("c_usr"), "parent_usr", F.col("opens").alias("c_opens"), "key")
     depth = 0
     while True:
         depth += 1
-        below = rows.select(F.col("usr").alias("c_usr"), "parent_usr", F.col("opens").alias("c_opens"), "key")
-        step = frontier.where("opens").join(below, F.col("usr") == F.col("parent_usr"))
+        step = reached.last.where("opens").join(below, F.col("usr") == F.col("parent_usr"))
         step = step.select("root", F.col("c_usr").alias("usr"), F.col("c_opens").alias("opens"), F.lit(depth).alias("depth"), F.concat("path", F.array("key")).alias("path"))
-        frontier = cut(step.join(reached.select("root", "usr"), ["root", "usr"], "left_anti"))
-        if frontier.isEmpty():
-            return reached.drop("opens")
-        reached = cut(reached.union(frontier.select(reached.columns)))
+        if not reached.add(step.join(reached.all().select("root", "usr"), ["root", "usr"], "left_anti")):
+            return reached.all().drop("opens")
 
 
 def interned(rows: DataFrame, key: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Per key the ids of its paths in order, and the dimension (id, path); ids by first use in order of path."""
-    distinct = rows.select(path).distinct()
-    # Ids without a global sort in one task: rank within hash ranges of the sorted order would not be stable, so a range window is used on counts.
-    buckets = distinct.withColumn("b", F.substring(path, 1, 5))
-    sizes = buckets.groupBy("b").agg(F.count("*").alias("n"))
-    offsets = sizes.select("b", (F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1))).alias("before"))  # one row per prefix
-    ids = buckets.join(offsets, "b").select(path, (F.coalesce("before", F.lit(0)) + F.row_number().over(W.partitionBy("b").orderBy(path)) - 1).alias("id"))
+    """Per key the ids of its paths in order, and the dimension (id, path); ids from 0 in order of path."""
+    ids = numbered(rows.select(path).distinct(), [], [path], "id")
     return rows.join(ids, path).groupBy(key).agg(F.sort_array(F.collect_set("id")).alias("ids")), ids.select("id", path)

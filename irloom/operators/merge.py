@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from irloom.operators.aggregate import numbered
+
 
 def upsert_symbols(writes: DataFrame, key: str = "usr", flags: tuple[str, ...] = ("is_definition", "is_documented"), seq: str = "seq") -> DataFrame:
     """One row per key: the last definition if there is one, else the last declaration; flags never go back.
@@ -68,13 +70,8 @@ def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
     known = old.join(new.select("path", F.col("sha256").alias("n_sha")), "path", "left").select("id", "path", F.coalesce("n_sha", "sha256").alias("sha256"))
     fresh = new.join(old.select("path"), "path", "left_anti")
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # The ids are consecutive in path order: counts per prefix give each prefix its first one.
-    fresh = fresh.withColumn("b", F.substring("path", 1, 6))
-    sizes = fresh.groupBy("b").agg(F.count("*").alias("n"))
-    before = sizes.select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = fresh.join(before, "b").join(F.broadcast(top))  # top is one row
-    numbered = numbered.select((F.col("top") + F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("path"))).alias("id"), "path", "sha256")
-    return known.union(numbered)
+    new_ids = numbered(fresh, [], ["path"], "id").join(F.broadcast(top))  # top is one row
+    return known.union(new_ids.select((F.col("top") + F.col("id") + 1).alias("id"), "path", "sha256"))
 
 
 def replaced_files(asked: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:

@@ -12,12 +12,13 @@ from irloom.sources.schema import FUNCTION_KINDS
 
 @query("g1_sort_orders", "SELECT usr, CAST(row_number() OVER (PARTITION BY file_id ORDER BY kind, line, qualified_name, usr) AS BIGINT) AS position FROM ir_symbols")
 def _(v):
-    return v.symbols.select("usr", F.row_number().over(W.partitionBy("file_id").orderBy("kind", "line", "qualified_name", "usr")).cast("long").alias("position"))
+    order = ["kind", "line", "qualified_name", "usr"]
+    return a.numbered(v.symbols.select("file_id", *order), ["file_id"], order).select("usr", (F.col("position") + 1).alias("position"))
 
 
 @query("g2_canonical_inputs", "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS BIGINT) AS position FROM documents")
 def _(v):
-    return v("documents").select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("lang", "doc_id")).cast("long").alias("position"))
+    return a.numbered(v("documents").select("source", "lang", "doc_id"), ["source"], ["lang", "doc_id"]).select("source", "doc_id", (F.col("position") + 1).alias("position"))
 
 
 @query("g3_first_lines", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:20], chr(31)) AS head FROM documents")
