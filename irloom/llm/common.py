@@ -15,33 +15,41 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handed to Python at a time; bounds what a worker holds when texts are long.
-TEXT_BATCH_ROWS = 512
+#: Bytes handed to Python at a time; bounds what a worker holds when texts are long.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches small: the default of 10,000 rows is over a GB when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: the default of 10,000 rows is over a GB when texts are long.
+
+    The bound is the same for all, and says nothing of rows, so what else runs in the session keeps its batches.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one all executors share (spark.checkpoint.dir); tests have none set and get a local one."""
+    """A fresh folder below the one all executors share (spark.checkpoint.dir); on one machine, as in tests, a local one may do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "irloom-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/irloom-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and survives a lost executor."""
-    path = shared_dir(df.sparkSession)
+    """Write to the shared folder and read again: cuts lineage, and survives a lost executor. The files go when the application ends."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

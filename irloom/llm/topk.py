@@ -30,8 +30,6 @@ from irloom.llm.common import cut, text_batches
 
 K, SCALE = 5, 256
 CANDIDATES, QUERIES, STEPS = 1024, 256, 1024
-#: Block pairs handed to Python at a time.
-BATCH_ROWS = 32
 #: Scores are exact up to this value; components from here on have no multiple by SCALE in double precision.
 FAR, LARGEST = 10**37, 2.0**1016
 
@@ -142,7 +140,7 @@ def top_k(items: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     ids = candidates.select(F.col("block").alias("c_block"), "dim")
     pairs = queries.select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).join(ids, "dim")
     pairs = pairs.join(candidates.select(F.col("block").alias("c_block"), "dim", F.col("ids").alias("c_ids"), F.col("m").alias("c_m")), ["c_block", "dim"])
-    text_batches(spark, BATCH_ROWS)
+    text_batches(spark)
     found = cut(block_best(pairs, k))
     # What is at or above a query's k-th score: fewer than k rows and those that tie at it.
     left = found.join(kth_scores(found, k), "id").where(F.col("score") >= F.col("low"))
