@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from irloom.sources.snapshot import exists
+
 RACY_NS = 2_000_000_000
 
 
@@ -40,10 +42,15 @@ def partial_record(old: DataFrame, new: DataFrame, reparsed: DataFrame) -> DataF
     return old.join(reparsed.select("input").distinct(), "input", "left_anti").unionByName(new)
 
 
-def fingerprints(tokens: DataFrame, page: str, order: list[str], token: str) -> DataFrame:
-    """Per page the digest of its tokens in order, joined by a record separator."""
-    g = tokens.groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, token))), lambda x: x[token]), "\x1e").alias("t"))
-    return g.select(page, F.sha2("t", 256).alias("fingerprint"))
+def fingerprints(tokens: DataFrame, page: str, block: list[str], order: list[str], token: str) -> DataFrame:
+    """Per page the digest of the digests of its blocks, in order; a block's is that of its tokens in order, each joined by a record separator.
+
+    `block` cuts a page's tokens into runs of bounded size, so a page with most of the
+    tokens is still many groups.
+    """
+    joined = lambda keys, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*keys, c))), lambda x: x[c]), "\x1e")
+    parts = tokens.groupBy(page, *block).agg(F.sha2(joined(order, token), 256).alias("digest"))
+    return parts.groupBy(page).agg(F.sha2(joined(block, "digest"), 256).alias("fingerprint"))
 
 
 def memo_hits(pages: DataFrame, memo: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -64,6 +71,26 @@ def output_changes(new: DataFrame, stored: DataFrame) -> DataFrame:
     return j.select("name", action.alias("action"))
 
 
+def written_pages(spark: SparkSession, path: str, name: str, text: str) -> DataFrame:
+    """The pages that stand below `path`: of each name the one of the last run that wrote it."""
+    rows = spark.read.parquet(f"{path}/pages")
+    rest = [c for c in rows.columns if c not in (name, "run")]
+    last = rows.groupBy(name).agg(F.max_by(F.struct("run", *rest), "run").alias("p")).select(name, "p.*")
+    return last.where(F.col(text).isNotNull())
+
+
+def write_changed(spark: SparkSession, path: str, pages: DataFrame, name: str, text: str) -> None:
+    """Write the pages whose text differs from what stands below `path`, as one more run; pages that are gone leave a mark."""
+    pages = pages.withColumn("digest", F.sha2(text, 256))
+    run = 0
+    if exists(spark, f"{path}/pages"):
+        run = spark.read.parquet(f"{path}/pages").agg(F.max("run")).first()[0] + 1
+        stored = written_pages(spark, path, name, text).select(F.col(name).alias("name"), "digest")
+        actions = output_changes(pages.select(F.col(name).alias("name"), "digest"), stored).where("action <> 'unchanged'").select(F.col("name").alias(name), "action")
+        pages = actions.join(pages, name, "left").drop("action")
+    pages.write.parquet(f"{path}/pages/run={run}")
+
+
 def damaged_outputs(recorded: DataFrame, listed: DataFrame) -> DataFrame:
     """Recorded outputs that are gone or whose size or digest differs."""
     j = recorded.alias("r").join(listed.alias("l"), "name", "left")

@@ -7,11 +7,31 @@ from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
 from irloom.operators.query import file_roots, ordered, roots
+from irloom.sources.schema import CONST_LEAF_KINDS, FUNCTION_KINDS, RECORD_KINDS, TYPE_LEAF_KINDS
 
 # The admonitions of a comment block, in their order.
 ADMONITIONS = ["note", "warning", "deprecated", "todo"]
 
 
+#: Source lines whose texts make a block of a page.
+LINES = 1000
+
+
+def in_blocks(rows: DataFrame, page: list[str], text: str) -> DataFrame:
+    """page, kind, block and text: the texts of a page in order of kind and line, cut into blocks of so many lines."""
+    block = F.floor(F.col("line") / LINES).cast("long").alias("block")
+    return rows.groupBy(*page, "kind", block).agg(F.array_join(ordered(["line", "usr"], text), "\n").alias(text))
+
+
+def namespace_pages(symbols: DataFrame) -> DataFrame:
+    """usr and the stem of the page it is on: its own for namespaces and records, else that of its bucket in its scope."""
+    scope = F.coalesce("parent_usr", F.lit(""))
+    kind = F.col("kind")
+    stem = F.when(kind.isin(FUNCTION_KINDS), s.stem(scope, "functions")).when(kind == 1, s.stem("qualified_name", "ns")).when(kind.isin(RECORD_KINDS), s.stem("qualified_name"))
+    stem = stem.when(kind.isin(TYPE_LEAF_KINDS), s.stem(scope, "types")).when(kind.isin(CONST_LEAF_KINDS), s.stem(scope, "constants")).otherwise(s.stem(scope, "other"))
+    return symbols.select("usr", stem.alias("stem"))
+
+
 def lines(*parts: Column) -> Column:
     """Parts that are not NULL, a line each."""
     return F.concat_ws("\n", *parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from irloom.functions import scalar
 from irloom.operators import aggregate as a, query as q
 from irloom.plans.registry import query
-from irloom.sources.schema import CONST_LEAF_KINDS, FUNCTION_KINDS, TYPE_LEAF_KINDS
+from irloom.sources.schema import TABLES, CONST_LEAF_KINDS, FUNCTION_KINDS, TYPE_LEAF_KINDS
 
 
 @query("f1_counts", "SELECT (SELECT count(*) FROM ir_symbols) AS symbols, (SELECT count(*) FROM ir_references) AS refs, (SELECT count(*) FROM ir_files) AS files")
@@ -145,6 +145,8 @@ def _(v):
     return v("part").select(F.col("p_name").alias("name")).distinct().join(used, "name", "left_anti")
 
 
-@query("h6_wide_fields")
+@query("h6_wide_fields", "SELECT * FROM (VALUES ('usr', 'hash'), ('kind', 'hash'), ('qualified_name', 'hash'), ('signature', 'hash'), ('type_repr', 'hash'), ('access', 'hash'), ('storage', 'hash'), ('is_definition', 'hash'), ('parent_usr', 'value'), ('spelling', 'value'), ('display_name', 'value'), ('is_documented', 'value'), ('content_hash', 'value'), ('file_id', 'value'), ('line', 'value'), ('col', 'value')) t(field, covered)")
 def _(v):
-    return v.spark.createDataFrame([(c,) for c in scalar.WIDE_FIELDS], "field string")
+    """Each column of a symbol: whether a page depends on it through the content hash or by its value."""
+    by = [(c, "hash" if c in scalar.HASHED_FIELDS else "value" if c in scalar.WIDE_FIELDS else "none") for c in TABLES["symbols"].names]
+    return v.spark.createDataFrame(by, "field string, covered string")

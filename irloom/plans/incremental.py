@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
 from irloom.operators import incremental as inc
+from irloom.operators.pages import LINES
+from irloom.operators.state import shared_dir
 from irloom.plans.registry import query
 
 STORED = "(SELECT 'p' || CAST(p_partkey AS VARCHAR) AS path, p_partkey * 10 AS mtime_ns, CAST(p_size AS BIGINT) AS size, p_name AS sha256 FROM part)"
@@ -51,12 +53,12 @@ def _(v):
     return v("events").select("event_id", (F.col("event_id") * 1_000_000).alias("t")).select("event_id", inc.trusted_mtime("t", 5_000_000_000).alias("mtime"))
 
 
-PAGES = "(SELECT file_id AS page, sha256(string_agg(usr || chr(31) || spelling, chr(30) ORDER BY kind, line, usr)) AS fingerprint FROM ir_symbols GROUP BY file_id)"
+PAGES = f"(SELECT page, sha256(string_agg(digest, chr(30) ORDER BY kind, block)) AS fingerprint FROM (SELECT file_id AS page, kind, line // {LINES} AS block, sha256(string_agg(usr || chr(31) || spelling, chr(30) ORDER BY line, usr)) AS digest FROM ir_symbols GROUP BY ALL) GROUP BY page)"
 
 
 def _pages(v):
-    tokens = v.symbols.select(F.col("file_id").alias("page"), "kind", "line", "usr", s.dep_token("usr", "spelling").alias("token"))
-    return inc.fingerprints(tokens, "page", ["kind", "line", "usr"], "token")
+    tokens = v.symbols.select(F.col("file_id").alias("page"), "kind", F.floor(F.col("line") / LINES).alias("block"), "line", "usr", s.dep_token("usr", "spelling").alias("token"))
+    return inc.fingerprints(tokens, "page", ["kind", "block"], ["line", "usr"], "token")
 
 
 @query("l6_page_fingerprints", f"SELECT * FROM {PAGES}")
@@ -113,11 +115,16 @@ def _(v):
     return inc.damaged_outputs(v("part").select(name, F.col("p_name").alias("digest")), v("part").where("p_partkey % 5 <> 0").select(name, F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("digest")))
 
 
-@query("a9_changed_pages", "SELECT page_id FROM pages WHERE page_id % 6 = 0")
+@query("a9_changed_pages", "SELECT page_id, page_id % 6 = 0 OR page_id % 7 = 0 AS written, CASE WHEN page_id % 6 = 0 THEN html || 'x' ELSE html END AS html FROM pages")
 def _(v):
-    new = v("pages").select(F.col("page_id").alias("name"), F.sha2("html", 256).alias("digest"))
-    stored = v("pages").select(F.col("page_id").alias("name"), F.sha2(F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")), 256).alias("digest"))
-    return inc.output_changes(new, stored).where("action = 'update'").select(F.col("name").alias("page_id"))
+    """Pages as they stand after a second run: every sixth differs, every seventh is new; only those are written."""
+    path = shared_dir(v.spark)
+    p = v("pages").select("page_id", "html")
+    old = p.where("page_id % 7 <> 0")
+    new = p.withColumn("html", F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")))
+    inc.write_changed(v.spark, path, old, "page_id", "html")
+    inc.write_changed(v.spark, path, new, "page_id", "html")
+    return inc.written_pages(v.spark, path, "page_id", "html").select("page_id", (F.col("run") == 1).alias("written"), "html")
 
 
 @query("a10_page_actions", "SELECT page_id AS name, CASE WHEN page_id % 5 = 0 THEN 'delete' WHEN page_id % 3 = 0 THEN 'insert' ELSE 'unchanged' END AS action FROM pages")
@@ -126,11 +133,13 @@ def _(v):
     return inc.output_changes(p.where("name % 5 <> 0"), p.where("name % 5 = 0 OR name % 3 <> 0"))
 
 
-@query("a11_diagnostics_log", "SELECT file, string_agg(repeat('  ', depth) || text, chr(10) ORDER BY pos) AS log FROM ir_diagnostics GROUP BY file")
+@query("a11_diagnostics_log", f"SELECT file, pos // {LINES} AS block, string_agg(repeat('  ', depth) || text, chr(10) ORDER BY pos) AS log FROM ir_diagnostics GROUP BY ALL")
 def _(v):
+    """A file's log in blocks of consecutive diagnostics."""
     from irloom.operators.query import ordered
 
-    return v.diagnostics.groupBy("file").agg(F.array_join(ordered(["pos"], F.concat(F.repeat(F.lit("  "), F.col("depth")), "text")), "\n").alias("log"))
+    block = F.floor(F.col("pos") / LINES).cast("long").alias("block")
+    return v.diagnostics.groupBy("file", block).agg(F.array_join(ordered(["pos"], F.concat(F.repeat(F.lit("  "), F.col("depth")), "text")), "\n").alias("log"))
 
 
 @query("a13_meta_lookup", "SELECT r_name AS value FROM region WHERE r_regionkey = 2")

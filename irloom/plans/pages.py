@@ -22,7 +22,10 @@ def _case(values: dict[int, str], default: str = "") -> str:
     return "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in values.items()) + f" ELSE '{default}' END"
 
 
-@query("m1_symbol_bodies", f"SELECT usr, '# ' || {_case(s.LABEL, 'Symbol')} || ' ' || qualified_name || chr(10) || chr(10) || '```{{' || {_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || '```' || chr(10) AS text FROM ir_symbols")
+BODY = f"'# ' || {_case(s.LABEL, 'Symbol')} || ' ' || qualified_name || chr(10) || chr(10) || '```{{' || {_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || '```' || chr(10)"
+
+
+@query("m1_symbol_bodies", f"SELECT usr, {BODY} AS text FROM ir_symbols")
 def _(v):
     return pages.symbol_body(v.symbols)
 
@@ -73,10 +76,14 @@ def _(v):
     return pages.class_pages(v.symbols, RECORD_KINDS)
 
 
-@query("m10_namespace_pages", "SELECT coalesce(parent_usr, '') AS scope, CASE WHEN kind IN (5, 6, 7, 8, 15) THEN 'functions' WHEN kind = 1 THEN 'hub' WHEN kind IN (2, 3, 4, 16) THEN 'record' ELSE 'leaf' END AS page, count(*) AS n FROM ir_symbols GROUP BY 1, 2")
+PAGE_STEM = f"""CASE WHEN kind IN (5, 6, 7, 8, 15) THEN {_stem("coalesce(parent_usr, '')", 'functions')} WHEN kind = 1 THEN {_stem('qualified_name', 'ns')} WHEN kind IN (2, 3, 4, 16) THEN {_stem('qualified_name')} WHEN kind IN (11, 13, 14, 17) THEN {_stem("coalesce(parent_usr, '')", 'types')} WHEN kind IN (10, 18) THEN {_stem("coalesce(parent_usr, '')", 'constants')} ELSE {_stem("coalesce(parent_usr, '')", 'other')} END"""
+
+
+@query("m10_namespace_pages", f"SELECT stem, count(*) AS members, min(usr) AS first, max(usr) AS last FROM (SELECT usr, {PAGE_STEM} AS stem FROM ir_symbols) GROUP BY stem")
 def _(v):
-    page = F.when(F.col("kind").isin(FUNCTION_KINDS), "functions").when(F.col("kind") == 1, "hub").when(F.col("kind").isin(RECORD_KINDS), "record").otherwise("leaf")
-    return v.symbols.groupBy(F.coalesce("parent_usr", F.lit("")).alias("scope"), page.alias("page")).agg(F.count("*").alias("n"))
+    """Which page holds each symbol: records and namespaces one of their own, the others the one of their bucket and scope."""
+    placed = pages.namespace_pages(v.symbols)
+    return placed.groupBy("stem").agg(F.count("*").alias("members"), F.min("usr").alias("first"), F.max("usr").alias("last"))
 
 
 @query("m11_degraded", "WITH c AS (SELECT kind, spelling, min_by(usr, (1 - is_documented, CASE WHEN coalesce(file_id, 0) = 0 THEN -1 ELSE file_id END, line, usr)) AS first FROM ir_symbols GROUP BY kind, spelling) SELECT usr, usr <> first AS degraded FROM ir_symbols JOIN c USING (kind, spelling)")
@@ -85,22 +92,25 @@ def _(v):
     return v.symbols.join(first, ["kind", "spelling"]).select("usr", (F.col("usr") != F.col("first")).alias("degraded"))
 
 
-@query("m12_rendered_pages")
+@query("m12_rendered_pages", f"SELECT usr AS stem, CASE WHEN usr LIKE 'p:%' AND line % 3 <> 0 THEN 'kept' ELSE {BODY} END AS text FROM ir_symbols")
 def _(v):
-    body = pages.symbol_body(v.symbols).select(F.col("usr").alias("stem"), F.sha2("text", 256).alias("fingerprint"), "text")
-    memo = body.where("stem LIKE 'p:%'")
-    return inc.memo_hits(body.select("stem", "fingerprint", F.col("text").alias("fresh")), memo).select("stem", F.coalesce("text", "fresh").alias("text"))
+    """Pages of parts are in the memo, a third of them under another fingerprint; the others are rendered."""
+    body = pages.symbol_body(v.symbols).select(F.col("usr").alias("stem"), F.sha2("text", 256).alias("fingerprint"), F.col("text").alias("fresh"))
+    stale = F.substring("stem", 3, 20).cast("long") % 3 == 0
+    memo = body.where("stem LIKE 'p:%'").select("stem", F.when(stale, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.lit("kept").alias("text"))
+    return inc.memo_hits(body, memo).select("stem", F.coalesce("text", "fresh").alias("text"))
 
 
-@query("m13_member_pages")
+@query("m13_member_pages", f"SELECT usr, {BODY} AS text FROM ir_symbols WHERE kind IN (5, 6, 7, 8, 15)")
 def _(v):
     return pages.symbol_body(v.symbols.where(F.col("kind").isin(FUNCTION_KINDS)))
 
 
-@query("m14_file_texts")
+@query("m14_file_texts", f"SELECT file_id, kind, line // {pages.LINES} AS block, string_agg({BODY}, chr(10) ORDER BY line, usr) AS text FROM ir_symbols s WHERE NOT EXISTS (SELECT 1 FROM ir_symbols p WHERE p.usr = s.parent_usr AND p.file_id = s.file_id) GROUP BY 1, 2, 3")
 def _(v):
+    """A file's text in blocks, by kind and then by lines, so no file is one row."""
     body = q.file_roots(v.symbols).join(pages.symbol_body(v.symbols), "usr")
-    return body.groupBy("file_id").agg(F.array_join(q.ordered(["kind", "line", "usr"], "text"), "\n").alias("text"))
+    return pages.in_blocks(body, ["file_id"], "text")
 
 
 @query("k4_template_names", f"SELECT usr, CASE WHEN kind = 6 THEN 'custom-method' ELSE {_case(s.TEMPLATE)} END AS template FROM ir_symbols")
