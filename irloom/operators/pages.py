@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
+from irloom.functions.grammar import LINK
 from irloom.operators.query import file_roots, ordered, roots
 from irloom.sources.schema import CONST_LEAF_KINDS, FUNCTION_KINDS, RECORD_KINDS, TYPE_LEAF_KINDS
 
-# The admonitions of a comment block, in their order.
-ADMONITIONS = ["note", "warning", "deprecated", "todo"]
-
+# What a comment block writes for its fields, in order.
+MISSING = "*No documentation provided.*"
+BLOCKS = {"deprecated": ":::{deprecated} ", "warning": ":::{warning}\n", "note": ":::{note}\n"} | {
+    field: f":::{{admonition}} {title}\n" for field, title in {"pre": "Precondition", "post": "Postcondition", "invariant": "Invariant", "bug": "Bug", "todo": "To do"}.items()
+}
+LINES_OF = {"since": "Since", "version": "Version", "date": "Date", "author": "Author"}
+SEE, URLS = "**See also:** ", "^(?i:https?|mailto):"
 
 #: Source lines whose texts make a block of a page.
 LINES = 1000
@@ -37,15 +42,45 @@ def lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
+def link(target: Column) -> Column:
+    """A free-text target as markup: a URL, prose as it stands, a C++ name as a role, anything else as code."""
+    text = F.trim(target)
+    name = F.regexp_extract(text, f"^{LINK.pattern.replace('(?P<', '(?<')}$", 1)
+    bare = F.regexp_replace(text, r"(?:\(\s*\)|[.,;:()\s])+$", "")
+    role = F.when(name != "", F.concat(F.lit("{cpp:any}`"), name, F.lit("`"))).when(bare != "", F.concat(F.lit("`"), bare, F.lit("`"))).otherwise(F.lit(""))
+    return F.when(F.rlike(text, F.lit(URLS)), F.concat(F.lit("<"), text, F.lit(">"))).when(F.rlike(text, F.lit(r"\s")), text).otherwise(role)
+
+
 def comment_block(comment: Column) -> Column:
-    """Brief, then one fenced block per admonition; a placeholder without a brief."""
-    brief = F.coalesce(F.nullif(comment["brief"], F.lit("")), F.lit("*No documentation.*"))
-    of = lambda n: F.transform(comment[n], lambda x: F.concat(F.lit(f":::{{{n}}}\n"), x, F.lit("\n:::")))
-    return F.concat_ws("\n\n", brief, *(F.concat_ws("\n\n", of(n)) for n in ADMONITIONS))
+    """A comment's prose: brief, paragraphs, a fenced block per admonition, a line for dates and the like, and what to see."""
+    none = F.array().cast("array<string>")
+    of = lambda field: F.coalesce(comment[field], none)
+    parts = [F.filter(F.array(comment["brief"]), lambda x: x != ""), of("detail")]
+
+    def fenced(field: str, opening: str) -> Column:
+        return F.transform(of(field), lambda x: F.concat(F.lit(opening), x, F.lit("\n:::")))
+
+    parts += [fenced(field, opening) for field, opening in BLOCKS.items()]
+    some = lambda field, text: F.filter(F.array(F.when(F.size(of(field)) > 0, text)), lambda x: x.isNotNull())
+    parts += [some(field, F.concat(F.lit(f"*{title}: "), F.array_join(of(field), ", "), F.lit(".*"))) for field, title in LINES_OF.items()]
+    parts.append(some("see", F.concat(F.lit(SEE), F.array_join(F.transform(of("see"), link), ", "))))
+    return F.when(comment.isNull(), F.lit(MISSING)).otherwise(F.array_join(F.concat(*parts), "\n\n"))
 
 
 def field_list(comment: Column) -> Column:
-    return F.array_join(F.transform(comment["param"], lambda p: F.concat(F.lit(":param "), p["arg"], F.lit(": "), p["value"])), "\n")
+    """A comment's parameters, results and exceptions as a field list; of a parameter its direction leads the description."""
+
+    def of(field: str, name: str, directed: bool = False) -> Column:
+        def line(x: Column) -> Column:
+            arg = F.coalesce(x["arg"], F.lit(""))
+            direction, bare = s.split_direction(arg) if directed else (F.lit(""), arg)
+            prefix = F.when(direction != "", F.concat(F.lit("**["), direction, F.lit("]** "))).otherwise(F.lit(""))
+            return F.concat(F.lit(f":{name} "), bare, F.lit(": "), prefix, x["value"])
+
+        return F.coalesce(F.transform(comment[field], line), F.array().cast("array<string>"))
+
+    returns = F.filter(F.array(F.when(comment["returns"] != "", F.concat(F.lit(":returns: "), comment["returns"]))), lambda x: x.isNotNull())
+    return F.array_join(F.concat(of("tparam", "tparam", True), of("param", "param", True), returns, of("retval", "retval"), of("throws", "throws")), "\n")
 
 
 def index_page(stems: DataFrame, title: str, by: list[str]) -> DataFrame:
@@ -54,13 +89,20 @@ def index_page(stems: DataFrame, title: str, by: list[str]) -> DataFrame:
 
 
 def hub_page(children: DataFrame) -> DataFrame:
-    """Per namespace its heading and a table of its children's stems."""
-    return children.groupBy("parent_usr").agg(F.concat(F.lit("```{toctree}\n"), F.array_join(ordered(["kind", "line", "usr"], s.stem("qualified_name")), "\n"), F.lit("\n```\n")).alias("text"))
+    """Per namespace and block of its children a table of contents: their labels and stems, in order."""
+    entry = F.concat(s.lookup(s.LABEL, "kind", "Symbol"), F.lit(" "), "spelling", F.lit(" <"), s.stem("qualified_name"), F.lit(">"))
+    block = F.floor(F.col("line") / LINES).cast("long").alias("block")
+    return children.groupBy("parent_usr", "kind", block).agg(F.concat(F.lit("```{toctree}\n:maxdepth: 1\n\n"), F.array_join(ordered(["line", "usr"], entry), "\n"), F.lit("\n```\n")).alias("text"))
 
 
-def group_page(groups: DataFrame, members: DataFrame) -> DataFrame:
-    listed = members.groupBy(F.col("group_id").alias("id")).agg(F.array_join(ordered(["ordinal"], F.concat(F.lit("- "), "qualified_name")), "\n").alias("members"))
-    return groups.join(listed, "id", "left").select("id", lines(F.concat(F.lit("# "), "title"), F.lit(""), F.coalesce("members", F.lit(""))).alias("text"))
+def group_page(groups: DataFrame, members: DataFrame, size: int = LINES) -> DataFrame:
+    """id, block and text: title, subgroups and members of each group, the members in blocks of so many ordinals; the first block leads."""
+    subs = groups.where(F.coalesce("parent_group_id", F.lit("")) != "").groupBy(F.col("parent_group_id").alias("id")).agg(F.array_join(ordered(["id"], F.concat(F.lit("- {doc}`group_"), s.slug("id"), F.lit("`"))), "\n").alias("subs"))
+    head = F.concat(F.lit("# "), F.coalesce(F.nullif("title", F.lit("")), "id"), F.when(F.col("subs").isNotNull(), F.concat(F.lit("\n\n**Subgroups**\n\n"), "subs")).otherwise(F.lit("")))
+    heads = groups.join(subs, "id", "left").select("id", F.lit(-1).cast("long").alias("block"), s.normalize(head).alias("text"))
+    block = F.floor(F.col("ordinal") / size).cast("long").alias("block")
+    listed = members.groupBy(F.col("group_id").alias("id"), block).agg(F.concat(F.array_join(ordered(["ordinal", "usr"], F.concat(F.lit("- {cpp:any}`"), "qualified_name", F.lit("`"))), "\n"), F.lit("\n")).alias("text"))
+    return heads.union(listed.join(groups.select("id"), "id", "left_semi"))
 
 
 def symbol_pages(symbols: DataFrame) -> DataFrame:
@@ -81,8 +123,21 @@ def class_pages(symbols: DataFrame, records: list[int]) -> DataFrame:
     return own.union(spaces.join(leaves, "usr", "left_semi").select("usr", s.stem("qualified_name", "ns")))
 
 
-def symbol_body(symbols: DataFrame) -> DataFrame:
-    """The heading and directive of every symbol's page."""
-    head = F.concat(s.heading_marker(F.lit(1)), F.lit(" "), s.lookup(s.LABEL, "kind", "Symbol"), F.lit(" "), "qualified_name")
-    block = F.concat(F.lit("```{"), s.lookup(s.DIRECTIVE, "kind"), F.lit("} "), "qualified_name", F.lit("\n```"))
-    return symbols.select("usr", s.normalize(lines(head, F.lit(""), block)).alias("text"))
+def symbol_body(symbols: DataFrame, comments: DataFrame | None = None, signatures: DataFrame | None = None, level: int = 1) -> DataFrame:
+    """usr and text of every symbol's own part of a page: heading, directive and, inside its fence, comment and field list.
+
+    `comments` (symbol_usr, comment) and `signatures` (usr, signature) may be left out: then
+    nothing is documented, and a declaration is the qualified name.
+    """
+    rows = symbols.select("usr", "kind", "qualified_name")
+    rows = rows.join(comments.select(F.col("symbol_usr").alias("usr"), "comment"), "usr", "left") if comments is not None else rows
+    rows = rows.join(signatures.select("usr", "signature"), "usr", "left") if signatures is not None else rows.withColumn("signature", F.col("qualified_name"))
+    body = comment_block(F.col("comment")) if comments is not None else F.lit(MISSING)
+    fields = F.coalesce(field_list(F.col("comment")), F.lit("")) if comments is not None else F.lit("")
+    function = F.col("kind").isin(FUNCTION_KINDS)
+    rows = rows.select("usr", "kind", "qualified_name", F.coalesce("signature", "qualified_name").alias("signature"), body.alias("body"), F.when(function, fields).otherwise(F.lit("")).alias("fields"))
+    fence = s.fence(F.concat("body", "fields"))
+    head = F.concat(s.heading_marker(F.lit(level)), F.lit(" "), s.lookup(s.LABEL, "kind", "Symbol"), F.lit(" `"), "qualified_name", F.lit("`"))
+    opening = F.concat(fence, F.lit("{"), s.lookup(s.DIRECTIVE, "kind"), F.lit("} "), "signature")
+    listed = F.when(F.col("fields") != "", F.concat(F.lit("\n\n"), "fields")).otherwise(F.lit(""))
+    return rows.select("usr", s.normalize(F.concat(head, F.lit("\n\n"), opening, F.lit("\n\n"), "body", listed, F.lit("\n"), fence)).alias("text"))

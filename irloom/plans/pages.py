@@ -22,12 +22,20 @@ def _case(values: dict[int, str], default: str = "") -> str:
     return "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in values.items()) + f" ELSE '{default}' END"
 
 
-BODY = f"'# ' || {_case(s.LABEL, 'Symbol')} || ' ' || qualified_name || chr(10) || chr(10) || '```{{' || {_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || '```' || chr(10)"
+def _body(inner: str, fence: str = "'```'") -> str:
+    return f"'# ' || {_case(s.LABEL, 'Symbol')} || ' `' || qualified_name || '`' || chr(10) || chr(10) || {fence} || '{{' || {_case(s.DIRECTIVE)} || '}} ' || qualified_name || chr(10) || chr(10) || {inner} || chr(10) || {fence} || chr(10)"
 
 
-@query("m1_symbol_bodies", f"SELECT usr, {BODY} AS text FROM ir_symbols")
+BODY = _body(f"'{pages.MISSING}'")
+
+
+@query("m1_symbol_bodies", f"""
+WITH c AS (SELECT 'c:' || CAST(conv_id AS VARCHAR) AS c_usr, max_by(text, turn) FILTER (WHERE role = 'user') AS brief, string_agg(':::{{note}}' || chr(10) || text || chr(10) || ':::', chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role <> 'user') AS notes FROM conversations GROUP BY conv_id)
+SELECT usr, trim(regexp_replace({_body(f"CASE WHEN c_usr IS NULL THEN '{pages.MISSING}' ELSE concat_ws(chr(10) || chr(10), nullif(brief, ''), notes) END")}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10)) || chr(10) AS text FROM ir_symbols LEFT JOIN c ON c_usr = usr""")
 def _(v):
-    return pages.symbol_body(v.symbols)
+    """Customers have the conversation of their number as their comment; the other symbols have none."""
+    comments = _comments(v).withColumn("symbol_usr", F.concat(F.lit("c:"), F.col("symbol_usr").cast("string")))
+    return pages.symbol_body(v.symbols, comments)
 
 
 def _comments(v):
@@ -35,14 +43,42 @@ def _comments(v):
     return structs_from_fields(v.comment_fields.withColumn("name", name))
 
 
-@query("m2_comment_blocks", "SELECT symbol_usr, coalesce(nullif(max_by(value, ordinal) FILTER (WHERE name = 'user'), ''), '*No documentation.*') || chr(10) || chr(10) || coalesce(string_agg(':::{note}' || chr(10) || value || chr(10) || ':::', chr(10) || chr(10) ORDER BY ordinal) FILTER (WHERE name <> 'user'), '') || repeat(chr(10), 6) AS text FROM ir_comment_fields GROUP BY symbol_usr")
+#: A field for each turn of a conversation, and where its text stands in a comment block.
+FIELDS = ["see", "since", "brief", "note", "todo", "detail", "warning", "author", "deprecated", "pre", "version", "post", "bug", "date", "invariant"]
+PLACE = {n: k for k, n in enumerate(["brief", "detail", *pages.BLOCKS, *pages.LINES_OF, "see"])}
+
+
+def _block_sql() -> str:
+    nl = "chr(10)"
+    place = "CASE name " + " ".join(f"WHEN '{n}' THEN {k}" for n, k in PLACE.items()) + " END"
+    opening = "CASE name " + " ".join("WHEN '{}' THEN {}".format(n, " || chr(10)".join(f"'{x}'" if x else "''" for x in o.split(chr(10))).replace(" || chr(10)''", " || chr(10)")) for n, o in pages.BLOCKS.items()) + " END"
+    lines = "CASE name " + " ".join(f"WHEN '{n}' THEN '*{t}: '" for n, t in pages.LINES_OF.items()) + " END"
+    quoted = ", ".join(f"'{n}'" for n in FIELDS)
+    return f"""
+WITH f AS (SELECT conv_id AS symbol_usr, turn, list_extract([{quoted}], CAST((turn + conv_id) % {len(FIELDS)} + 1 AS BIGINT)) AS name, text FROM conversations),
+each AS (SELECT symbol_usr, {place} AS place, turn, CASE WHEN name IN ('brief', 'detail') THEN text ELSE {opening} || text || {nl} || ':::' END AS t FROM f WHERE name NOT IN ('since', 'version', 'date', 'author', 'see') AND NOT (name = 'brief' AND text = '')),
+joined AS (SELECT symbol_usr, {place} AS place, 0 AS turn, CASE WHEN name = 'see' THEN '{pages.SEE}' || string_agg(trim(text), ', ' ORDER BY turn) ELSE {lines} || string_agg(text, ', ' ORDER BY turn) || '.*' END AS t FROM f WHERE name IN ('since', 'version', 'date', 'author', 'see') GROUP BY symbol_usr, name),
+every AS (SELECT * FROM each UNION ALL SELECT * FROM joined),
+told AS (SELECT symbol_usr, string_agg(t, {nl} || {nl} ORDER BY place, turn) AS text FROM every GROUP BY symbol_usr)
+SELECT symbol_usr, coalesce(text, '') AS text FROM (SELECT DISTINCT conv_id AS symbol_usr FROM conversations) LEFT JOIN told USING (symbol_usr)"""
+
+
+@query("m2_comment_blocks", _block_sql())
 def _(v):
-    return _comments(v).select("symbol_usr", pages.comment_block(F.col("comment")).alias("text"))
+    """Each turn is another field, so conversations hold all of them; their texts are prose, which a see-also leaves as it stands."""
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), ((F.col("ordinal") + F.col("symbol_usr")) % len(FIELDS) + 1).cast("int"))
+    return structs_from_fields(v.comment_fields.withColumn("name", name)).select("symbol_usr", pages.comment_block(F.col("comment")).alias("text"))
 
 
-@query("m3_field_lists", "SELECT conv_id AS symbol_usr, coalesce(string_agg(':param ' || role || ': ' || text, chr(10) ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id")
+@query("m3_field_lists", """
+WITH f AS (SELECT conv_id AS symbol_usr, turn, role, text, turn % 5 AS k FROM conversations), w AS (
+  SELECT symbol_usr, CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE k END AS place, turn, CASE k WHEN 0 THEN ':param ' || role || ': **[in,out]** ' || text WHEN 1 THEN ':tparam ' || role || ': ' || text WHEN 3 THEN ':retval ' || role || ': ' || text ELSE ':throws ' || role || ': ' || text END AS t FROM f WHERE k <> 2
+  UNION ALL SELECT symbol_usr, 2, 0, ':returns: ' || max_by(text, turn) FROM f WHERE k = 2 GROUP BY symbol_usr HAVING max_by(text, turn) <> '')
+SELECT conv_id AS symbol_usr, coalesce((SELECT string_agg(t, chr(10) ORDER BY place, turn) FROM w WHERE symbol_usr = conv_id), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def _(v):
-    rows = v.comment_fields.select("symbol_usr", F.lit("param").alias("name"), F.col("name").alias("arg"), "value", "ordinal")
+    k = F.col("ordinal") % 5
+    name = F.element_at(F.array(*map(F.lit, ["param", "tparam", "returns", "retval", "throws"])), (k + 1).cast("int"))
+    rows = v.comment_fields.select("symbol_usr", name.alias("name"), F.when(k == 0, F.concat(F.lit("[in,out] "), "name")).otherwise(F.col("name")).alias("arg"), "value", "ordinal")
     return structs_from_fields(rows).select("symbol_usr", pages.field_list(F.col("comment")).alias("text"))
 
 
@@ -51,12 +87,15 @@ def _(v):
     return pages.index_page(q.roots(v.symbols).select("kind", F.col("qualified_name").alias("stem")), "Index", ["kind"])
 
 
-@query("m5_hub_pages", f"SELECT parent_usr, '```{{toctree}}' || chr(10) || string_agg({_stem('qualified_name')}, chr(10) ORDER BY kind, line, usr) || chr(10) || '```' || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3) GROUP BY parent_usr")
+@query("m5_hub_pages", f"SELECT parent_usr, kind, line // {pages.LINES} AS block, '```{{toctree}}' || chr(10) || ':maxdepth: 1' || chr(10) || chr(10) || string_agg({_case(s.LABEL, 'Symbol')} || ' ' || spelling || ' <' || {_stem('qualified_name')} || '>', chr(10) ORDER BY line, usr) || chr(10) || '```' || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3) GROUP BY 1, 2, 3")
 def _(v):
     return pages.hub_page(v.symbols.where("coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3)"))
 
 
-@query("m6_group_pages", "WITH m AS (SELECT group_id, string_agg('- ' || qualified_name, chr(10) ORDER BY ordinal) AS x FROM ir_group_members JOIN ir_symbols ON usr = member_usr GROUP BY group_id) SELECT id, '# ' || title || chr(10) || chr(10) || coalesce(x, '') AS text FROM ir_groups LEFT JOIN m ON group_id = id")
+@query("m6_group_pages", f"""
+WITH subs AS (SELECT parent_group_id AS p, string_agg('- {{doc}}`group_' || {SLUG.format('id')} || '`', chr(10) ORDER BY id) AS x FROM ir_groups WHERE coalesce(parent_group_id, '') <> '' GROUP BY 1)
+SELECT id, CAST(-1 AS BIGINT) AS block, '# ' || title || coalesce(chr(10) || chr(10) || '**Subgroups**' || chr(10) || chr(10) || x, '') || chr(10) AS text FROM ir_groups LEFT JOIN subs ON p = id
+UNION ALL SELECT group_id, ordinal // {pages.LINES}, string_agg('- {{cpp:any}}`' || qualified_name || '`', chr(10) ORDER BY ordinal, usr) || chr(10) FROM ir_group_members JOIN ir_symbols ON usr = member_usr GROUP BY 1, 2""")
 def _(v):
     return pages.group_page(v.groups, q.group_symbols(v.group_members, v.symbols))
 
