@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
 from irloom.functions.grammar import LINK
+from irloom.operators.aggregate import unique_stems
 from irloom.operators.query import file_roots, ordered, roots
 from irloom.sources.schema import CONST_LEAF_KINDS, FUNCTION_KINDS, RECORD_KINDS, TYPE_LEAF_KINDS
 
@@ -106,8 +107,8 @@ def group_page(groups: DataFrame, members: DataFrame, size: int = LINES) -> Data
 
 
 def symbol_pages(symbols: DataFrame) -> DataFrame:
-    """A page per root."""
-    return roots(symbols).select("usr", s.stem("qualified_name").alias("stem"))
+    """A page per root, each with a stem of its own."""
+    return unique_stems(roots(symbols), s.stem("qualified_name"), "usr")
 
 
 def file_pages(files: DataFrame, symbols: DataFrame) -> DataFrame:

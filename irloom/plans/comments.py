@@ -55,10 +55,10 @@ def _(v):
 WORDS = ["param[in]", "param[inout]", "tparam[in,out]", "param[up]", "code{.py}", "code{c}", "code{unparsed}", "brief", "param[out]x", "code{"]
 
 
-@query("j4_command_words", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES (0, ['param', 'in', '']), (1, ['param', 'in,out', '']), (2, ['tparam', 'in,out', '']), (3, ['param[up]', '', '']), (4, ['code', '', 'py']), (5, ['code', '', 'c']), (6, ['code', '', '']), (7, ['brief', '', '']), (8, ['param[out]x', '', '']), (9, ['code{', '', ''])) t(k, r) ON p_partkey % 10 = k")
+@query("j4_command_words", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES (0, 'param|in|'), (1, 'param|in,out|'), (2, 'tparam|in,out|'), (3, 'param[up]||'), (4, 'code||py'), (5, 'code||c'), (6, 'code||'), (7, 'brief||'), (8, 'param[out]x||'), (9, 'code{||')) t(k, r) ON p_partkey % 10 = k")
 def _(v):
     words = v("part").select("p_partkey", F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 10 + 1).cast("int")).alias("w"))
-    return words.select("p_partkey", list_udf(grammar.command_word)("w").alias("parts"))
+    return words.select("p_partkey", F.array_join(list_udf(grammar.command_word)("w"), "|").alias("parts"))
 
 
 @query("j5_fences", "SELECT p_partkey, repeat('`', greatest(3, p_size % 7 + 1)) || CASE WHEN p_size % 2 = 0 THEN 'py' ELSE 'cpp' END || chr(10) || p_name || chr(10) || chr(10) || '  ' || repeat('`', p_size % 7) || 'x' || chr(10) || repeat('`', greatest(3, p_size % 7 + 1)) AS block FROM part")
@@ -103,10 +103,10 @@ LINKS = [
 ]
 
 
-@query("j7_link_targets", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES " + ", ".join(f"({k}, {x})" for k, (_, x) in enumerate(LINKS)) + f") t(k, r) ON p_partkey % {len(LINKS)} = k")
+@query("j7_link_targets", "SELECT p_partkey, r AS parts FROM part JOIN (VALUES " + ", ".join(f"({k}, '{'|'.join(x)}')" for k, (_, x) in enumerate(LINKS)) + f") t(k, r) ON p_partkey % {len(LINKS)} = k")
 def _(v):
     token = F.element_at(F.array(*(F.lit(x) for x, _ in LINKS)), (F.col("p_partkey") % len(LINKS) + 1).cast("int"))
-    return v("part").select("p_partkey", list_udf(lambda x: grammar.link_parts(x) or ("", ""))(token).alias("parts"))
+    return v("part").select("p_partkey", F.array_join(list_udf(lambda x: grammar.link_parts(x) or ("", ""))(token), "|").alias("parts"))
 
 
 @query("j8_routed_commands", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS notes FROM events GROUP BY user_id")

@@ -100,7 +100,7 @@ def _(v):
     return pages.group_page(v.groups, q.group_symbols(v.group_members, v.symbols))
 
 
-@query("m7_root_pages", f"SELECT usr, {_stem('qualified_name')} AS stem FROM ir_symbols WHERE coalesce(parent_usr, '') = ''")
+@query("m7_root_pages", f"WITH n AS (SELECT usr, {_stem('qualified_name')} AS s FROM ir_symbols WHERE coalesce(parent_usr, '') = ''), c AS (SELECT usr, s, count(*) OVER (PARTITION BY lower(s)) AS claims FROM n), t AS (SELECT usr, CASE WHEN claims > 1 THEN s || '_' || left(sha256(usr), 8) ELSE s END AS s FROM c) SELECT usr, s || repeat('_', CAST(row_number() OVER (PARTITION BY lower(s) ORDER BY usr) - 1 AS INTEGER)) AS stem FROM t")
 def _(v):
     return pages.symbol_pages(v.symbols)
 

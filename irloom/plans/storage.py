@@ -84,13 +84,13 @@ def _(v):
     return snapshot.read(v.spark, path)["symbols"].select("usr", "kind", "qualified_name", "line")
 
 
-@query("a8_compile_commands", "SELECT '/build' AS directory, path AS file, list_concat(['c++'], CASE WHEN id % 2 = 0 THEN ['-O' || CAST(id AS VARCHAR), path] ELSE [path] END) AS arguments, (SELECT sha256('[' || string_agg('{\"directory\":\"/build\",\"file\":\"' || path || '\",\"arguments\":[\"c++\",' || CASE WHEN id % 2 = 0 THEN '\"-O' || CAST(id AS VARCHAR) || '\",' ELSE '' END || '\"' || path || '\"]}', ',' ORDER BY id) || ']') FROM ir_files) AS digest FROM ir_files")
+@query("a8_compile_commands", "SELECT '/build' AS directory, path AS file, 'c++ ' || CASE WHEN id % 2 = 0 THEN '-O' || CAST(id AS VARCHAR) || ' ' ELSE '' END || path AS arguments, (SELECT sha256('[' || string_agg('{\"directory\":\"/build\",\"file\":\"' || path || '\",\"arguments\":[\"c++\",' || CASE WHEN id % 2 = 0 THEN '\"-O' || CAST(id AS VARCHAR) || '\",' ELSE '' END || '\"' || path || '\"]}', ',' ORDER BY id) || ']') FROM ir_files) AS digest FROM ir_files")
 def _(v):
     path = f"{shared_dir(v.spark)}/compile_commands.json"
     rows = v.files.orderBy("id").collect()  # one row a file of the fixed dimension
     entries = ({"directory": "/build", "file": r.path, "arguments": ["c++", *([f"-O{r.id}"] if r.id % 2 == 0 else []), r.path]} for r in rows)
     snapshot.write_small(v.spark, path, json.dumps(list(entries), separators=(",", ":")).encode())
-    return snapshot.compile_commands(v.spark, path).select("directory", "file", "arguments", "digest")
+    return snapshot.compile_commands(v.spark, path).select("directory", "file", F.array_join("arguments", " ").alias("arguments"), "digest")
 
 
 @query("a12_documented_entities", "SELECT CAST(p_partkey AS VARCHAR) || ' ' || p_name AS name, 'class' AS kind FROM part WHERE p_partkey % 3 <> 0")

@@ -68,3 +68,16 @@ def test_templates(spark):
             templates.compiled(wrong, fields)
     with pytest.raises(templates.TemplateError):
         templates.find(spark, [], "no such kind")
+
+
+def test_stems_until_free(spark):
+    """A tagged stem that another name has by itself gets underscores until no name has it."""
+    import hashlib
+
+    from irloom.operators.aggregate import unique_stems
+
+    tag = hashlib.sha256(b"x").hexdigest()[:8]
+    rows = [("x", "s"), ("y", "S"), ("z", f"s_{tag}"), ("w", f"S_{tag}_"), ("v", "lone")]
+    got = {r.name: r.stem for r in unique_stems(spark.createDataFrame(rows, "name string, s string"), F.col("s")).collect()}
+    assert got["v"] == "lone" and len({s.lower() for s in got.values()}) == len(rows)
+    assert got["x"].startswith(f"s_{tag}") and all(got[n].startswith(s) for n, s in rows)
