@@ -29,23 +29,30 @@ def upsert_groups(writes: DataFrame, key: str = "id", fields: tuple[str, ...] =
     A definition after a definition replaces every field; a definition replaces what it
     fills; anything fills a field not yet set; else the stored value stands. A title is
     unset if it is the id, a text if it is '', a parent if it is NULL.
+
+    So the last definition's value counts if it is set; else the first set value of another
+    write, which must come behind the last definition where there are several. Two partial
+    aggregations tell that, and no group's writes meet in one task.
     """
 
-    def is_set(row: Column, f: str) -> Column:
-        value = row[f]
-        return value != row[key] if f == "title" else value.isNotNull() if f == "parent" else value != ""
-
-    def step(old: Column, new: Column) -> Column:
-        merged = []
-        for f in fields:
-            keep = F.when(new["is_definition"] & old["is_definition"], new[f]).when(new["is_definition"] & is_set(new, f), new[f]).when(~is_set(old, f), new[f]).otherwise(old[f])
-            merged.append(F.when(old["seq"].isNull(), new[f]).otherwise(keep).alias(f))
-        return F.struct(new["seq"].alias("seq"), new[key].alias(key), *merged, (F.coalesce(old["is_definition"], F.lit(False)) | new["is_definition"]).alias("is_definition"))
-
-    row = F.struct(F.col(seq).cast("long").alias("seq"), F.col(key).cast("string").alias(key), *(F.col(f).cast("string").alias(f) for f in fields), F.col("is_definition").cast("boolean").alias("is_definition"))
-    nothing = F.struct(F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias(key), *(F.lit(None).cast("string").alias(f) for f in fields), F.lit(None).cast("boolean").alias("is_definition"))
-    folded = writes.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("w")).select(key, F.aggregate("w", nothing, step).alias("g"))
-    return folded.select(key, *(F.col(f"g.{f}").alias(f) for f in fields), F.col("g.is_definition").alias("is_definition"))
+    def is_set(f: str) -> Column:
+        value = F.col(f).cast("string")
+        return F.coalesce(value != F.col(key) if f == "title" else value.isNotNull() if f == "parent" else value != "", F.lit(False))
+
+    defines = F.col("is_definition").cast("boolean")
+    last = writes.groupBy(F.col(key).alias("__key")).agg(F.count(F.when(defines, 1)).alias("__defs"), F.max(F.when(defines, F.col(seq))).alias("__last"))
+    rows = writes.join(last, F.col(key).eqNullSafe(F.col("__key")))
+    is_last = F.coalesce(F.col(seq) == F.col("__last"), F.lit(False)) & defines
+    counts = ~defines & ((F.col("__defs") < 2) | (F.col(seq) > F.col("__last")))
+
+    def merged(f: str) -> Column:
+        value = F.col(f).cast("string")
+        own = F.max(F.when(is_last & is_set(f), value))
+        other = F.min_by(value, F.when(counts & is_set(f), F.col(seq)))
+        nothing = F.first(key).cast("string") if f == "title" else F.lit(None).cast("string") if f == "parent" else F.lit("")
+        return F.coalesce(own, other, nothing).alias(f)
+
+    return rows.groupBy(key).agg(*(merged(f) for f in fields), F.max(F.col("__defs") > 0).alias("is_definition"))
 
 
 def last_by_key(writes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
