@@ -159,10 +159,10 @@ def _(v):
 @query("k1_registered_parsers", "SELECT * FROM (VALUES ('doxygen', true), ('plain', true), ('shout', false)) t(name, built_in)")
 def _(v):
     """The parsers that are built in, and one that is registered and taken away again."""
-    before = set(grammar.available_parsers())
+    others = set(grammar.available_parsers()) - set(grammar.BUILT_IN)  # a session may have some of its own
     grammar.register_parser("shout", grammar.plain)
     try:
-        return v.spark.createDataFrame([(n, n in before) for n in grammar.available_parsers()], "name string, built_in boolean")
+        return v.spark.createDataFrame([(n, n in grammar.BUILT_IN) for n in grammar.available_parsers() if n not in others], "name string, built_in boolean")
     finally:
         del grammar.PARSERS["shout"]
 
