@@ -46,9 +46,10 @@ def canonical(symbols: DataFrame, identity: list[str]) -> DataFrame:
 
 
 def buckets_by_scope(symbols: DataFrame, types: list[int], constants: list[int]) -> DataFrame:
-    """parent_usr, bucket (types, constants, other) and its members by (spelling, line, usr)."""
+    """scope, bucket (types, constants, other), position and usr of its members by (spelling, line, usr)."""
     bucket = F.when(F.col("kind").isin(types), "types").when(F.col("kind").isin(constants), "constants").otherwise("other")
-    return symbols.groupBy(F.coalesce("parent_usr", F.lit("")).alias("scope"), bucket.alias("bucket")).agg(ordered(["spelling", "line", "usr"], "usr").alias("usrs"))
+    rows = symbols.select(F.coalesce("parent_usr", F.lit("")).alias("scope"), bucket.alias("bucket"), "spelling", "line", "usr")
+    return numbered(rows, ["scope", "bucket"], ["spelling", "line", "usr"]).select("scope", "bucket", "position", "usr")
 
 
 def overloads(symbols: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
 from irloom.functions.grammar import LINK
-from irloom.operators.aggregate import unique_stems
+from irloom.operators.aggregate import numbered, unique_stems
 from irloom.operators.query import file_roots, ordered, roots
 from irloom.sources.schema import CONST_LEAF_KINDS, FUNCTION_KINDS, RECORD_KINDS, TYPE_LEAF_KINDS
 
@@ -84,9 +84,12 @@ def field_list(comment: Column) -> Column:
     return F.array_join(F.concat(of("tparam", "tparam", True), of("param", "param", True), returns, of("retval", "retval"), of("throws", "throws")), "\n")
 
 
-def index_page(stems: DataFrame, title: str, by: list[str]) -> DataFrame:
-    """One text per group `by`: a heading and the stems in order."""
-    return stems.groupBy(*by).agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(ordered(["stem"], "stem"), "\n"), F.lit("\n")).alias("text"))
+def index_page(stems: DataFrame, title: str, by: list[str], order: list[str]) -> DataFrame:
+    """by, block and text: a heading and the stems in order, so many lines a block; the first block has the heading."""
+    placed = numbered(stems.select(*by, *order), by, order).withColumn("block", F.floor(F.col("position") / LINES).cast("long"))
+    text = F.concat(F.array_join(ordered(["position"], "stem"), "\n"), F.lit("\n"))
+    blocks = placed.groupBy(*by, "block").agg(text.alias("text"))
+    return blocks.withColumn("text", F.when(F.col("block") == 0, F.concat(F.lit(f"# {title}\n\n"), "text")).otherwise(F.col("text")))
 
 
 def hub_page(children: DataFrame) -> DataFrame:

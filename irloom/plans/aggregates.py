@@ -40,9 +40,12 @@ def _(v):
     return a.ratios(v("events"), "user_id", "event_type", "value", ["signup", "click", "purchase"]).select("user_id", F.round("click_ratio", 6).alias("click_ratio"), F.round("purchase_ratio", 6).alias("purchase_ratio"))
 
 
-@query("f6_ordered_children", "SELECT coalesce(parent_usr, '') AS parent, count(*) AS n, string_agg(usr, chr(31) ORDER BY kind, line, qualified_name, usr) AS usrs FROM ir_symbols GROUP BY 1")
+@query("f6_ordered_children", "SELECT coalesce(parent_usr, '') AS parent, CAST(row_number() OVER (PARTITION BY coalesce(parent_usr, '') ORDER BY kind, line, qualified_name, usr) - 1 AS BIGINT) AS position, usr FROM ir_symbols")
 def _(v):
-    return v.symbols.groupBy(F.coalesce("parent_usr", F.lit("")).alias("parent")).agg(F.count("*").alias("n"), q.joined(q.ordered(["kind", "line", "qualified_name", "usr"], "usr")).alias("usrs"))
+    """A row a child with its place, so a parent of most symbols is spread like any other."""
+    order = ["kind", "line", "qualified_name", "usr"]
+    children = v.symbols.select(F.coalesce("parent_usr", F.lit("")).alias("parent"), *order)
+    return a.numbered(children, ["parent"], order).select("parent", "position", "usr")
 
 
 @query(
@@ -77,9 +80,9 @@ def _(v):
     return a.overloads(v.symbols.where(F.col("kind").isin(FUNCTION_KINDS))).select("scope", "name", q.joined(F.col("usrs")).alias("usrs"))
 
 
-@query("f11_buckets", "SELECT coalesce(parent_usr, '') AS scope, CASE WHEN kind IN (11, 13, 14, 17) THEN 'types' WHEN kind IN (10, 18) THEN 'constants' ELSE 'other' END AS bucket, string_agg(usr, chr(31) ORDER BY spelling, line, usr) AS usrs FROM ir_symbols GROUP BY 1, 2")
+@query("f11_buckets", "WITH b AS (SELECT coalesce(parent_usr, '') AS scope, CASE WHEN kind IN (11, 13, 14, 17) THEN 'types' WHEN kind IN (10, 18) THEN 'constants' ELSE 'other' END AS bucket, spelling, line, usr FROM ir_symbols) SELECT scope, bucket, CAST(row_number() OVER (PARTITION BY scope, bucket ORDER BY spelling, line, usr) - 1 AS BIGINT) AS position, usr FROM b")
 def _(v):
-    return a.buckets_by_scope(v.symbols, TYPE_LEAF_KINDS, CONST_LEAF_KINDS).select("scope", "bucket", q.joined(F.col("usrs")).alias("usrs"))
+    return a.buckets_by_scope(v.symbols, TYPE_LEAF_KINDS, CONST_LEAF_KINDS)
 
 
 @query("f12_contested_stems", "SELECT lower(regexp_replace(spelling, '[0-9]+$', '')) AS stem, count(DISTINCT qualified_name) AS names FROM ir_symbols GROUP BY 1 HAVING count(DISTINCT qualified_name) > 1")

@@ -82,9 +82,9 @@ def _(v):
     return structs_from_fields(rows).select("symbol_usr", pages.field_list(F.col("comment")).alias("text"))
 
 
-@query("m4_index_pages", "SELECT kind, '# Index' || chr(10) || chr(10) || string_agg(qualified_name, chr(10) ORDER BY qualified_name) || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') = '' GROUP BY kind")
+@query("m4_index_pages", f"WITH n AS (SELECT kind, qualified_name, row_number() OVER (PARTITION BY kind ORDER BY qualified_name, usr) - 1 AS position FROM ir_symbols WHERE coalesce(parent_usr, '') = '') SELECT kind, CAST(position // {pages.LINES} AS BIGINT) AS block, CASE WHEN position // {pages.LINES} = 0 THEN '# Index' || chr(10) || chr(10) ELSE '' END || string_agg(qualified_name, chr(10) ORDER BY position) || chr(10) AS text FROM n GROUP BY kind, position // {pages.LINES}")
 def _(v):
-    return pages.index_page(q.roots(v.symbols).select("kind", F.col("qualified_name").alias("stem")), "Index", ["kind"])
+    return pages.index_page(q.roots(v.symbols).select("kind", F.col("qualified_name").alias("stem"), "usr"), "Index", ["kind"], ["stem", "usr"])
 
 
 @query("m5_hub_pages", f"SELECT parent_usr, kind, line // {pages.LINES} AS block, '```{{toctree}}' || chr(10) || ':maxdepth: 1' || chr(10) || chr(10) || string_agg({_case(s.LABEL, 'Symbol')} || ' ' || spelling || ' <' || {_stem('qualified_name')} || '>', chr(10) ORDER BY line, usr) || chr(10) || '```' || chr(10) AS text FROM ir_symbols WHERE coalesce(parent_usr, '') <> '' AND kind IN (1, 2, 3) GROUP BY 1, 2, 3")
