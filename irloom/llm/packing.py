@@ -33,10 +33,12 @@ END_ID = 2
 #: Attention cost of one token pair relative to the linear cost of one token.
 QUADRATIC = 1 / 2048
 #: Text packed together; bounds a worker's memory and sets how rarely a block's tail is cut.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 #: Distinct strings whose ids a worker keeps; about 250 bytes each.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 400_000
+#: Strings that the library encodes at a time.
+ASKED = 20_000
 
 #: ASCII punctuation that the tokenizer keeps together behind a word (an apostrophe may start an ending of its own).
 TAIL = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
@@ -67,36 +69,37 @@ class WordEncoder:
 
         A Latin word, with or without punctuation behind it, is lower-cased here; the
         library then encodes many distinct words in one text, whose ids fall apart at
-        the tokens that end a word. It encodes any other string by itself.
+        the tokens that end a word. It encodes any other string by itself. What it
+        returns is large, so it is asked for little at a time.
         """
-        parts, of, odd = Numbering(), [], []
-        for s in strings:
+        parts, of, odd = Numbering(), np.full((len(strings), 2), -1, np.int64), []
+        for k, s in enumerate(strings):
             word = s.lower()
             body = word.rstrip(TAIL)
             if body.isalpha() and max(body) < "\u0250":
-                of.append((parts[body], parts[word[len(body) :]] if len(body) < len(word) else -1))
+                of[k, 0] = parts[body]
+                if len(body) < len(word):
+                    of[k, 1] = parts[word[len(body) :]]
             else:
-                of.append(None)
-                odd.append(s)
+                odd.append(k)
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         listed = list(parts)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([" ".join(listed[i : i + 256]) for i in range(0, len(listed), 256)], add_special_tokens=False)]
-        ids = np.array([x for g in got for x in g], "<u4")
-        stop = np.flatnonzero(self.is_end[ids]) + 1
-        assert len(stop) == len(listed), "a word did not end in one end token"
-        stops = [0, *stop.tolist()]
-        rare = iter([e.ids for i in range(0, len(odd), 10_000) for e in self.tokenizer.encode_batch_fast(odd[i : i + 10_000], add_special_tokens=False)])
-        whole, flat = ids.tolist(), []
-        lengths = np.zeros(len(strings), np.int64)
-        for k, o in enumerate(of):
-            if o is None:
-                mine = next(rare)
-            else:
-                mine = whole[stops[o[0]] : stops[o[0] + 1]]
-                if o[1] >= 0:
-                    mine += whole[stops[o[1]] : stops[o[1] + 1]]
-            lengths[k] = len(mine)
-            flat += mine
-        return np.array(flat, "<u4"), lengths
+        for at in range(0, len(listed), ASKED):
+            some = listed[at : at + ASKED]
+            got = self.tokenizer.encode_batch_fast([" ".join(some[i : i + 256]) for i in range(0, len(some), 256)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+            stop = np.flatnonzero(self.is_end[ids]) + 1
+            assert len(stop) == len(some), "a word did not end in one end token"
+            flat.append(ids)
+            sizes.append(np.diff(stop, prepend=0))
+        of[odd, 0] = np.arange(len(listed), len(listed) + len(odd))
+        for at in range(0, len(odd), ASKED):
+            got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([strings[k] for k in odd[at : at + ASKED]], add_special_tokens=False)]
+            flat.append(np.concatenate(got))
+            sizes.append(np.array([len(x) for x in got], np.int64))
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        lengths = np.where(of >= 0, size[of] if len(size) else 0, 0).sum(1)
+        return gather(np.cumsum(size) - size, size, ids, of[of >= 0]), lengths
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > MEMO_WORDS:
