@@ -286,6 +286,11 @@ def constant(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, though functions over arrays use them for every element."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph (number of its first line from 0), family, probability, similarity and confirmed of each paragraph of a family or with a cue."""
     model = model or train()
@@ -308,8 +313,10 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
     def whole(line: Column) -> Column:
         """Whether the line is a confirmed notice by itself."""
-        holds = lambda x, qs, share: F.exists(constant(qs, "array<array<string>>"), lambda q: F.size(F.array_intersect(x, q)) >= F.lit(share) * F.size(q))
-        found = F.exists(F.array(pairs_of(words_of(line))), lambda x: holds(x, texts, CONFIRM) | holds(x, called, 1.0))
+        holds = lambda x, qs, share: F.exists(constant(qs, "array<array<string>>"), lambda q: F.size(F.array_intersect(q, x)) >= F.lit(share) * F.size(q))
+        # A lambda's variable is worked out once, however often it is used; of the pairs only those of notices are looked at again.
+        listed = constant(sorted({p for q in (*texts, *called) for p in q}), "array<string>")
+        found = F.exists(F.array(words_of(line)), lambda w: F.exists(F.array(F.array_intersect(pairs_of(w), listed)), lambda x: holds(x, texts, CONFIRM) | holds(x, called, 1.0)))
         return F.when(F.rlike(F.lower(line), F.lit(sign)), found).otherwise(F.lit(False))
 
     def apart(a: Column, b: Column) -> Column:
@@ -319,22 +326,24 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
         return F.rlike(a.line, blank) | F.rlike(b.line, blank) | stop | a.whole | b.whole
 
     hit = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.rlike(F.lower("text"), F.lit(some)))
-    lines = hit.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), whole(x).alias("whole"))).alias("lines"))
+    lines = held(hit.select("doc_id", "text"), lines=F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), whole(x).alias("whole")))).drop("text")
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | apart(F.get("lines", F.greatest(i - 1, F.lit(0))), F.get("lines", i)))
-    runs = lines.withColumn("starts", starts)
-    run = F.transform("starts", lambda b, j: F.struct(b.alias("paragraph"), F.array_join(F.slice("lines.line", b + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - b), "\n").alias("line")))
+    runs = held(lines, starts=starts, texts=F.col("lines.line")).drop("lines")
+    run = F.transform("starts", lambda b, j: F.struct(b.alias("paragraph"), F.array_join(F.slice("texts", b + 1, F.coalesce(F.get("starts", j + 1), F.size("texts")) - b), "\n").alias("line")))
     lines = runs.select("doc_id", F.inline(run)).where(F.rlike(F.lower("line"), F.lit(some)))
-    words = lines.withColumn("w", words_of(F.col("line")))
-    words = words.withColumn("g", F.concat("w", pairs_of(F.col("w"))))
+    words = held(lines, w=words_of(F.col("line")))
+    words = held(words, g=F.concat("w", pairs_of(F.col("w")))).drop("w")
     table = constant({f: w.tolist() for f, w in zip(model.features, model.weights, strict=True)}, "map<string,array<double>>")
     start = constant(model.bias.tolist(), "array<double>")
     z = F.aggregate(F.array_intersect("g", F.map_keys(table)), start, lambda acc, x: F.zip_with(acc, F.element_at(table, x), lambda a, b: a + b))
-    scored = words.withColumn("z", F.transform(z, lambda v: v / F.lit(model.temperature)))
-    scored = scored.withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
-    best = F.array_position("e", F.array_max("e")).cast("int")
+    scored = held(words, z=F.transform(z, lambda v: v / F.lit(model.temperature)))
+    scored = held(scored, top=F.array_max("z"))
+    scored = held(scored, e=F.transform("z", lambda v: F.exp(v - F.col("top"))))
+    scored = held(scored, most=F.array_max("e"))
+    best = F.array_position("e", F.col("most")).cast("int")
     names = constant(list(model.families), "array<string>")
-    scored = scored.select("doc_id", "paragraph", "line", "g", F.element_at(names, best).alias("family"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+    scored = scored.select("doc_id", "paragraph", "line", "g", F.element_at(names, best).alias("family"), (F.col("most") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
     scored = scored.where((F.col("family") != "unknown") | F.rlike(F.lower("line"), F.lit(cue)))
     own = F.element_at(constant(known, "map<string,array<array<string>>>"), F.col("family"))
-    similarity = F.coalesce(F.array_max(F.transform(own, lambda q: F.size(F.array_intersect("g", q)) / F.size(q))), F.lit(0.0))
-    return scored.withColumn("similarity", similarity).select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    similarity = F.coalesce(F.array_max(F.transform("own", lambda q: F.size(F.array_intersect(q, F.col("g"))) / F.size(q))), F.lit(0.0))
+    return held(scored, own=own).withColumn("similarity", similarity).select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
