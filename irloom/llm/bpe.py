@@ -191,7 +191,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
         encoder = worker_memo(key, lambda: Encoder(table.value, pattern))
         for ids_, texts in text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES):
             encoded = encoder.encode(texts)
-            del texts
+            texts.clear()  # the block's source holds the list as well
             for i in range(0, len(encoded), 512):
                 part = encoded[i : i + 512]
                 cols = [pa.array(ids_[i : i + 512], pa.int64()), pa.array([len(x) for x in part], pa.int64())]

@@ -33,12 +33,12 @@ END_ID = 2
 #: Attention cost of one token pair relative to the linear cost of one token.
 QUADRATIC = 1 / 2048
 #: Text packed together; bounds a worker's memory and sets how rarely a block's tail is cut.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 #: Distinct strings whose ids a worker keeps; about 250 bytes each.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Strings that the library encodes at a time.
-ASKED = 20_000
+ASKED = 10_000
 
 #: ASCII punctuation that the tokenizer keeps together behind a word (an apostrophe may start an ending of its own).
 TAIL = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         end = np.array([end_id], "<u4")
         for ids_, texts in text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES):
             tokens = [np.concatenate((x, end)) for x in encoder.encode(texts)]
-            del texts
+            texts.clear()  # the block's source holds the list as well
             order = sorted(range(len(ids_)), key=lambda i: (ids_[i] is None, ids_[i] or 0, i))
             pieces = plan_pieces([len(tokens[i]) for i in order], capacity, quadratic)
             cols = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost", "ids")}
@@ -211,6 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
                 cols.pop("ids")
             types = {"cost": pa.float64(), "ids": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in cols.items()], names=list(cols))
+            del tokens, pieces, cols, whole, piece
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
