@@ -33,9 +33,9 @@ from irloom.llm.common import Numbering, cut, text_batches, text_blocks
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_BYTES = 16 << 20
-#: n-grams of a bucket, about, and buckets at most.
-BUCKET_NGRAMS, MOST_BUCKETS = 3_000_000, 20_000
-SPARE = 20
+#: n-grams of a bucket, about.
+BUCKET_NGRAMS = 3_000_000
+SPARE = 24
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -113,8 +113,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     table = block_table(docs)
     total = table.agg(F.sum("n_words")).first()[0] or 0
     bits = min(63, int(order * total + 1).bit_length() + SPARE)
-    buckets = max(4, min(MOST_BUCKETS, -(-order * total // BUCKET_NGRAMS)))
-    text_batches(spark, 1)
+    buckets = max(4, -(-order * total // BUCKET_NGRAMS))
+    text_batches(spark)
 
     def ask(batches):
         for batch in batches:
