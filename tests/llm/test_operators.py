@@ -176,13 +176,13 @@ def test_near_duplicates_in_long_lists(spark, words, monkeypatch):
     hold_near_duplicates(spark, rows)
 
 
-@pytest.mark.parametrize("block_rows", [4096, 60])
-def test_near_duplicates_in_large_groups(spark, words, monkeypatch, block_rows):
+@pytest.mark.parametrize(("block_rows", "sizes"), [(4096, (500, 150)), (40, (160, 60))])
+def test_near_duplicates_in_large_groups(spark, words, monkeypatch, block_rows, sizes):
     """Two groups of hundreds of near copies, whose members stand on either side of the threshold, and cut versions."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
     rng = random.Random(29)
     rows = []
-    for start, size, most in ((0, 500, 9), (1000, 150, 14)):
+    for start, size, most in ((0, sizes[0], 9), (1000, sizes[1], 14)):
         base = rng.choices(words, k=120)
         for i in range(size):
             w = list(base)
