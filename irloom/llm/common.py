@@ -43,13 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/irloom-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and survives a lost executor. The files go when the application ends."""
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write to the shared folder and read again: cuts lineage, and survives a lost executor. Also the files' path; they go when the application ends, if not before by discard()."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """cut_at without the path."""
+    return cut_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what cut_at() wrote, once nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

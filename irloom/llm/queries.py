@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irloom.llm import bpe, langid, licenses, minhash, ngram, packing, quality, sql, topk, toxicity, vectors
+from irloom.llm import bpe, codes, langid, licenses, minhash, ngram, packing, quality, sql, topk, toxicity, vectors
 from irloom.llm.common import crc_mod, read
 
 
@@ -61,8 +61,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(read(spark, sf_dir, "embeddings"))
+    of_length = F.lit(None).cast("string")
+    for dim, book in books.items():  # one length as a rule
+        of_length = F.when(F.col("dim") == dim, codes.book_digest(book)).otherwise(of_length)
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", of_length.alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing, op11_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,4 +77,31 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_
 FROM embeddings e LEFT JOIN counts ON a = e.vec_id LEFT JOIN lowest ON node = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS}
+def _vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def nearest(book: str) -> str:
+        square = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+        return f"SELECT vec_id, p, x, min(d) AS d, min_by(e, (d, e)) AS e FROM (SELECT vec_id, p, x, e, coalesce({square}, 0) AS d FROM cut JOIN {book} USING (p)) GROUP BY vec_id, p, x"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS ({nearest(f'c{r}')}),
+means{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM (SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, unnest(generate_series(1, len(x))) AS t(j) GROUP BY p, e, j) GROUP BY p, e),
+c{r + 1} AS (SELECT p, e, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN means{r} m USING (p, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (SELECT vec_id, CAST(p AS INTEGER) AS p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, unnest(generate_series(0, {parts - 1})) AS t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}),
+c0 AS (SELECT p, e, x AS c FROM cut JOIN firsts USING (vec_id)),
+{", ".join(steps)},
+last AS ({nearest(f'c{rounds}')}),
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id) CROSS JOIN books
+"""
+
+
+OP11_VECTOR_CODES = _vector_codes()
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS, "op11_vector_codes": OP11_VECTOR_CODES}
