@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irloom.llm import bpe, codes, langid, licenses, minhash, ngram, packing, quality, sql, topk, toxicity, vectors
+from irloom.llm import bpe, codes, langid, licenses, merkle, minhash, ngram, packing, quality, sql, topk, toxicity, vectors
 from irloom.llm.common import crc_mod, read
 
 
@@ -69,8 +69,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", of_length.alias("codebooks_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.row_leaves(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 0)
+    return merkle.manifest(leaves).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing, op11_vector_codes, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

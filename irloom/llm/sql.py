@@ -104,4 +104,33 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 OP11_VECTOR_CODES = _vector_codes()
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS, "op11_vector_codes": OP11_VECTOR_CODES}
+def _manifest(levels: int = 7, over: int = 2) -> str:
+    """Levels over rows and over groups are written out, as many as 8^7 rows a group and 64 groups need."""
+    framed = lambda c: f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(framed(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    crc = "xor(4294967295, list_reduce(list_transform(generate_series(1, len(CAST(doc_id AS VARCHAR))), lambda i: CAST(ord(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295))"
+
+    def tree(name: str, tree_of: str, most: int) -> list[str]:
+        out = []
+        for k in range(most):
+            out.append(f"""{name}{k}s AS (SELECT {tree_of} AS t, pos, digest, count(*) OVER (PARTITION BY {tree_of}) AS n,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY {tree_of}, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY {tree_of}, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT t AS {tree_of}, pos // 8 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE min(digest) END AS digest FROM {name}{k}s GROUP BY t, pos // 8, n)""")
+        return out
+
+    steps = ["leaves AS (SELECT doc_id, lang, " + leaf("text") + f" AS digest, CASE WHEN {crc} % 3 = 0 THEN " + leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + " ELSE " + leaf("text") + " END AS claimed FROM documents)"]
+    steps.append("a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaves)")
+    steps += tree("a", "lang", levels)
+    steps.append(f"g0 AS (SELECT 1 AS one, lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM a{levels})")
+    steps += tree("g", "one", over)
+    steps.append("f0 AS (SELECT a0.doc_id, a0.digest AS leaf, a0.claimed AS f, '' AS siblings, a0.lang, a0.pos, g0.pos AS g, g0.digest AS subroot FROM a0 JOIN g0 ON g0.lang IS NOT DISTINCT FROM a0.lang)")
+    for k in range(levels + over):
+        side = f"a{k}s s ON s.t IS NOT DISTINCT FROM c.lang AND s.pos = c.pos // {8**k}" if k < levels else f"g{k - levels}s s ON s.pos = c.g // {8 ** (k - levels)}"
+        steps.append(f"f{k + 1} AS (SELECT c.doc_id, c.leaf, CASE WHEN s.n > 1 THEN sha256(s.l || c.f || s.r) ELSE c.f END AS f, c.siblings || CASE WHEN s.n > 1 THEN s.l || s.r ELSE '' END AS siblings, c.lang, c.pos, c.g, c.subroot FROM f{k} c JOIN {side})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{levels + over} CROSS JOIN (SELECT digest AS root FROM g{over})"
+
+
+OP12_MERKLE_MANIFEST = _manifest()
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS, "op11_vector_codes": OP11_VECTOR_CODES, "op12_merkle_manifest": OP12_MERKLE_MANIFEST}
