@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irloom.llm import bpe, codes, langid, licenses, merkle, minhash, ngram, packing, quality, sql, topk, toxicity, vectors
-from irloom.llm.common import crc_mod, read
+from irloom.llm import bpe, codes, langid, licenses, merkle, minhash, ngram, packing, quality, sql, topk, toxicity, vectors, warc
+from irloom.llm.common import crc_mod, discard, read, shared_dir
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(leaves).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    read_back = warc.round_trip(read(spark, sf_dir, "pages"), folder)
+    discard(spark, folder)  # what was read back is kept as a table
+    return read_back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing, op11_vector_codes, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_licenses, op3_byte_bpe, op4_quality, op5_topk, op6_language_id, op7_minhash, op8_vectors, op9_toxicity, op10_packing, op11_vector_codes, op12_merkle_manifest, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

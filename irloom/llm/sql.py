@@ -133,4 +133,10 @@ def _manifest(levels: int = 7, over: int = 2) -> str:
 
 OP12_MERKLE_MANIFEST = _manifest()
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS, "op11_vector_codes": OP11_VECTOR_CODES, "op12_merkle_manifest": OP12_MERKLE_MANIFEST}
+OP13_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_LM_SCORING, "op5_topk": OP5_TOPK, "op7_minhash": OP7_MINHASH, "op8_vectors": OP8_VECTORS, "op11_vector_codes": OP11_VECTOR_CODES, "op12_merkle_manifest": OP12_MERKLE_MANIFEST, "op13_warc": OP13_WARC}
