@@ -251,23 +251,34 @@ def test_top_k(spark):
     assert topk.top_k(items.limit(0), F.lit(True)).count() == 0
 
 
-def test_top_k_of_odd_rows(spark):
-    """A query whose length no other row has, very large components, repeated rows and query ids, ties."""
+@pytest.mark.parametrize("left", [10_000, 2])
+def test_top_k_of_odd_rows(spark, monkeypatch, left):
+    """A query whose length no other row has, components of any size, repeated rows and query ids, ties; blocks of a few rows."""
+    monkeypatch.setattr(topk, "LEFT", left)
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    monkeypatch.setattr(topk, "AT_ONCE", 3)
     rows = [(0, [1.0, 2.0, 3.0]), (50, [1e9, 1.0]), (1, [1e9, -1.0]), (2, [-1e9, 0.0]), (3, [0.5, 0.25]), (100, [1e200, 1.0]), (4, [1e308, 1e308]), (150, [0.5, 0.5]), (150, [0.25, 0.5]), (5, [0.5, 0.25]), (5, [0.5, 0.25]), (6, [0.5, 0.25])]
+    rows += [(600 + i, [1e200 * (1 + i % 4 / 8), -1.0]) for i in range(9)] + [(700 + i, [-1e150 * (1 + i % 3), 2.0]) for i in range(9)] + [(650, [-1e300, 3.0]), (800, [1.7e308, -1.7e308]), (801, [float("inf"), 0.0])]
     items = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    fine = [(i, [math.floor(256 * y) for y in x]) for i, x in rows if math.isfinite(256 * max(x))]
-    asked = {0: rows[0][1], 50: rows[1][1], 100: rows[5][1], 150: rows[8][1]}
+    ints = lambda v: [int(y) * 256 if abs(y) > 2**53 else math.floor(256 * y) for y in v]
+    fine = [(i, ints(v)) for i, v in rows if i != 801]
+    asked = {50: rows[1][1], 100: rows[5][1], 150: rows[8][1], 600: [1e200, -1.0], 650: [-1e300, 3.0], 700: [-1e150, 2.0], 800: [1.7e308, -1.7e308]}
     got = {}
     for r in topk.top_k(items, F.col("vec_id") % 50 == 0, k=6).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(got) == {50, 100, 150}
+    assert set(got) == set(asked)
     clip = lambda x, most: max(-most, min(most, x))
     for q, found in got.items():
-        v = [math.floor(256 * y) for y in asked[q]]
-        best = sorted((-clip(sum(map(int.__mul__, v, c)), topk.FAR), i) for i, c in fine if i != q and len(c) == len(v))[:6]
+        v = ints(asked[q])
+        best = sorted((-sum(map(int.__mul__, v, c)), i) for i, c in fine if i != q and len(c) == len(v))[:6]
         assert sorted(found) == [(n, i, clip(-s, 2**63 - 1)) for n, (s, i) in enumerate(best, 1)]
 
 
+def test_texts_that_sort_as_numbers():
+    numbers = [0, 5, -5, 10**40, -(10**40), 10**40 + 1, -(10**41), 9 * 10**39, 123 * 10**600, -123 * 10**600, -122 * 10**600]
+    assert sorted(numbers, key=topk.sortable) == sorted(numbers)
+
+
 def brute_scores(rows, order=3, alpha=0.4, least=2):
     from collections import Counter
 
