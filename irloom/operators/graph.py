@@ -19,8 +19,8 @@ def fixpoint_up(start: DataFrame, parents: DataFrame, most_rounds: int = 10_000)
     for _ in range(most_rounds):
         up = reached.last.join(parents, "usr").select(F.col("parent_usr").alias("usr")).distinct()
         if not reached.add(up.join(reached.all(), "usr", "left_anti")):
-            break
-    return reached.all()
+            return reached.all()
+    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -29,8 +29,8 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> Da
     for depth in range(1, most_rounds):
         step = reached.last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         if not reached.add(step.join(reached.all(), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"))):
-            break
-    return reached.all()
+            return reached.all()
+    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def ancestors(symbols: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -43,8 +43,8 @@ def ancestors(symbols: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     for distance in range(2, most_rounds):
         step = reached.last.join(up, "ancestor").select("usr", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")).where("usr <> ancestor")
         if not reached.add(step.join(reached.all(), ["usr", "ancestor"], "left_anti")):
-            break
-    return reached.all()
+            return reached.all()
+    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def qualifier(symbols: DataFrame, kinds: list[int], sep: str = "::") -> DataFrame:
