@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/irloom-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and read again: cuts lineage. The files go when the application ends."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write and read again: cuts lineage. With `by`, a folder for each value of that column. The files go when the application ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)

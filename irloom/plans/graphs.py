@@ -48,13 +48,13 @@ def _(v):
 
 @query(
     "d6_namespace_hubs",
-    PRE + ", entries AS (SELECT DISTINCT parent_usr AS usr FROM ir_symbols WHERE kind <> 1), keep AS (SELECT usr FROM entries UNION SELECT s.parent_usr FROM keep JOIN ir_symbols s ON s.usr = keep.usr WHERE s.kind = 1 AND s.parent_usr IS NOT NULL) SELECT w.usr, w.depth FROM walk w WHERE w.kind = 1 AND w.usr IN (SELECT usr FROM keep)",
+    PRE + ", entries AS (SELECT DISTINCT parent_usr AS usr FROM ir_symbols WHERE kind <> 1 UNION SELECT usr FROM ir_symbols WHERE kind = 1 AND is_documented = 1), keep AS (SELECT usr FROM entries UNION SELECT s.parent_usr FROM keep JOIN ir_symbols s ON s.usr = keep.usr WHERE s.kind = 1 AND s.parent_usr IS NOT NULL) SELECT w.usr, w.depth FROM walk w WHERE w.kind = 1 AND w.usr IN (SELECT usr FROM keep)",
 )
 def _(v):
     s = v.symbols
     spaces = s.where("kind = 1").select("usr", "parent_usr")
     filled = s.where("kind <> 1").select(F.col("parent_usr").alias("usr")).where(~q.empty("usr")).distinct()
-    kept = graph.fixpoint_up(filled, spaces.where(~q.empty("parent_usr")))
+    kept = graph.fixpoint_up(filled.union(s.where("kind = 1 AND is_documented = 1").select("usr")), spaces.where(~q.empty("parent_usr")))
     depth = graph.preorder(s.where("kind = 1"), [1]).select("usr", "depth")
     return depth.join(kept, "usr")
 
