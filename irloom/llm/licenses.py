@@ -109,7 +109,7 @@ UNKNOWN = [
     "Identifier: 3", "Version 2.0", "Version 3 of the plan", "4.0", "International license for pilots", "The code is licensed to the customer under the contract.", "Use is subject to the license terms of the vendor.",
 ]
 KEPT_UNKNOWN = [
-    "Permission is hereby granted to visitors to enter the garden.", "The author holds a licence as a pilot.", "Copyright 2020 the publisher. All rights reserved.", "This software is licensed to you by the vendor under the agreement.",
+    "The author holds a licence as a pilot.", "Copyright 2020 the publisher. All rights reserved.", "This software is licensed to you by the vendor under the agreement.",
     "The library is free to use for members.", "In version 3 the public was asked again.", "Her work is distributed in many countries.", "The terms of the licence were published.", "No license is needed to fish here.",
     "The general met the public at the foundation.", "Software with a warranty costs more.", "The commons was mown in spring.",
 ]
@@ -198,14 +198,40 @@ def thinned(text: str, seed: int, times: int) -> list[str]:
     return [text, *(" ".join(w for w in words if rng.random() > 0.15) or text for _ in range(times))]
 
 
+# What stands around words of notices that name no licence, to calibrate with.
+KEPT_CONTEXTS = ["The {} helicopter landed near the village.", "They talked about {} all day.", "Our {} was developed at the institute.", "She wrote that {} compresses the data."]
+
+
+def words_apart(own: list[str] | None = None) -> list[str]:
+    """Words and short runs of words of names and notices, in contexts that no licence has: these are unknown.
+
+    Without contexts of their own they stand between words that occur once, which are no
+    features, so that only the words themselves are learned from.
+    """
+    alone = {w[0] for names in NAMES.values() for n in names if len(w := tokens(n)) == 1}
+    notices = [tokens(t) for texts in TEXTS.values() for t in texts]
+    names = [tokens(n) for family in NAMES for n in named(family)]
+    words = sorted({w for t in (*notices, *names) for w in t} - COMMON - alone)
+    runs = {" ".join(t[i : i + k]) for t in notices for k in (2, 3, 4) for i in range(len(t) - k + 1) if len(t) > 2 * k}
+    runs |= {" ".join(t[i : i + 2]) for t in names if len(t) > 4 for i in range(len(t) - 1)}
+    called = {" ".join(t) for t in names}
+    found = [*words * 5, *sorted(r for r in runs - called if features_of(r))]
+    if own:
+        # Each word once, each context in turn; of runs every third.
+        return [own[i % len(own)].format(x) for i, x in enumerate([*words, *found[5 * len(words) :: 3]])]
+    return [f"a{i}q {x} b{i}q" for i, x in enumerate(found)]
+
+
 def examples() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
     """(text, class) to train on, and to calibrate with; the last class is unknown."""
     train, kept = [], []
     families = sorted(NAMES)
     for k, family in enumerate(families):
-        train += [(f"SPDX-License-Identifier: {family}", k)]
+        train += [(f"SPDX-License-Identifier: {family}", k)] * 5
         for name in NAMES[family]:
             train += [(f.format(name), k) for f in FRAMES]
+            # As much of a name by itself as there is of a word that is none; a name of one word has nothing else to go by.
+            train += [(f"c{len(train)}q {name} d{len(train)}q", k)] * (5 if len(tokens(name)) == 1 else 1)
             kept += [(f.format(name), k) for f in KEPT_FRAMES]
         for n, text in enumerate(TEXTS.get(family, [])):
             train += [(t, k) for t in thinned(text, 100 * k + n, 5)]
@@ -214,10 +240,9 @@ def examples() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
             kept += [(" ".join(words[: 2 * len(words) // 3]), k)]
     for n, text in enumerate(UNKNOWN):
         train += [(t, len(families)) for t in thinned(text, n, 2)]
-    alone = {w[0] for names in NAMES.values() for n in names if len(w := tokens(n)) == 1}
-    for word in sorted({w for t, _ in train for w in tokens(t)} - COMMON - alone):  # a word by itself, but for the names of licences, tells no family
-        train += [(f"the {word} of the day", len(families))] * 2
-    kept += [(t, len(families)) for t in KEPT_UNKNOWN] * 4
+    strange, others = words_apart(), words_apart(own=KEPT_CONTEXTS)
+    train += [(t, len(families)) for t in strange]
+    kept += [(t, len(families)) for t in (*KEPT_UNKNOWN, *others)]
     return train, kept
 
 

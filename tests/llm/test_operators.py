@@ -344,7 +344,7 @@ UNSEEN = {
 def test_license_notices_that_no_template_holds(spark):
     model = licenses.train()
     texts = list(UNSEEN)
-    assert not set(texts) & {t for rows in licenses.examples() for t, _ in rows[:1]}
+    assert not set(texts) & {t for rows in licenses.examples() for t, _ in rows}
     assert {t: model.families[int(model.probabilities(t).argmax())] for t in texts} == UNSEEN
     got = {r.doc_id: (r.family, r.probability) for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
@@ -352,6 +352,82 @@ def test_license_notices_that_no_template_holds(spark):
             assert got[i] == (UNSEEN[t], pytest.approx(float(model.probabilities(t).max())))
 
 
+# Sentences in frames that neither training nor calibration has.
+FRAMES = ["This package ships under {}; see COPYING.", "You may copy this text as {} allows.", "// {}", "Terms: {}."]
+PROSE = ["Many {} were sold last year.", "The word {} is found in old books.", "Nobody at the office likes {} very much.", "A {} is what he asked for."]
+FAR = ["The Apache helicopter landed near Boost mobile store.", "The software is provided by the vendor under a commercial agreement.", "The BSD operating system was developed at Berkeley.", "Zlib compresses the data.", "Open Software License version 3.0", "The lease was signed under the law of the state.", "He works for the Mozilla office in Paris."]
+
+
+def test_license_probabilities_can_be_relied_on():
+    """On held-out sentences, licences and prose with the same words, confidence is near the share that is right."""
+    model = licenses.train()
+    families = list(model.families)
+    seen = {t for rows in licenses.examples() for t, _ in rows}
+    rows = [(f.format(n), k) for k, family in enumerate(families[:-1]) for n in licenses.NAMES[family] for f in FRAMES]
+    words = sorted({w for t in (*(n for ns in licenses.NAMES.values() for n in ns), *(t for ts in licenses.TEXTS.values() for t in ts)) for w in licenses.tokens(t)})
+    alone = {w[0] for ns in licenses.NAMES.values() for n in ns if len(w := licenses.tokens(n)) == 1}
+    rows += [(PROSE[i % len(PROSE)].format(w), len(families) - 1) for i, w in enumerate(words) if w not in alone]
+    rows += [(t, len(families) - 1) for t in FAR]
+    assert len(rows) > 500 and not seen & {t for t, _ in rows}
+    p, truth = np.array([model.probabilities(t) for t, _ in rows]), np.array([k for _, k in rows])
+    sure, right = p.max(1), p.argmax(1) == truth
+    assert right.mean() > 0.95 and -np.log(p[np.arange(len(rows)), truth] + 1e-12).mean() < 0.25
+    error = 0.0
+    for low, high in ((0, 0.6), (0.6, 0.8), (0.8, 0.95), (0.95, 0.995), (0.995, 2)):
+        some = (sure >= low) & (sure < high)
+        if some.any():
+            error += some.mean() * abs(sure[some].mean() - right[some].mean())
+    assert error < 0.05
+    assert all(model.probabilities(t)[:-1].max() < 0.9 for t in FAR)
+
+
+def brute_scan(text, model):
+    """Paragraphs, family, probability and similarity of a text from their definitions."""
+    import re
+
+    pairs_of = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+    texts = [q for ts in licenses.TEXTS.values() for t in ts if (q := set(licenses.pairs(licenses.tokens(t))))]
+    names = [q for f in licenses.NAMES for t in licenses.named(f) if (q := set(licenses.pairs(licenses.tokens(t))))]
+
+    def whole(line):
+        x = pairs_of(licenses.tokens(line))
+        return any(len(q & x) >= licenses.CONFIRM * len(q) for q in texts) or any(q <= x for q in names)
+
+    lines = text.split("\n")
+    out, start = [], 0
+    blank = lambda x: not any(c.isalnum() for c in x)
+    opens = lambda x: (c := re.sub(r"^[\W_]*", "", x)[:1]) != "" and c.isupper()
+    for i in range(1, len(lines) + 1):
+        a, b = lines[i - 1], lines[i] if i < len(lines) else ""
+        if i == len(lines) or blank(a) or blank(b) or (re.search(r"[.!?][\"')\]]*\s*$", a) and opens(b)) or whole(a) or whole(b):
+            out.append((start, "\n".join(lines[start:i])))
+            start = i
+    found = []
+    for at, paragraph in out:
+        words = licenses.tokens(paragraph)
+        p = model.probabilities(paragraph)
+        family = model.families[int(p.argmax())]
+        if family == "unknown" and not set(words) & set(licenses.CUES):
+            continue
+        g = licenses.grams(words)
+        similarity = max((len(set(q) & g) / len(q) for q in licenses.templates().get(family, [])), default=0.0)
+        found.append((at, family, round(float(p.max()), 6), round(similarity, 6), similarity >= licenses.CONFIRM))
+    return found
+
+
+def test_license_scan_by_hand(spark):
+    """Cutting, gate, family, probability and similarity of whole texts."""
+    rng, model = random.Random(41), licenses.train()
+    parts = ["Prose of no kind", "it goes on.", "", "  ", "MIT", "Released under the MIT License.", "license", "The Apache helicopter landed.", "# a comment", "* All rights reserved", "GPLv3", "Zlib compresses", "of the data!", '"Quoted."', "Él dijo"]
+    parts += [w for ts in list(licenses.TEXTS.values())[:8] for t in ts for w in (t, t[: len(t) // 2], t[len(t) // 2 :])] + [n for ns in licenses.NAMES.values() for n in ns[:1]]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    got = {}
+    for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family, round(r.probability, 6), round(r.similarity, 6), r.confirmed))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == brute_scan(t, model), t
+
+
 def test_license_scan_of_odd_rows(spark):
     """Ties, repeated rows, a very long line, columns named like the operator's own."""
     notice = "Released under the MIT License."
