@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from irloom.sources.views import VIEW_SQL, VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["lookups", "joins", "graphs", "merges", "aggregates", "orders", "scalars", "comments", "incremental", "pages", "pagesets", "storage"]
+MODULES = ["lookups", "joins", "graphs", "merges", "aggregates", "orders", "scalars", "comments", "incremental", "pages", "pagesets", "storage", "outputs"]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
