@@ -79,8 +79,9 @@ def positions(rows: DataFrame, owner: str, order: list[str]) -> DataFrame:
 
 def first_declarations(rows: DataFrame, page: str, name: str, order: list[str], exempt: Column) -> DataFrame:
     """Adds `degraded`: another declaration of the name comes before on the page, and neither is exempt."""
-    n = F.row_number().over(W.partitionBy(page, name, exempt).orderBy(*order))
-    return rows.withColumn("degraded", (n > 1) & ~exempt)
+    first = rows.where(~exempt).groupBy(F.col(page).alias("__page"), F.col(name).alias("__name")).agg(F.min(F.struct(*order)).alias("__first"))
+    joined = rows.join(first, F.col(page).eqNullSafe(F.col("__page")) & F.col(name).eqNullSafe(F.col("__name")), "left")
+    return joined.withColumn("degraded", ~exempt & (F.struct(*order) != F.col("__first"))).drop("__page", "__name", "__first")
 
 
 def unique_stems(names: DataFrame, stem: Column, name: str = "name") -> DataFrame:

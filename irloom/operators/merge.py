@@ -6,10 +6,10 @@ Order is an explicit column (`seq`); nothing depends on the order of rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.operators.aggregate import numbered
+from irloom.operators.tree import weighted
 
 
 def upsert_symbols(writes: DataFrame, key: str = "usr", flags: tuple[str, ...] = ("is_definition", "is_documented"), seq: str = "seq") -> DataFrame:
@@ -117,7 +117,8 @@ def first_by_key(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 def diagnostic_units(rows: DataFrame, partition: str) -> DataFrame:
     """Adds `unit`: the number of the depth-0 record that a note follows, counted within each partition column."""
-    return rows.withColumn("unit", F.sum(F.when(F.col("depth") == 0, 1).otherwise(0)).over(W.partitionBy(partition).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    heads = rows.withColumn("__head", F.when(F.col("depth") == 0, 1).otherwise(0))
+    return weighted(heads, [partition], ["pos"], "__head", "unit").withColumn("unit", F.col("unit") + F.col("__head")).drop("__head")
 
 
 def merge_diagnostics(rows: DataFrame, partition: str) -> DataFrame:
@@ -141,4 +142,4 @@ def stub_groups(groups: DataFrame, referenced: DataFrame) -> DataFrame:
 def memberships(rows: DataFrame, key: str, ids: str, pos: str) -> DataFrame:
     """group_id, member and ordinal from a column of ids with spaces between, numbered per group as discovered."""
     each = rows.select(key, pos, F.posexplode(F.filter(F.split(ids, " +"), lambda x: x != "")).alias("i", "group_id"))
-    return each.select("group_id", F.col(key).alias("member"), (F.row_number().over(W.partitionBy("group_id").orderBy(pos, "i", key)) - 1).cast("long").alias("ordinal"))
+    return numbered(each, ["group_id"], list(dict.fromkeys([pos, "i", key])), "ordinal").select("group_id", F.col(key).alias("member"), "ordinal")

@@ -148,8 +148,10 @@ def _(v):
     return v("part").select(F.col("p_name").alias("name")).distinct().join(used, "name", "left_anti")
 
 
-@query("h6_wide_fields", "SELECT * FROM (VALUES ('usr', 'hash'), ('kind', 'hash'), ('qualified_name', 'hash'), ('signature', 'hash'), ('type_repr', 'hash'), ('access', 'hash'), ('storage', 'hash'), ('is_definition', 'hash'), ('parent_usr', 'value'), ('spelling', 'value'), ('display_name', 'value'), ('is_documented', 'value'), ('content_hash', 'value'), ('file_id', 'value'), ('line', 'value'), ('col', 'value')) t(field, covered)")
+@query("h6_wide_fields", "SELECT usr, field, value FROM (SELECT usr, unnest(['parent_usr', 'spelling', 'is_documented', 'file_id', 'line']) AS field, unnest([coalesce(parent_usr, ''), spelling, CAST(is_documented AS VARCHAR), CAST(file_id AS VARCHAR), CAST(line AS VARCHAR)]) AS value FROM ir_symbols)")
 def _(v):
-    """Each column of a symbol: whether a page depends on it through the content hash or by its value."""
-    by = [(c, "hash" if c in scalar.HASHED_FIELDS else "value" if c in scalar.WIDE_FIELDS else "none") for c in TABLES["symbols"].names]
-    return v.spark.createDataFrame(by, "field string, covered string")
+    """What a page depends on by value: each symbol's columns that the content hash leaves out."""
+    s = v.symbols
+    wide = [c for c in scalar.WIDE_FIELDS if c in s.columns and c not in scalar.HASHED_FIELDS]
+    each = F.array(*(F.struct(F.lit(c).alias("field"), scalar.dep_value(c).alias("value")) for c in wide))
+    return s.select("usr", F.inline(each))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -129,16 +128,19 @@ def _(v):
     return v("documents").select("doc_id", text_udf(lambda x: "\n".join(grammar.content(x)))(raw).alias("text"))
 
 
-@query("j11_command_classes", "SELECT * FROM (VALUES ('ingroup', 'line'), ('defgroup', 'line'), ('addtogroup', 'line'), ('internal', 'nothing'), ('endinternal', 'nothing'), ('endcode', 'nothing'), ('endverbatim', 'nothing'), ('class', 'name'), ('struct', 'name'), ('union', 'name'), ('enum', 'name'), ('namespace', 'name'), ('fn', 'name'), ('var', 'name'), ('typedef', 'name'), ('relates', 'name'), ('li', 'item'), ('arg', 'item'), ('brief', 'paragraph'), ('note', 'paragraph')) t(command, takes)")
+_TAKES = {**dict.fromkeys(["ingroup", "defgroup", "addtogroup"], "line"), **dict.fromkeys(["internal", "endinternal", "endcode", "endverbatim"], "nothing"), **dict.fromkeys(["class", "struct", "union", "enum", "namespace", "fn", "var", "typedef", "relates"], "name"), **dict.fromkeys(["li", "arg"], "item"), **dict.fromkeys(["brief", "note"], "paragraph")}
+
+
+@query("j11_command_classes", "WITH c AS (SELECT list_extract([" + ", ".join(f"'{c}'" for c in _TAKES) + f"], CAST(p_partkey % {len(_TAKES)} + 1 AS BIGINT)) AS command, p_partkey FROM part) SELECT p_partkey, command, CASE " + " ".join(f"WHEN command = '{c}' THEN '{t}'" for c, t in _TAKES.items()) + " END AS takes FROM c")
 def _(v):
-    """What a command takes, seen from what becomes of the line behind it."""
-    raw = lambda c: f"@{c} Word more\nnext line."
-    commands = [*grammar.TO_LINE_END, *grammar.ALONE, *grammar.ONE_NAME, *grammar.ITEMS, "brief", "note"]
-    parsed = v.spark.createDataFrame([(c, raw(c)) for c in commands], "command string, raw string").select("command", grammar.parse_column(F.col("raw")).alias("c"))
-    first = lambda c: F.get(c, F.lit(0))
+    """What a command takes, seen from what becomes of the line behind it; the line is a part's name."""
+    command = F.element_at(F.array(*map(F.lit, _TAKES)), (F.col("p_partkey") % len(_TAKES) + 1).cast("int"))
+    rows = v("part").select("p_partkey", command.alias("command"), "p_name")
+    parsed = rows.select("p_partkey", "command", "p_name", grammar.parse_column(F.concat(F.lit("@"), "command", F.lit(" "), "p_name", F.lit("\nnext line."))).alias("c"))
+    first, one = lambda c: F.get(c, F.lit(0)), F.element_at(F.split("p_name", " "), 1)
     own = F.coalesce(first(F.element_at("c.custom", F.col("command"))), F.when(F.col("command") == "brief", F.col("c.brief")), first(F.col("c.note")))
-    takes = F.when(own == "Word more", "line").when(own == "", "nothing").when(own == "Word", "name").when(F.size("c.detail") + F.length("c.brief") == 0, "paragraph").when(F.startswith(first(F.col("c.detail")), F.lit("- ")) | F.startswith("c.brief", F.lit("- ")), "item").otherwise("paragraph")
-    return parsed.select("command", takes.alias("takes"))
+    takes = F.when(own == F.col("p_name"), "line").when(own == "", "nothing").when(own == one, "name").when(F.size("c.detail") + F.length("c.brief") == 0, "paragraph").when(F.startswith(first(F.col("c.detail")), F.lit("- ")) | F.startswith("c.brief", F.lit("- ")), "item").otherwise("paragraph")
+    return parsed.select("p_partkey", "command", takes.alias("takes"))
 
 
 @query("j13_group_blocks", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ingroup' WHEN 1 THEN 'defgroup' WHEN 2 THEN 'addtogroup' ELSE 'class' END AS command, CASE p_partkey % 4 WHEN 0 THEN p_type || ' other' WHEN 1 THEN p_type || ' The ' || p_brand WHEN 2 THEN p_type ELSE p_type END AS argument, CASE WHEN p_partkey % 4 = 3 THEN 'of ' || p_brand ELSE 'What it is.' END AS brief, CASE WHEN p_partkey % 4 = 3 THEN 'What it is.' ELSE '' END AS detail FROM part")
@@ -156,34 +158,27 @@ def _(v):
     return _shape(v, F.col("p_partkey")).select("p_partkey", text_udf(compact)("raw").alias("json"))
 
 
-@query("k1_registered_parsers", "SELECT * FROM (VALUES ('doxygen', true), ('plain', true), ('shout', false)) t(name, built_in)")
+def _named_parts(v):
+    return v("part").select("p_partkey", F.concat(F.lit("/// @brief "), "p_name", F.lit("\n/// "), "p_type").alias("raw"))
+
+
+@query("k1_registered_parsers", "SELECT name, built_in, p_partkey, CASE WHEN name = 'doxygen' THEN '' ELSE '@brief ' END || p_name || ' ' || p_type AS brief FROM part, (VALUES ('doxygen', true), ('plain', true), ('shout', false)) t(name, built_in)")
 def _(v):
-    """The parsers that are built in, and one that is registered and taken away again."""
+    """Every part's comment by each registered parser: those that are built in, and one that is registered and taken away again."""
     others = set(grammar.available_parsers()) - set(grammar.BUILT_IN)  # a session may have some of its own
     grammar.register_parser("shout", grammar.plain)
     try:
-        return v.spark.createDataFrame([(n, n in grammar.BUILT_IN) for n in grammar.available_parsers() if n not in others], "name string, built_in boolean")
+        each = [_named_parts(v).select(F.lit(n).alias("name"), F.lit(n in grammar.BUILT_IN).alias("built_in"), "p_partkey", grammar.parse_column(F.col("raw"), grammar.PARSERS[n])["brief"].alias("brief")) for n in grammar.available_parsers() if n not in others]
     finally:
         del grammar.PARSERS["shout"]
-
-
-def _named_parts(v):
-    return v("part").select("p_partkey", F.concat(F.lit("/// @brief "), "p_name", F.lit("\n/// "), "p_type").alias("raw"))
+    return reduce(DataFrame.union, each)
 
 
 @query("k2_overrides", "SELECT how, p_partkey, CASE WHEN how = 'default' THEN '' ELSE '@brief ' END || p_name || ' ' || p_type AS brief FROM part, (VALUES ('callable'), ('default'), ('dotted path'), ('environment'), ('name')) t(how)")
 def _(v):
     """Another parser given by itself, by name, by path and by the environment; and none."""
-    found = {"callable": grammar.resolve_override(grammar.plain), "name": grammar.resolve_override("plain"), "dotted path": grammar.resolve_override("irloom.functions.grammar:plain"), "default": grammar.resolve_override(None)}
-    before = os.environ.get(grammar.OVERRIDE)
-    os.environ[grammar.OVERRIDE] = "plain"
-    try:
-        found["environment"] = grammar.resolve_override(None)
-    finally:
-        if before is None:
-            del os.environ[grammar.OVERRIDE]
-        else:
-            os.environ[grammar.OVERRIDE] = before
+    found = {"callable": grammar.resolve_override(grammar.plain), "name": grammar.resolve_override("plain"), "dotted path": grammar.resolve_override("irloom.functions.grammar:plain"), "default": grammar.resolve_override(None, {})}
+    found["environment"] = grammar.resolve_override(None, {grammar.OVERRIDE: "plain"})
     each = [_named_parts(v).select(F.lit(how).alias("how"), "p_partkey", grammar.parse_column(F.col("raw"), parser or grammar.parse)["brief"].alias("brief")) for how, parser in found.items()]
     return reduce(DataFrame.union, each)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from irloom.operators import graph, query as q
+from irloom.operators.aggregate import numbered
 from irloom.operators.visibility import documented_below
 from irloom.plans.joins import UP
 from irloom.plans.lookups import DOCUMENTED_BELOW
@@ -43,7 +43,7 @@ WITH RECURSIVE walk AS (
 @query("d5_preorder", PRE + "SELECT root, usr, depth, CAST(row_number() OVER (PARTITION BY root ORDER BY path) AS BIGINT) AS position FROM walk")
 def _(v):
     walk = graph.preorder(v.symbols, CONTAINER_KINDS)
-    return walk.select("root", "usr", "depth", F.row_number().over(W.partitionBy("root").orderBy("path")).cast("long").alias("position"))
+    return numbered(walk, ["root"], ["path"]).select("root", "usr", "depth", (F.col("position") + 1).alias("position"))
 
 
 @query(

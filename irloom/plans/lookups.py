@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from irloom.operators import query as q
+from irloom.operators.aggregate import numbered
 from irloom.operators.visibility import documented_below, visible
 from irloom.plans.registry import query
 
@@ -13,9 +14,7 @@ NONE = "coalesce(parent_usr, '') = ''"
 
 @query("b1_symbols_by_name", "SELECT usr, qualified_name, CAST(row_number() OVER (PARTITION BY kind ORDER BY qualified_name, usr) AS BIGINT) AS position FROM ir_symbols")
 def _(v):
-    from pyspark.sql import Window as W
-
-    return v.symbols.select("usr", "qualified_name", F.row_number().over(W.partitionBy("kind").orderBy("qualified_name", "usr")).cast("long").alias("position"))
+    return numbered(v.symbols.select("kind", "usr", "qualified_name"), ["kind"], ["qualified_name", "usr"]).select("usr", "qualified_name", (F.col("position") + 1).alias("position"))
 
 
 @query("b2_symbol_lookup", "SELECT r.from_usr, r.ordinal, s.* FROM ir_references r JOIN ir_symbols s ON s.usr = r.to_usr WHERE ref_kind = 2")
@@ -90,9 +89,7 @@ def _(v):
 
 @query("b15_group_members", "SELECT group_id, member_usr, CAST(row_number() OVER (PARTITION BY group_id ORDER BY ordinal) AS BIGINT) AS position FROM ir_group_members WHERE coalesce(member_usr, '') <> ''")
 def _(v):
-    from pyspark.sql import Window as W
-
-    return q.group_member_usrs(v.group_members).select("group_id", "member_usr", F.row_number().over(W.partitionBy("group_id").orderBy("ordinal")).cast("long").alias("position"))
+    return numbered(q.group_member_usrs(v.group_members), ["group_id"], ["ordinal", "member_usr"]).select("group_id", "member_usr", (F.col("position") + 1).alias("position"))
 
 
 @query("b16_files", "SELECT id, path, sha256, size_bytes FROM ir_files")

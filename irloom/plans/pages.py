@@ -70,11 +70,14 @@ def _(v):
     return structs_from_fields(v.comment_fields.withColumn("name", name)).select("symbol_usr", pages.comment_block(F.col("comment")).alias("text"))
 
 
-@query("m3_field_lists", """
+_FIELDS_SQL = """
 WITH f AS (SELECT conv_id AS symbol_usr, turn, role, text, turn % 5 AS k FROM conversations), w AS (
   SELECT symbol_usr, CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE k END AS place, turn, CASE k WHEN 0 THEN ':param ' || role || ': **[in,out]** ' || text WHEN 1 THEN ':tparam ' || role || ': ' || text WHEN 3 THEN ':retval ' || role || ': ' || text ELSE ':throws ' || role || ': ' || text END AS t FROM f WHERE k <> 2
   UNION ALL SELECT symbol_usr, 2, 0, ':returns: ' || max_by(text, turn) FROM f WHERE k = 2 GROUP BY symbol_usr HAVING max_by(text, turn) <> '')
-SELECT conv_id AS symbol_usr, coalesce((SELECT string_agg(t, chr(10) ORDER BY place, turn) FROM w WHERE symbol_usr = conv_id), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations)""")
+SELECT conv_id AS symbol_usr, coalesce((SELECT string_agg(t, chr(10) ORDER BY place, turn) FROM w WHERE symbol_usr = conv_id), '') AS text FROM (SELECT DISTINCT conv_id FROM conversations)"""
+
+
+@query("m3_field_lists", _FIELDS_SQL)
 def _(v):
     k = F.col("ordinal") % 5
     name = F.element_at(F.array(*map(F.lit, ["param", "tparam", "returns", "retval", "throws"])), (k + 1).cast("int"))

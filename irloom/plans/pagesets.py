@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from irloom.functions import scalar as s
 from irloom.functions.comment import structs_from_fields
-from irloom.operators import fingerprints as fp, pages as pg, plan, query as q, render
+from irloom.operators import fingerprints as fp, pages as pg, plan, query as q, render, templates
 from irloom.operators.visibility import visible
 from irloom.plans.lookups import DOCUMENTED_BELOW
-from irloom.plans.pages import SLUG, _case, _stem
+from irloom.plans.pages import _FIELDS_SQL, FIELDS, SLUG, _block_sql, _case, _stem
 from irloom.plans.registry import query
 
 NL = "chr(10)"
@@ -294,3 +294,42 @@ def _(v):
     _, subtrees = _digests(v, rows)
     pages, seeds = plan.file_plan(v.files, rows)
     return fp.page_fingerprints(pages, seeds, subtrees, files=v.files.select(F.concat(F.lit("file:"), F.col("id").cast("string")).alias("page"), "path"))
+
+
+def _comment_partials() -> dict[str, str]:
+    """A comment's prose and its field list as templates, a loop or a line a field."""
+    prose = ["{% macro body(model) %}{% if model is none %}", pg.MISSING, "{% else %}{% if model.brief %}{{ model.brief }}\n\n{% endif %}{% for x in model.detail %}{{ x }}\n\n{% endfor %}"]
+    prose += ["{% for x in model." + f + " %}" + opening.replace("{", '{{ "{" }}', 1) + "{{ x }}\n:::\n\n{% endfor %}" for f, opening in pg.BLOCKS.items()]
+    prose += ["{% if model." + f + " %}*" + t + ': {{ model.' + f + ' | join(", ") }}.*\n\n{% endif %}' for f, t in pg.LINES_OF.items()]
+    prose += ["{% if model.see %}" + pg.SEE + "{% for x in model.see %}{{ xref(x | trim) }}{% if not loop.last %}, {% endif %}{% endfor %}{% endif %}{% endif %}{% endmacro %}"]
+    directed = "{% macro line(name, x) %}:{{ name }} {{ bare(x.arg) }}: {% if direction(x.arg) %}**[{{ direction(x.arg) }}]** {% endif %}{{ x.value }}\n{% endmacro %}"
+    fields = directed + "{% macro fields(model) %}{% if model is not none %}" + "".join("{% for x in model." + f + ' %}{{ line("' + f + '", x) }}{% endfor %}' for f in ("tparam", "param")) + "{% if model.returns %}:returns: {{ model.returns }}\n{% endif %}"
+    fields += "".join("{% for x in model." + f + " %}:" + f + " {{ x.arg }}: {{ x.value }}\n{% endfor %}" for f in ("retval", "throws")) + "{% endif %}{% endmacro %}"
+    return {"partials/prose": "".join(prose), "partials/fields": fields}
+
+
+def _by_template(rows, text: str):
+    """The comments' texts by a template that imports the partials."""
+    partials = _comment_partials()
+    functions = {
+        "xref": lambda x: templates.Value(pg.link(x.text())), "direction": lambda x: templates.Value(s.split_direction(x.text())[0]), "bare": lambda x: templates.Value(s.split_direction(x.text())[1]),
+    }
+    made = templates.compiled(text, {"comment": F.col("comment")}, {"comment": rows.schema["comment"].dataType}, functions, partials.__getitem__)
+    return rows.select("symbol_usr", made.alias("text"))
+
+
+@query("k5_prose_by_template", _block_sql())
+def _(v):
+    """Comment blocks again (m2), from a template with loops, conditions, filters and a macro that is imported."""
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), ((F.col("ordinal") + F.col("symbol_usr")) % len(FIELDS) + 1).cast("int"))
+    rows = structs_from_fields(v.comment_fields.withColumn("name", name))
+    return _by_template(rows, '{% import "partials/prose" as p %}{% set told = p.body(comment) %}{{ told }}').withColumn("text", F.regexp_replace("text", "\n\n$", ""))
+
+
+@query("k5_fields_by_template", _FIELDS_SQL)
+def _(v):
+    """Field lists again (m3), from a template whose macro calls another one."""
+    k = F.col("ordinal") % 5
+    name = F.element_at(F.array(*map(F.lit, ["param", "tparam", "returns", "retval", "throws"])), (k + 1).cast("int"))
+    rows = v.comment_fields.select("symbol_usr", name.alias("name"), F.when(k == 0, F.concat(F.lit("[in,out] "), "name")).otherwise(F.col("name")).alias("arg"), "value", "ordinal")
+    return _by_template(structs_from_fields(rows), '{% import "partials/fields" as p %}{{ p.fields(comment) }}').withColumn("text", F.regexp_replace("text", "\n$", ""))

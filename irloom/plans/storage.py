@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irloom.operators import incremental as inc
-from irloom.operators.lock import LockTimeoutError, build_lock
 from irloom.operators.state import shared_dir
 from irloom.plans.registry import query
-from irloom.sources import snapshot
+from irloom.sources import outputs, snapshot
 from irloom.sources.schema import TABLES
 from irloom.streaming import ingest
 
@@ -25,14 +23,16 @@ def _tables(v):
     return {"symbols": one(s, **text, access=F.lit(0), storage=F.lit(0), col=F.lit(1)), "references": v.references, "files": v.files, "meta": v.spark.createDataFrame([("tool", "irloom")], "key string, value string")}
 
 
-@query("a1_resolved_inputs", "SELECT * FROM (VALUES (0, 'a[1].hpp', 3), (1, 'a1.hpp', 4), (1, 'b.hpp', 5), (3, 'sub/c.hpp', 6)) t(pos, name, length)")
+@query("a1_resolved_inputs", """
+WITH f AS (SELECT 'p' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '.hpp' ELSE '[1].cpp' END AS name, CAST(strlen(html) AS BIGINT) AS length FROM pages)
+SELECT CASE WHEN name = 'p1[1].cpp' THEN 0 WHEN ends_with(name, '.hpp') THEN 1 ELSE 3 END AS pos, name, length FROM f WHERE name = 'p1[1].cpp' OR ends_with(name, '.hpp') OR starts_with(name, 'p2')""")
 def _(v):
-    """A path that exists beats a glob, a file counts where it is first named, folders are left out."""
+    """A file a page: a path that exists beats a glob, a file counts where it is first named, folders are left out."""
     path = shared_dir(v.spark)
-    for name, size in (("a[1].hpp", 3), ("a1.hpp", 4), ("b.hpp", 5), ("sub/c.hpp", 6), ("sub.hpp/d", 7)):
-        snapshot.write_small(v.spark, f"{path}/{name}", b"x" * size)
-    found = snapshot.resolve_inputs(v.spark, [f"{path}/{p}" for p in ("a[1].hpp", "*.hpp", "a1.hpp", "sub/*", "b.hpp")])
-    return found.select("pos", F.element_at(F.split("path", "/irloom-[0-9a-f]+/"), -1).alias("name"), F.col("length").cast("int").alias("length"))
+    ending = F.when(F.col("page_id") % 3 == 0, ".hpp").otherwise("[1].cpp")
+    outputs.put_pages(v.spark, path, v("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), ending).alias("name"), F.col("html").alias("text")))
+    found = snapshot.resolve_inputs(v.spark, [f"{path}/{p}" for p in ("p1[1].cpp", "*.hpp", "p1[1].cpp", "p2*", ".state")])
+    return found.select("pos", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
 @query("a3_snapshot_scan", "SELECT usr, kind, qualified_name, is_documented = 1 AS is_documented FROM ir_symbols")
@@ -127,30 +127,6 @@ def _(v):
     return reduce(DataFrame.union, out)
 
 
-@query("l13_locked_writes", "SELECT * FROM (VALUES ('0', 4), ('timeout names the holder', 1)) t(what, n)")
-def _(v):
-    """Writers that each read a number and write the next one; without the lock they would overwrite one another."""
-    path = shared_dir(v.spark)
-    snapshot.write_small(v.spark, f"{path}/number", b"0")
-
-    def add(_: int) -> None:
-        with build_lock(v.spark, path, 60):
-            n = int(v.spark.read.text(f"{path}/number").first().value)
-            snapshot.write_small(v.spark, f"{path}/number", str(n + 1).encode())
-
-    with ThreadPoolExecutor(4) as pool:
-        list(pool.map(add, range(4)))
-    told = 0
-    with build_lock(v.spark, path, 60):
-        try:
-            with build_lock(v.spark, path, 0.2):
-                pass
-        except LockTimeoutError as e:
-            told = int("process" in str(e))
-    number = v.spark.read.text(f"{path}/number").select(F.lit("0").alias("what"), F.col("value").cast("int").alias("n"))
-    return number.union(v.spark.createDataFrame([("timeout names the holder", told)], "what string, n int"))
-
-
 @query("l14_streamed_upsert", "SELECT usr, max_by(spelling, (is_definition, seq)) AS spelling, max_by(payload, (is_definition, seq)) AS payload, max(is_definition) AS is_definition, max(is_documented) AS is_documented FROM ir_symbol_writes GROUP BY usr")
 def _(v):
     path = shared_dir(v.spark)

@@ -13,7 +13,7 @@ def rows(values, names):
     return sorted(tuple(repr(round(v[i], 6) if isinstance(v[i], float) else v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", ["b4_children", "c3_file_roots", "c11_identity_drift", "c16_qualifiers", "d1_ancestors", "d3_include_closure", "e1_symbol_upsert", "e2_group_upsert", "e15_diagnostic_dedup", "f4_summary", "g7_unique_stems", "i2_content_hash", "a1_resolved_inputs", "a6_streamed_replace", "a8_compile_commands", "a12_documented_entities", "f13_directory_statistics", "i9_scope_suffix", "i10_repair_operators", "i11_strip_defaults", "i12_parenthesize", "i13_scope_arguments", "i14_top_level", "i15_parameter_names", "i32_plain_names", "i37_injected_names", "j4_command_words", "j5_fences", "j6_inline_markup", "j7_link_targets", "j11_command_classes", "k1_registered_parsers", "k2_overrides", "k3_other_parser", "k5_template_directories", "l9_render_validity", "l11_reset_caches", "l12_memo_modes", "l13_locked_writes"])
+@pytest.mark.parametrize("name", ["b4_children", "c3_file_roots", "c11_identity_drift", "c16_qualifiers", "d1_ancestors", "d3_include_closure", "e1_symbol_upsert", "e2_group_upsert", "e15_diagnostic_dedup", "f4_summary", "g7_unique_stems", "i2_content_hash", "a1_resolved_inputs", "a6_streamed_replace", "a8_compile_commands", "a12_documented_entities", "f13_directory_statistics", "i9_scope_suffix", "i10_repair_operators", "i11_strip_defaults", "i12_parenthesize", "i13_scope_arguments", "i14_top_level", "i15_parameter_names", "i32_plain_names", "i37_injected_names", "j4_command_words", "j5_fences", "j6_inline_markup", "j7_link_targets", "j11_command_classes", "k1_registered_parsers", "k2_overrides", "k3_other_parser", "k5_template_directories", "l9_render_validity", "l11_reset_caches", "l12_memo_modes", "m10_page_plan", "a7_touched_buckets", "a8_split_array", "a10_page_set", "a11_ordered_log", "l1_scanned_files", "l14_keyed_state", "l6_file_fingerprints"])
 def test_matches_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     if not os.path.isdir(SF):
