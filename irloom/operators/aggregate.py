@@ -53,9 +53,10 @@ def buckets_by_scope(symbols: DataFrame, types: list[int], constants: list[int])
 
 
 def overloads(symbols: DataFrame) -> DataFrame:
-    """Functions of a scope by spelling; all operators together."""
+    """scope, name, position and usr: functions of a scope by spelling, all operators together, a row each."""
     name = F.when(F.startswith("spelling", F.lit("operator")), F.lit("operator*")).otherwise(F.col("spelling"))
-    return symbols.groupBy(F.coalesce("parent_usr", F.lit("")).alias("scope"), name.alias("name")).agg(ordered(["line", "usr"], "usr").alias("usrs"))
+    rows = symbols.select(F.coalesce("parent_usr", F.lit("")).alias("scope"), name.alias("name"), "line", "usr")
+    return numbered(rows, ["scope", "name"], ["line", "usr"]).select("scope", "name", "position", "usr")
 
 
 def contested(names: DataFrame, stem: Column) -> DataFrame:

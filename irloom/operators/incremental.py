@@ -74,9 +74,14 @@ def output_changes(new: DataFrame, stored: DataFrame) -> DataFrame:
 def written_pages(spark: SparkSession, path: str, name: str, text: str) -> DataFrame:
     """The pages that stand below `path`: of each name the one of the last run that wrote it."""
     rows = spark.read.parquet(f"{path}/pages")
-    rest = [c for c in rows.columns if c not in (name, "run")]
-    last = rows.groupBy(name).agg(F.max_by(F.struct("run", *rest), "run").alias("p")).select(name, "p.*")
-    return last.where(F.col(text).isNotNull())
+    last = rows.groupBy(F.col(name).alias("__name")).agg(F.max("run").alias("__run"))
+    return rows.join(last, (F.col(name) == F.col("__name")) & (F.col("run") == F.col("__run"))).drop("__name", "__run").where(F.col(text).isNotNull())
+
+
+def written_digests(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """name and digest of the pages that stand below `path`; no text is read."""
+    last = spark.read.parquet(f"{path}/pages").groupBy(name).agg(F.max_by("digest", "run").alias("digest"))
+    return last.where("digest IS NOT NULL").select(F.col(name).alias("name"), "digest")
 
 
 def write_changed(spark: SparkSession, path: str, pages: DataFrame, name: str, text: str) -> None:
@@ -85,8 +90,7 @@ def write_changed(spark: SparkSession, path: str, pages: DataFrame, name: str, t
     run = 0
     if exists(spark, f"{path}/pages"):
         run = spark.read.parquet(f"{path}/pages").agg(F.max("run")).first()[0] + 1
-        stored = written_pages(spark, path, name, text).select(F.col(name).alias("name"), "digest")
-        actions = output_changes(pages.select(F.col(name).alias("name"), "digest"), stored).where("action <> 'unchanged'").select(F.col("name").alias(name), "action")
+        actions = output_changes(pages.select(F.col(name).alias("name"), "digest"), written_digests(spark, path, name)).where("action <> 'unchanged'").select(F.col("name").alias(name), "action")
         pages = actions.join(pages, name, "left").drop("action")
     pages.write.parquet(f"{path}/pages/run={run}")
 
@@ -130,11 +134,14 @@ def render_validity(meta: DataFrame, wanted: DataFrame, by: list[str]) -> DataFr
 
 
 def open_cache(spark: SparkSession, path: str, tables: dict[str, str], version: str = CACHE_VERSION) -> dict[str, DataFrame]:
-    """The tables of a cache below `path`, given with their schemas as DDL; all empty if its version is another or it cannot be read."""
+    """The tables of a cache below `path`, given with their schemas as DDL; all empty if its version is another or it cannot be read.
+
+    Each file's footer is read, no column of it: what is cut off or is no table shows there.
+    """
 
     def read(name: str) -> DataFrame:
         df = spark.read.schema(tables[name]).parquet(f"{path}/{name}")
-        df.agg(*(F.max(F.col(c).cast("string")) for c in df.columns)).collect()  # a damaged file shows only when it is read
+        df.count()
         return df
 
     empty = {n: spark.createDataFrame([], ddl) for n, ddl in tables.items()}

@@ -71,9 +71,12 @@ def group_symbols(members: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def related_by_name(fields: DataFrame, symbols: DataFrame, field: str = "relates") -> DataFrame:
-    """name (trimmed, not empty) and the usrs of the symbols whose comment has a `field` with it."""
+    """related (a name, trimmed, not empty), position and usr of the symbols whose comment has a `field` with it, a row each."""
     named = fields.where(F.col("name") == field).select("symbol_usr", F.trim("value").alias("related"), "ordinal").where(F.col("related") != "")
-    return named.join(symbols.select("usr", "qualified_name"), named.symbol_usr == F.col("usr")).groupBy("related").agg(ordered(["qualified_name", "usr", "ordinal"], "usr").alias("usrs"))
+    from irloom.operators.aggregate import numbered
+
+    rows = named.join(symbols.select("usr", "qualified_name"), named.symbol_usr == F.col("usr"))
+    return numbered(rows, ["related"], ["qualified_name", "usr", "ordinal"]).select("related", "position", "usr")
 
 
 def related_symbols(symbols: DataFrame, named: DataFrame, visible: Column) -> DataFrame:

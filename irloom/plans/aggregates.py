@@ -75,9 +75,9 @@ def _(v):
     return a.canonical(v.symbols, ["kind", "spelling"])
 
 
-@query("f10_overloads", "SELECT coalesce(parent_usr, '') AS scope, CASE WHEN starts_with(spelling, 'operator') THEN 'operator*' ELSE spelling END AS name, string_agg(usr, chr(31) ORDER BY line, usr) AS usrs FROM ir_symbols WHERE kind IN (5, 6, 7, 8, 15) GROUP BY 1, 2")
+@query("f10_overloads", "WITH f AS (SELECT coalesce(parent_usr, '') AS scope, CASE WHEN starts_with(spelling, 'operator') THEN 'operator*' ELSE spelling END AS name, line, usr FROM ir_symbols WHERE kind IN (5, 6, 7, 8, 15)) SELECT scope, name, row_number() OVER (PARTITION BY scope, name ORDER BY line, usr) - 1 AS position, usr FROM f")
 def _(v):
-    return a.overloads(v.symbols.where(F.col("kind").isin(FUNCTION_KINDS))).select("scope", "name", q.joined(F.col("usrs")).alias("usrs"))
+    return a.overloads(v.symbols.where(F.col("kind").isin(FUNCTION_KINDS)))
 
 
 @query("f11_buckets", "WITH b AS (SELECT coalesce(parent_usr, '') AS scope, CASE WHEN kind IN (11, 13, 14, 17) THEN 'types' WHEN kind IN (10, 18) THEN 'constants' ELSE 'other' END AS bucket, spelling, line, usr FROM ir_symbols) SELECT scope, bucket, CAST(row_number() OVER (PARTITION BY scope, bucket ORDER BY spelling, line, usr) - 1 AS BIGINT) AS position, usr FROM b")

@@ -18,10 +18,10 @@ def _(v):
 RELATES = "SELECT 'p:' || CAST(doc_id AS VARCHAR) AS symbol_usr, ' ' || source || ' ' AS value, doc_id AS ordinal FROM documents"
 
 
-@query("c2_related_by_name", f"SELECT trim(f.value) AS related, string_agg(s.usr, chr(31) ORDER BY s.qualified_name, s.usr, f.ordinal) AS usrs FROM ({RELATES}) f JOIN ir_symbols s ON s.usr = f.symbol_usr GROUP BY 1")
+@query("c2_related_by_name", f"SELECT trim(f.value) AS related, row_number() OVER (PARTITION BY trim(f.value) ORDER BY s.qualified_name, s.usr, f.ordinal) - 1 AS position, s.usr FROM ({RELATES}) f JOIN ir_symbols s ON s.usr = f.symbol_usr")
 def _(v):
     fields = v("documents").select(F.concat(F.lit("p:"), F.col("doc_id").cast("string")).alias("symbol_usr"), F.lit("relates").alias("name"), F.concat(F.lit(" "), "source", F.lit(" ")).alias("value"), F.col("doc_id").alias("ordinal"))
-    return q.related_by_name(fields, v.symbols).select("related", q.joined(F.col("usrs")).alias("usrs"))
+    return q.related_by_name(fields, v.symbols)
 
 
 @query("c3_file_roots", "SELECT usr, file_id, kind, qualified_name FROM ir_symbols s WHERE NOT EXISTS (SELECT 1 FROM ir_symbols p WHERE p.usr = s.parent_usr AND p.file_id = s.file_id)")
