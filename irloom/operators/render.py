@@ -7,6 +7,8 @@ position (of the seed), offset (in its tree), part (of the symbol) and piece ord
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,3 +193,43 @@ def hub_fragments(pages: DataFrame, entries: DataFrame) -> DataFrame:
     rows = rows.join(ends, F.col("page") == F.col("e_page"))
     text = F.concat(F.when(n == 0, F.lit("\n```{toctree}\n:maxdepth: 1\n\n")).otherwise(F.lit("")), "caption", F.lit(" <"), "stem", F.lit(">\n"), F.when(n == F.col("last"), F.lit("```\n")).otherwise(F.lit("")))
     return rows.select("page", F.lit(0).cast("long").alias("position"), n.alias("offset"), F.lit(BODY).alias("part"), F.lit(0).alias("piece"), text.alias("text"))
+
+
+def group_fragments(pages: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """What stands on group pages below their titles: brief, detail, links to subgroups under the stems that these got, and members, a row each.
+
+    `members` has group_id, ordinal, usr and qualified_name of the members that there are.
+    """
+    key = lambda c: F.concat(F.lit("group:"), c)
+    own = pages.where("page LIKE 'group:%'").select("page", "stem")
+
+    def rows(df: DataFrame, part: int, text: Column) -> DataFrame:
+        return df.select("page", F.lit(0).cast("long").alias("position"), F.col("n").cast("long").alias("offset"), F.lit(part).alias("part"), F.lit(0).alias("piece"), text.alias("text"))
+
+    prose = groups.select(key(F.col("id")).alias("page"), *((F.coalesce(F.btrim(c, F.lit("\n")), F.lit("")) if c in groups.columns else F.lit("")).alias(c) for c in ("brief", "detail"))).withColumn("n", F.lit(0))
+    out = [rows(prose.where(f"{c} <> ''"), HEAD + 1 + n, F.concat(F.lit("\n"), F.btrim(s.normalize(c), F.lit("\n")), F.lit("\n"))).withColumn("offset", F.lit(n).cast("long")) for n, c in enumerate(("brief", "detail"))]
+
+    def list_of(items: DataFrame, order: list[str], title: str, item: Column, at: int) -> DataFrame:
+        listed_ = numbered(items, ["page"], order, "n")
+        text = F.concat(F.when(F.col("n") == 0, F.lit(f"\n**{title}**\n\n")).otherwise(F.lit("")), F.lit("- "), item, F.lit("\n"))
+        return rows(listed_, at, text).withColumn("position", F.lit(at).cast("long"))
+
+    subs = groups.where(F.coalesce("parent_group_id", F.lit("")) != "").select(key(F.col("parent_group_id")).alias("page"), F.coalesce("title", F.lit("")).alias("title"), "id", key(F.col("id")).alias("child"))
+    subs = subs.join(own.select(F.col("page").alias("child"), "stem"), "child").join(own.select("page"), "page", "left_semi")
+    out.append(list_of(subs, ["title", "id"], "Subgroups", F.concat(F.lit("{doc}`"), "stem", F.lit("`")), 1))
+    told = members.select(key(F.col("group_id")).alias("page"), "ordinal", "usr", "qualified_name").join(own.select("page"), "page", "left_semi")
+    out.append(list_of(told, ["ordinal", "usr"], "Members", role(F.col("qualified_name")), 2))
+    return tree.together(out)
+
+
+def replayed(pages: DataFrame, fingerprints: DataFrame, memo: DataFrame, texts: DataFrame, render: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """page, block, text and replayed: of pages whose fingerprint the memo has, the stored blocks; only the others are rendered.
+
+    `memo` has page and fingerprint, `texts` page, block and text. `render` gets the pages to
+    render and gives their fragments; pages that are not planned any more are left out.
+    """
+    known = fingerprints.join(memo.select(F.col("page").alias("m_page"), F.col("fingerprint").alias("m_fingerprint")), (F.col("page") == F.col("m_page")) & (F.col("fingerprint") == F.col("m_fingerprint"))).select(F.col("page").alias("k_page"))
+    known = cut(known)
+    kept = texts.join(known, F.col("page") == F.col("k_page"), "left_semi").select("page", "block", "text", F.lit(True).alias("replayed"))
+    fresh = render(pages.join(known, F.col("page") == F.col("k_page"), "left_anti"))
+    return kept.unionByName(page_texts(fresh).withColumn("replayed", F.lit(False)))

@@ -333,3 +333,36 @@ def _(v):
     name = F.element_at(F.array(*map(F.lit, ["param", "tparam", "returns", "retval", "throws"])), (k + 1).cast("int"))
     rows = v.comment_fields.select("symbol_usr", name.alias("name"), F.when(k == 0, F.concat(F.lit("[in,out] "), "name")).otherwise(F.col("name")).alias("arg"), "value", "ordinal")
     return _by_template(structs_from_fields(rows), '{% import "partials/fields" as p %}{{ p.fields(comment) }}').withColumn("text", F.regexp_replace("text", "\n$", ""))
+
+
+@query("m6_group_fragments", "WITH planned AS (SELECT 'group:' || id AS page, 'group_' || id AS name, '9' || CASE WHEN coalesce(parent_group_id, '') = '' THEN '0' ELSE '1' END || title || chr(1) || id AS walk FROM ir_groups)," + _stems_sql("planned") + f""",
+g AS (SELECT *, 'About ' || title AS brief, CASE WHEN id > 'src1' THEN 'Text of ' || id || '.' ELSE '' END AS detail FROM ir_groups)
+SELECT 'group:' || id AS page, 0 AS position, 0 AS "offset", 1 AS part, 0 AS piece, {NL} || brief || {NL} AS text FROM g
+UNION ALL SELECT 'group:' || id, 0, 1, 2, 0, {NL} || detail || {NL} FROM g WHERE detail <> ''
+UNION ALL SELECT 'group:' || parent_group_id, 1, n, 1, 0, CASE WHEN n = 0 THEN {NL} || '**Subgroups**' || {NL} || {NL} ELSE '' END || '- {{doc}}`' || stem || '`' || {NL} FROM (SELECT g.*, stem, row_number() OVER (PARTITION BY parent_group_id ORDER BY title, id) - 1 AS n FROM g JOIN stemmed ON page = 'group:' || id WHERE coalesce(parent_group_id, '') <> '')
+UNION ALL SELECT 'group:' || group_id, 2, n, 2, 0, CASE WHEN n = 0 THEN {NL} || '**Members**' || {NL} || {NL} ELSE '' END || '- {{cpp:any}}`' || qualified_name || '`' || {NL} FROM (SELECT group_id, qualified_name, row_number() OVER (PARTITION BY group_id ORDER BY ordinal, usr) - 1 AS n FROM ir_group_members JOIN ir_symbols ON usr = member_usr)""")
+def _(v):
+    """Group pages below their titles: prose, links to subgroups under the stems that they got, members."""
+    groups = v.groups.select("id", "title", "parent_group_id", F.concat(F.lit("About "), "title").alias("brief"), F.when(F.col("id") > "src1", F.concat(F.lit("Text of "), "id", F.lit("."))).alias("detail"))
+    pages = plan.with_stems(plan.group_plan(groups), RESERVED)
+    return render.group_fragments(pages, groups, q.group_symbols(v.group_members, v.symbols))
+
+
+_STALE = "p.kind <> 5 AND p.line % 3 = 0"
+
+
+@query("m12_replayed_pages", "SELECT page, CASE WHEN replayed THEN count(*) ELSE 1 END AS blocks, CASE WHEN replayed THEN NULL ELSE sum(length(text)) END AS chars, replayed FROM (SELECT f.page, f.text, NOT (" + _STALE + ") AS replayed FROM (" + _fragments_sql(VIS + ", shown AS (SELECT * FROM vis), below AS (SELECT * FROM vis), seeds AS (SELECT usr AS page, 0 AS position, usr, kind, qualified_name FROM vis WHERE parent = ''), " + _DOWN + ", titles AS (SELECT '' AS page, '' AS title WHERE false), nodes AS (SELECT page, position, row_number() OVER (PARTITION BY page ORDER BY path) - 1 AS \"offset\", depth + 1 AS lvl, usr, kind, qualified_name, false AS degraded FROM walk)") + ") f JOIN ir_symbols p ON p.usr = f.page) GROUP BY page, replayed")
+def _(v):
+    """Pages by root, a memo in which a third of the parts' pages have another fingerprint: only these are rendered again, the others are what the memo holds, a block a fragment."""
+    rows = visible(v.symbols)
+    hashed, subtrees = _digests(v, rows)
+    pages, seeds = plan.symbol_plan(rows)
+    marks = fp.page_fingerprints(pages, seeds, subtrees)
+    stale = rows.where("kind <> 5 AND line % 3 = 0").select(F.col("usr").alias("page"), F.lit(True).alias("stale"))
+    memo = marks.join(stale, "page", "left").select("page", F.when(F.col("stale"), "old").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    sides = _sides(v)
+    once = render.fragments(rows, pages, seeds, **sides)
+    texts = plan.numbered(once, ["page"], ["position", "offset", "part", "piece"], "block").select("page", "block", "text")
+    found = render.replayed(pages, marks, memo, texts, lambda some: render.fragments(rows, some, seeds.join(some.select("page"), "page", "left_semi"), **sides))
+    chars = F.when(~F.col("replayed"), F.col("chars"))
+    return found.groupBy("page", "replayed").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars")).select("page", "replayed", F.when(F.col("replayed"), F.col("blocks")).otherwise(F.lit(1)).alias("blocks"), chars.alias("chars"))
