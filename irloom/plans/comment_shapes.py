@@ -30,7 +30,7 @@ SHAPES: list[tuple[str, dict]] = [
     ("/** @copydoc Store<std::function<int(%w)>>::put(int) const */", {"see": ["Store::put"]}),
     ("/// @copybrief ::Top<A<B>, 2>::at\n/// @see other, and more", {"see": ["Top::at", "other, and more"]}),
     ("/// See @ref %w::run \"how\" and @c x, or @b not.", {"brief": "See {cpp:any}`how <%w::run>` and `x`, or **not**."}),
-    ("/// See @ref some-page and @ref Vec::operator+=.", {"brief": "See `some-page` and {cpp:any}`Vec::operator+=`."}),
+    ("/// See @ref some-page and @ref Grid::operator+=.", {"brief": "See `some-page` and {cpp:any}`Grid::operator+=`."}),
     ("/// Write to me@%w.org \\n or @e call.", {"brief": "Write to me@%w.org or *call*."}),
     ("/**\n * Points:\n *\n * * one\n * * two\n */", {"brief": "Points:", "detail": ["* one * two"]}),
     ("/// Points:\n///\n/// * one\n/// * **two**", {"brief": "Points:", "detail": ["* one * **two**"]}),

@@ -72,10 +72,10 @@ def _(v):
 MARKUP = [
     ('see \\c code. and @p arg,', 'see `code`. and `arg`,'),
     ('a @b bold word and \\e it (\\em them) \\a arg', 'a **bold** word and *it* (*them*) *arg*'),
-    ('(see \\ref parse_files) @ref Vec::operator[].', '(see {cpp:any}`parse_files`) {cpp:any}`Vec::operator[]`.'),
+    ('(see \\ref pack_rows) @ref Grid::operator[].', '(see {cpp:any}`pack_rows`) {cpp:any}`Grid::operator[]`.'),
     ('\\ref a::b "the title" end', '{cpp:any}`the title <a::b>` end'),
     ('@ref 1x and \\link a::b, more', '`1x` and {cpp:any}`a::b`, more'),
-    ('one \\n two user@b.example \\unknown x', 'one two user@b.example \\unknown x'),
+    ('one \\n two ann@c.test \\unknown x', 'one two ann@c.test \\unknown x'),
 ]
 
 
@@ -87,14 +87,14 @@ def _(v):
 
 #: Tokens, and the name and the punctuation behind it that they are.
 LINKS = [
-    ('parse_files)', ['parse_files', ')']),
-    ('Vec::operator[]', ['Vec::operator[]', '']),
-    ('Vec::operator[].', ['Vec::operator[]', '.']),
+    ('pack_rows)', ['pack_rows', ')']),
+    ('Grid::operator[]', ['Grid::operator[]', '']),
+    ('Grid::operator[].', ['Grid::operator[]', '.']),
     ('operator.', ['', '']),
     ('a::operator()', ['a::operator()', '']),
     ('foo().', ['foo', '().']),
     ('x-y', ['', '']),
-    ('Vec::operator<<=,', ['Vec::operator<<=', ',']),
+    ('Grid::operator<<=,', ['Grid::operator<<=', ',']),
     ('operatorx', ['operatorx', '']),
     ('1a', ['', '']),
     ('a::b::c!', ['a::b::c', '!']),

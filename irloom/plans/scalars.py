@@ -83,9 +83,9 @@ def _(v):
 
 #: Signatures with the nestings that the rewriters look for.
 FORMS = [
-    "void f(int a = <recovery-expr>(g(1), h()), T b)", "template<typename T, int N = 4>", "std::conditional_t<sizeof(T) >= sizeof(int), A<B, C>, D>", 'bool x = = "a = = b"',
+    "void f(int a = <recovery-expr>(g(1), h()), T b)", "template<typename K, long Q = 7>", "std::conditional_t<sizeof(T) >= sizeof(int), A<B, C>, D>", 'bool x = = "a = = b"',
     "Outer<T>::Inner<U, V<W>>", "Foo<Bar<X>>(int)", "Traits<U, V>", "enable_if_t<N == 1 && (M > 2), std::array<int, (N != 3)>>", "template<template<typename> class C, typename... Ts>",
-    "::ns::Vec<T>::operator==(const Vec<T>&) const", "int g(S s = <recovery-expr>, std::map<K, V> m = {{1, 2}, {3, 4}})", "~Node<Key, Less<Key>>",
+    "::ns::Grid<T>::operator==(const Grid<T>&) const", "int g(S s = <recovery-expr>, std::map<K, V> m = {{1, 2}, {3, 4}})", "~Node<Key, Less<Key>>",
 ]
 
 
@@ -114,16 +114,16 @@ def _but(**changed: str) -> list[str]:
 
 
 REWRITTEN = {
-    "i9_scope_suffix": (rewrite.scope_suffix_of, ["", "<typename T, int N = 4>", "<sizeof(T) >= sizeof(int), A<B, C>, D>", "", "<U, V<W>>", "", "", "<N == 1 && (M > 2), std::array<int, (N != 3)>>", "<template<typename> class C, typename... Ts>", "", "", "<Key, Less<Key>>"]),
+    "i9_scope_suffix": (rewrite.scope_suffix_of, ["", "<typename K, long Q = 7>", "<sizeof(T) >= sizeof(int), A<B, C>, D>", "", "<U, V<W>>", "", "", "<N == 1 && (M > 2), std::array<int, (N != 3)>>", "<template<typename> class C, typename... Ts>", "", "", "<Key, Less<Key>>"]),
     "i10_repair_operators": (rewrite.repair_split_operators, _but(f3='bool x == "a = = b"')),
     "i11_strip_defaults": (rewrite.strip_recovery_defaults, _but(f0="void f(int a, T b)", f10="int g(S s, std::map<K, V> m = {{1, 2}, {3, 4}})")),
     "i12_parenthesize": (rewrite.parenthesize_comparisons, _but(f2="std::conditional_t<(sizeof(T) >= sizeof(int)), A<B, C>, D>", f7="enable_if_t<(N == 1 && (M > 2)), std::array<int, (N != 3)>>")),
-    "i32_plain_names": (rewrite.plain_name, ["void f", "template", "std::conditional_t", 'bool x = = "a = = b"', "Outer::Inner", "Foo", "Traits", "enable_if_t", "template", "::ns::Vec::operator==", "int g", "~Node"]),
+    "i32_plain_names": (rewrite.plain_name, ["void f", "template", "std::conditional_t", 'bool x = = "a = = b"', "Outer::Inner", "Foo", "Traits", "enable_if_t", "template", "::ns::Grid::operator==", "int g", "~Node"]),
     "i37_injected_names": (rewrite.without_injected_arguments, _but(f1="template", f2="std::conditional_t", f5="Foo(int)", f6="Traits", f7="enable_if_t", f8="template", f11="~Node")),
 }
 PARTS = {
-    "i13_scope_arguments": (rewrite.split_scope_arguments, [[FORMS[0], ""], ["template", "<typename T, int N = 4>"], ["std::conditional_t", "<sizeof(T) >= sizeof(int), A<B, C>, D>"], [FORMS[3], ""], ["Outer<T>::Inner", "<U, V<W>>"], [FORMS[5], ""], ["Traits", "<U, V>"], ["enable_if_t", "<N == 1 && (M > 2), std::array<int, (N != 3)>>"], ["template", "<template<typename> class C, typename... Ts>"], [FORMS[9], ""], [FORMS[10], ""], ["~Node", "<Key, Less<Key>>"]]),
-    "i15_parameter_names": (rewrite.template_parameter_names, [[], ["T", "N"], ["", "", "D"], [], ["T"], [""], ["U", "V"], ["N", ""], ["C", "Ts"], ["T"], [], ["Key", ""]]),
+    "i13_scope_arguments": (rewrite.split_scope_arguments, [[FORMS[0], ""], ["template", "<typename K, long Q = 7>"], ["std::conditional_t", "<sizeof(T) >= sizeof(int), A<B, C>, D>"], [FORMS[3], ""], ["Outer<T>::Inner", "<U, V<W>>"], [FORMS[5], ""], ["Traits", "<U, V>"], ["enable_if_t", "<N == 1 && (M > 2), std::array<int, (N != 3)>>"], ["template", "<template<typename> class C, typename... Ts>"], [FORMS[9], ""], [FORMS[10], ""], ["~Node", "<Key, Less<Key>>"]]),
+    "i15_parameter_names": (rewrite.template_parameter_names, [[], ["K", "Q"], ["", "", "D"], [], ["T"], [""], ["U", "V"], ["N", ""], ["C", "Ts"], ["T"], [], ["Key", ""]]),
 }
 for _name, (_f, _expected) in REWRITTEN.items():
     query(_name, by_form("rewritten", _expected))(lambda v, f=_f: _signatures(v).select("p_partkey", rewrite.text_udf(f)("signature").alias("rewritten")))
@@ -133,7 +133,7 @@ for _name, (_f, _expected) in PARTS.items():
 
 #: Lists, and their parts.
 LISTS = [
-    ("typename T, int N = 4", ["typename T", "int N = 4"]), ("A<B, C>, D", ["A<B, C>", "D"]), ("f(a, b), {1, 2}, x[i, j]", ["f(a, b)", "{1, 2}", "x[i, j]"]), ("", []), (" , ", []), ("one", ["one"]), ("a,,b,", ["a", "b"]),
+    ("typename K, long Q = 7", ["typename K", "long Q = 7"]), ("A<B, C>, D", ["A<B, C>", "D"]), ("f(a, b), {1, 2}, x[i, j]", ["f(a, b)", "{1, 2}", "x[i, j]"]), ("", []), (" , ", []), ("one", ["one"]), ("a,,b,", ["a", "b"]),
     ("template<typename, typename> class C, Pair<int, int> P = Pair<int, int>{1, 2}", ["template<typename, typename> class C", "Pair<int, int> P = Pair<int, int>{1, 2}"]),
 ]
 

@@ -12,7 +12,7 @@ def test_pinned_content_hash(spark):
 
 def test_rewriters():
     assert rewrite.split_top_level("typename T, Pair<int, int> P, int A = {1, 2}") == ["typename T", "Pair<int, int> P", "int A = {1, 2}"]
-    assert rewrite.template_parameter_names("template<typename T, int N = 4, typename... Ts>") == ["T", "N", "Ts"]
+    assert rewrite.template_parameter_names("template<typename K, long Q = 7, typename... Ts>") == ["K", "Q", "Ts"]
     assert rewrite.repair_split_operators('a = = b, "x = = y"') == 'a == b, "x = = y"'
     assert rewrite.strip_recovery_defaults('f(int a = <recovery-expr>(g(1)), T b = <recovery-expr>)') == "f(int a, T b)"
     assert rewrite.parenthesize_comparisons("C<sizeof(T) >= 4, A<B, D>>") == "C<(sizeof(T) >= 4), A<B, D>>"
