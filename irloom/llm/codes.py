@@ -2,12 +2,12 @@
 
 A vector is cut into PARTS equal consecutive parts, and each part is replaced by the number
 of its nearest codebook entry. Codebooks are moved by Lloyd's rounds, exactly, in whole
-numbers. What a round needs is kept: each vector's last assignment lies beside it in a table
-in the shared folder, and the sums and counts of all entries are running totals. A round
+numbers. What a round needs is kept in the shared folder: each vector's last assignment lies
+beside it in one table, and the sums and counts of all entries are running totals in another. A round
 writes the new assignment next to the last one; then only parts whose entry changed give
 a contribution, plus to the new entry and minus to the old one. Tasks add these up before
 the shuffle, so it carries a row for each entry and component, whatever the input's size. The
-driver holds codebooks and totals, whose size is fixed by ENTRIES and the vector's length.
+driver reads codebooks and totals, whose size is fixed by ENTRIES and the vector's length.
 
 Arithmetic is exact at any magnitude: matrices of doubles while squared distances stay
 below 2^53, whole numbers of any length beyond; totals travel in limbs of LIMB bits.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from irloom.llm.common import cut_at, discard
+from irloom.llm.common import cut, cut_at, discard
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 LIMB = 24
@@ -200,15 +200,19 @@ def changes(rows: DataFrame, parts: int, entries: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), types, strict=True)], names=["dim", "part", "entry", "position", "limb", "amount"])
 
     moved = rows.where(~F.col("code").eqNullSafe(F.col("was")))
-    return moved.mapInArrow(run, "dim int, part int, entry int, position int, limb int, amount long").groupBy("dim", "part", "entry", "position", "limb").agg(F.sum("amount").alias("amount"))
+    return moved.mapInArrow(run, "dim int, part int, entry int, position int, limb int, amount long").groupBy(*TOTALS).agg(F.sum("amount").alias("amount"))
 
 
-def update(books: Books, totals: dict, moved: DataFrame, parts: int) -> Books:
-    """Adds the changes to the running totals; each entry moves to the floor of its mean, one without parts stays."""
-    for r in moved.collect():  # a row for each entry, component and limb at most
-        totals[r.dim, r.part, r.entry, r.position] += r.amount << (LIMB * r.limb)
+TOTALS = ["dim", "part", "entry", "position", "limb"]
+
+
+def update(books: Books, totals: DataFrame, parts: int) -> Books:
+    """Each entry moves to the floor of its mean by the running totals; one without parts stays."""
+    sums = defaultdict(int)
+    for r in totals.collect():  # a row for each entry, component and limb at most
+        sums[r.dim, r.part, r.entry, r.position] += r.amount << (LIMB * r.limb)
     return {
-        dim: [[[totals[dim, p, k, j] // n for j in range(b - a)] if (n := totals[dim, p, k, -1]) else entry for k, entry in enumerate(bs[p])] for p, (a, b) in enumerate(bounds(dim, parts))]
+        dim: [[[sums[dim, p, k, j] // n for j in range(b - a)] if (n := sums[dim, p, k, -1]) else entry for k, entry in enumerate(bs[p])] for p, (a, b) in enumerate(bounds(dim, parts))]
         for dim, bs in books.items()
     }
 
@@ -228,12 +232,14 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     """id, label, dim, code (a byte a part), error and label_error of every vector that takes part, and the final codebooks by length."""
     rows = integers(vectors, id_col, vector_col, label_col)
     state, path = cut_at(rows.withColumn("code", F.lit(None).cast("binary")))
-    books, totals = first_books(state, parts, entries), defaultdict(int)
+    books, totals = first_books(state, parts, entries), None
     for _ in range(rounds):
         new, new_path = cut_at(assign(state, books, parts))
         discard(state.sparkSession, path)
-        books = update(books, totals, changes(new, parts, entries), parts)
         state, path = new, new_path
+        moved = changes(state, parts, entries)
+        totals = cut(moved if totals is None else totals.unionByName(moved).groupBy(*TOTALS).agg(F.sum("amount").alias("amount")))
+        books = update(books, totals, parts)
     done, _ = cut_at(assign(state, books, parts, keep=False))
     discard(state.sparkSession, path)
     return with_label_error(done), books
