@@ -233,3 +233,12 @@ def replayed(pages: DataFrame, fingerprints: DataFrame, memo: DataFrame, texts:
     kept = texts.join(known, F.col("page") == F.col("k_page"), "left_semi").select("page", "block", "text", F.lit(True).alias("replayed"))
     fresh = render(pages.join(known, F.col("page") == F.col("k_page"), "left_anti"))
     return kept.unionByName(page_texts(fresh).withColumn("replayed", F.lit(False)))
+
+
+def index_fragments(entries: DataFrame, title: str, maxdepth: int = 2) -> DataFrame:
+    """position and text of the index: its heading and table of contents, a stem a row; `entries` as from plan.index_entries()."""
+    last = entries.agg(F.max("position").alias("last"))
+    lead = (f"# {title}\n\n" if title else "") + "```{toctree}\n:maxdepth: " + str(maxdepth) + "\n\n"
+    rows = entries.join(F.broadcast(last))  # one row
+    text = F.concat(F.when(F.col("position") == 0, F.lit(lead)).otherwise(F.lit("")), "stem", F.lit("\n"), F.when(F.col("position") == F.col("last"), F.lit("```\n")).otherwise(F.lit("")))
+    return rows.select("position", text.alias("text"))

@@ -109,6 +109,15 @@ planned AS (
 """
 
 
+@query("m5_hub_fragments", PLAN + _stems_sql("planned").strip() + f""",
+e AS (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY entry, page) - 1 AS n, count(*) OVER (PARTITION BY scope) AS m, stem, caption FROM stemmed WHERE scope <> '' AND page NOT LIKE 'group:%')
+SELECT 'hub' || chr(31) || scope AS page, 0 AS position, n AS "offset", {render.BODY} AS part, 0 AS piece, CASE WHEN n = 0 THEN {NL} || '```{{toctree}}' || {NL} || ':maxdepth: 1' || {NL} || {NL} ELSE '' END || caption || ' <' || stem || '>' || {NL} || CASE WHEN n = m - 1 THEN '```' || {NL} ELSE '' END AS text FROM e""")
+def _(v):
+    """The tables of contents of all hubs, an entry a row."""
+    pages, _, entries = _namespace_pages(v)
+    return render.hub_fragments(pages, plan.hub_entries(entries, pages))
+
+
 @query("m9_class_plan", CLASSES + _stems_sql("planned").strip() + " SELECT page, scope, part, name, title, stem, CAST(row_number() OVER (ORDER BY walk, page) - 1 AS BIGINT) AS position FROM stemmed")
 def _(v):
     """A page a record and a root, a namespace's other members on one of its own."""
@@ -116,13 +125,23 @@ def _(v):
     return plan.numbered(plan.with_stems(pages, RESERVED), [], ["place", "page"]).select("page", "scope", "part", "name", "title", "stem", "position")
 
 
-@query("m4_index_entries", VIS + ", planned AS (SELECT usr AS page, qualified_name AS name, qualified_name AS label, lpad(CAST(kind AS VARCHAR), 3, '0') || qualified_name || chr(1) || usr AS walk FROM vis WHERE parent = '' UNION ALL SELECT 'group:' || id, 'group_' || id, title, '9' || CASE WHEN coalesce(parent_group_id, '') = '' THEN '0' ELSE '1' END || title || chr(1) || id FROM ir_groups)," + _stems_sql("planned") + " SELECT CAST(row_number() OVER (ORDER BY walk, page) - 1 AS BIGINT) AS position, stem, label FROM stemmed")
+_INDEX_SQL = VIS + ", planned AS (SELECT usr AS page, qualified_name AS name, qualified_name AS label, lpad(CAST(kind AS VARCHAR), 3, '0') || qualified_name || chr(1) || usr AS walk FROM vis WHERE parent = '' UNION ALL SELECT 'group:' || id, 'group_' || id, title, '9' || CASE WHEN coalesce(parent_group_id, '') = '' THEN '0' ELSE '1' END || title || chr(1) || id FROM ir_groups)," + _stems_sql("planned")
+
+
+@query("m4_index_entries", _INDEX_SQL + " SELECT CAST(row_number() OVER (ORDER BY walk, page) - 1 AS BIGINT) AS position, stem, label FROM stemmed")
 def _(v):
     """A page a root, groups behind: what the index lists, in order, under the stems that the pages got. Many parts share a name."""
     pages, _ = plan.symbol_plan(visible(v.symbols))
     return plan.index_entries(plan.with_stems(pages.unionByName(plan.group_plan(v.groups)), RESERVED))
 
 
+@query("m4_index_fragments", _INDEX_SQL + f", n AS (SELECT row_number() OVER (ORDER BY walk, page) - 1 AS position, count(*) OVER () AS m, stem FROM stemmed) SELECT position, CASE WHEN position = 0 THEN '# API' || {NL} || {NL} || '```{{toctree}}' || {NL} || ':maxdepth: 2' || {NL} || {NL} ELSE '' END || stem || {NL} || CASE WHEN position = m - 1 THEN '```' || {NL} ELSE '' END AS text FROM n")
+def _(v):
+    """The index itself, a stem a row."""
+    pages, _ = plan.symbol_plan(visible(v.symbols))
+    return render.index_fragments(plan.index_entries(plan.with_stems(pages.unionByName(plan.group_plan(v.groups)), RESERVED)), "API")
+
+
 def _sides(v):
     """Bases, friends, related functions, enumerators and scopes around enums, of the given tables."""
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
