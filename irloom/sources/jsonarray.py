@@ -21,7 +21,11 @@ from irloom.sources.outputs import file_system
 from irloom.sources.snapshot import InputError, _fs
 
 SPLIT_BYTES = 32 << 20
+#: Ranges at the most: the driver holds a few numbers of each, and a longer file has longer ranges.
+MOST_RANGES = 1024
 CHUNK = 1 << 20
+#: Bytes read at a time behind the end of a range, for the rest of its last element.
+TAIL = 1 << 14
 #: What matters to the structure; an escaped character is passed over with its backslash.
 INSIDE, OUTSIDE = re.compile(rb'\\.|"', re.DOTALL), re.compile(rb'["{}\[\]]')
 
@@ -60,17 +64,18 @@ class State:
 
 
 def ranges(spark: SparkSession, path: str, split_bytes: int) -> list[tuple[str, int, int, int]]:
-    """(file, number, start, length) of the ranges of a file."""
+    """(file, number, start, length) of the ranges of a file, of split_bytes or, where these were too many, longer."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         raise InputError(f"no file {path}")
     name, size = fs.getFileStatus(p).getPath().toString(), fs.getFileStatus(p).getLen()
+    split_bytes = max(split_bytes, -(-size // MOST_RANGES))
     return [(name, n, start, min(split_bytes, size - start)) for n, start in enumerate(range(0, size, split_bytes))]
 
 
-def _chunks(source, start: int, length: int):
+def _chunks(source, start: int, length: int, end: int | None = None):
     while length > 0:
-        data = source.read_at(min(CHUNK, length), start)
+        data = source.read_at(min(CHUNK, length) if end is None else min(CHUNK, length, max(end - start, TAIL)), start)
         if not data:
             return
         yield start, data
@@ -93,6 +98,7 @@ def _probe(batches):
                     for s in ends:
                         for _ in s.marks(data):
                             pass
+                    data = memoryview(data)
                     while r["number"] < 0 and data:
                         part.update(data[:left])
                         data, left = data[left:], left - min(left, len(data))
@@ -114,7 +120,7 @@ def _elements(batches):
             with fs.open_input_file(name) as source:
                 state = State(bool(r["in_text"]), bool(r["escaped"]), r["depth"])
                 end, done = r["start"] + r["length"], False
-                for at, data in _chunks(source, r["start"], r["size"] - r["start"]):
+                for at, data in _chunks(source, r["start"], r["size"] - r["start"], end):
                     if at < end:
                         h.update(data[: end - at])
                     last = 0
@@ -140,7 +146,7 @@ def read(spark: SparkSession, path: str, schema: str, split_bytes: int = SPLIT_B
     cuts = ranges(spark, path, split_bytes)
     if not cuts:
         raise InputError(f"{path} is empty")
-    size = sum(n for _, _, _, n in cuts)
+    size, split_bytes = sum(n for _, _, _, n in cuts), cuts[0][3]
     todo = spark.createDataFrame([*((*c, split_bytes) for c in cuts), (cuts[0][0], -1, 0, size, split_bytes)], "file string, number int, start long, length long, split long").repartition(len(cuts) + 1)
     probed = {r.number: r for r in todo.mapInArrow(_probe, "number int, digest string, ends array<array<bigint>>, parts array<string>").collect()}  # a few numbers a range
     if [probed[n].digest for _, n, _, _ in cuts] != probed[-1].parts:

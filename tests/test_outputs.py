@@ -115,6 +115,14 @@ def test_array_by_splits(spark, tmp_path, size):
     assert {r.digest for r in got} == {hashlib.sha256(data).hexdigest()}
 
 
+def test_ranges_are_bounded(spark, tmp_path):
+    """A long file has longer ranges, not more of them, and they still cover it."""
+    (tmp_path / "a.json").write_bytes(b"[" + b'{"id": 1},' * 2000 + b'{"id": 2}]')
+    cuts = jsonarray.ranges(spark, str(tmp_path / "a.json"), 2)
+    assert len(cuts) <= 1024 and sum(n for _, _, _, n in cuts) == 20_011
+    assert [c[2] for c in cuts[1:]] == [c[2] + c[3] for c in cuts[:-1]]
+
+
 @pytest.mark.parametrize("text", ["", "[]", "[1, 2]", '{"a": 1}', '[{"a": 1}', '[{"a": "]'])
 def test_arrays_that_are_none(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
