@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,22 +53,37 @@ def content_hash(fields: list[Column], parameters: Column, raw_comment: Column)
     return F.sha2(F.concat(*map(framed, fields), framed_length(F.size(parameters)), each, framed(raw_comment)), 256)
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c), where c is evaluated once however often `of` names it."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
 def slug(c: Column | str) -> Column:
     s = F.btrim(F.regexp_replace(_c(c), "[^0-9A-Za-z]+", "_"), F.lit("_"))
-    return F.when(s == "", F.lit("global")).otherwise(s)
+    return once(s, lambda s: F.when(s == "", F.lit("global")).otherwise(s))
 
 
 def short_digest(c: Column | str) -> Column:
     return F.left(hash_text(c), F.lit(8))
 
 
+#: Characters of a text whose slug is tried first, since the slug of a text's start is the start of its slug.
+START = 1024
+
+
+def fitted(c: Column | str, room: int) -> Column:
+    """A slug of at most `room` characters: a longer one ends in the digest of the whole name."""
+    c = _c(c)
+    enough = max(room, len("global"))
+    s = once(slug(F.substring(c, 1, START)), lambda p: F.when((F.length(p) > enough) | (F.length(c) <= START), p).otherwise(slug(c)))
+    cut = lambda s: F.concat(F.regexp_replace(F.substring(s, 1, room - 9), "_+$", ""), F.lit("_"), short_digest(c))
+    return once(s, lambda s: F.when(F.length(s) > room, cut(s)).otherwise(s))
+
+
 def stem(c: Column | str, tag: str = "") -> Column:
     """A slug that fits a file name: a long one ends in the digest of the whole name; the tag is kept."""
     suffix = f"_{tag}" if tag else ""
-    room = MAX_STEM - len(suffix)
-    s = slug(c)
-    cut = F.concat(F.regexp_replace(F.substring(s, 1, room - 9), "_+$", ""), F.lit("_"), short_digest(c))
-    return F.concat(F.when(F.length(s) > room, cut).otherwise(s), F.lit(suffix))
+    return F.concat(fitted(c, MAX_STEM - len(suffix)), F.lit(suffix))
 
 
 def spec_suffix(display: Column | str, spelling: Column | str) -> Column:

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from irloom.functions import comment, rewrite, scalar
@@ -39,3 +42,15 @@ def test_fields_and_structs_are_inverse(spark):
     fields = spark.createDataFrame(rows, "symbol_usr string, name string, arg string, value string, ordinal int")
     back = comment.fields_from_structs(comment.structs_from_fields(fields)).orderBy("ordinal").collect()
     assert [tuple(r) for r in back] == rows
+
+
+def test_slugs_and_stems(spark):
+    """Long texts by their start alone, the same as by the whole; each expression names its pattern as often as it has to."""
+    texts = ["", "--", "a b", "-a-" * 40, "x" * 96, "y" * 97, "." * 1024 + "b" * 200, "." * 1023 + "b", "ab " * 900, "c" * 86 + "." * 1500 + "d" * 40, None]
+    slugs = [None if t is None else re.sub("[^0-9A-Za-z]+", "_", t).strip("_") or "global" for t in texts]
+    cut = lambda t, s, room: s if s is None or len(s) <= room else s[: room - 9].rstrip("_") + "_" + hashlib.sha256(t.encode()).hexdigest()[:8]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = rows.select("id", scalar.slug("t").alias("slug"), scalar.stem("t").alias("stem"), scalar.stem("t", "tag").alias("tagged"))
+    assert [(r.slug, r.stem, r.tagged) for r in found.orderBy("id").collect()] == [(s, cut(t, s, 96), None if s is None else cut(t, s, 92) + "_tag") for t, s in zip(texts, slugs, strict=True)]
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("[^0-9A-Za-z]+")
+    assert plan(scalar.slug("t")) == 1 and plan(scalar.stem("t")) == 2
