@@ -188,13 +188,10 @@ def with_stems(pages: DataFrame, reserved: list[str] | None = None) -> DataFrame
     A stem that more than one name asks for gets each name's digest; pages that still agree, those of one name, get
     underscores in the order of the walk, and so do those that meet a reserved stem.
     """
-    bare = s.stem("name")
-    claims = pages.groupBy(F.lower(bare).alias("__key")).agg((F.count_distinct("name") > 1).alias("contested"))
-    digest = s.short_digest("name")
-    room = s.MAX_STEM - 9
-    slug = s.slug("name")
-    short = F.when(F.length(slug) > room, F.concat(F.regexp_replace(F.substring(slug, 1, room - 9), "_+$", ""), F.lit("_"), digest)).otherwise(slug)
-    told = pages.join(claims, F.lower(bare) == F.col("__key")).withColumn("__stem", F.when(F.col("contested"), F.concat(short, F.lit("_"), digest)).otherwise(bare)).drop("__key", "contested")
+    asked = cut(pages.withColumn("__bare", s.stem("name")))
+    claims = asked.groupBy(F.lower("__bare").alias("__key")).agg((F.min("name") != F.max("name")).alias("contested"))
+    tagged = F.concat(s.fitted("name", s.MAX_STEM - 9), F.lit("_"), s.short_digest("name"))
+    told = asked.join(claims, F.lower("__bare") == F.col("__key")).withColumn("__stem", F.when(F.col("contested"), tagged).otherwise(F.col("__bare"))).drop("__key", "__bare", "contested")
     ranked = numbered(told.withColumn("__low", F.lower("__stem")), ["__low"], ["place", "page"], "__rank")
     tail = F.col("__rank").cast("int")
     for r in sorted({r.casefold() for r in reserved or []}, key=len):  # each reserved stem that is met shifts those behind it
