@@ -25,6 +25,7 @@ def fixpoint_up(start: DataFrame, parents: DataFrame, most_rounds: int = 10_000)
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """root, node and depth of everything reachable by edges (src, dst) from each root (column node), itself at depth 0."""
+    edges = cut(edges.select("src", "dst"))  # read in each round
     reached = Grown(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
     for depth in range(1, most_rounds):
         step = reached.last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from irloom.operators import fingerprints as fp
-from irloom.operators import plan, render, tree
+from irloom.operators import graph, plan, render, tree
 
 SYMBOLS = "usr string, parent_usr string, kind int, spelling string, qualified_name string, display_name string, signature string, is_documented int, file_id long, line long, content_hash string"
 
@@ -211,6 +211,19 @@ def test_lists_in_pieces(spark, monkeypatch):
     assert got == {"u": "Lead i0, i1, i2, i3, i4, i5, i6, i7.\n\n", "v": "Lead x.\n\n"}
 
 
+def test_closure_reads_its_edges_once(spark):
+    """A chain of ten rounds, whose edges are made once and not once a round."""
+    made = spark.sparkContext.accumulator(0)
+
+    def step(n):
+        made.add(1)
+        return n + 1
+
+    edges = spark.range(10).select(F.col("id").alias("src"), F.udf(step, "long")("id").alias("dst"))
+    found = graph.closure(edges, spark.range(1).select(F.col("id").alias("node")))
+    assert sorted((r.node, r.depth) for r in found.collect()) == [(n, n) for n in range(11)] and made.value == 10
+
+
 def test_long_lists_stay_whole(spark):
     """A record with a few thousand related functions has one text, as its page shows it."""
     n = 2001
