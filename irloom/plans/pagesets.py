@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from irloom.functions import scalar as s
 from irloom.functions.comment import structs_from_fields
 from irloom.operators import fingerprints as fp, pages as pg, plan, query as q, render, templates
+from irloom.operators.state import cut
 from irloom.operators.visibility import visible
 from irloom.plans.lookups import DOCUMENTED_BELOW
 from irloom.plans.pages import _FIELDS_SQL, FIELDS, SLUG, _block_sql, _case, _stem
@@ -68,8 +69,13 @@ stemmed AS (SELECT *, s || repeat('_', CAST(row_number() OVER (PARTITION BY lowe
 
 
 def _namespace_pages(v):
-    pages, seeds, entries = plan.namespace_plan(_with_hollow(v))
-    return plan.with_stems(pages.unionByName(plan.group_plan(v.groups)), RESERVED), seeds, entries
+    return _stemmed(v, _with_hollow(v))
+
+
+def _stemmed(v, rows):
+    pages, seeds, entries = plan.namespace_plan(rows)
+    # Read again for what links and what lists the pages.
+    return cut(plan.with_stems(pages.unionByName(plan.group_plan(v.groups)), RESERVED)), cut(seeds), entries
 
 
 @query("m10_page_plan", PLAN + _stems_sql("planned").strip() + " SELECT page, scope, part, name, label, title, top, stem, CAST(row_number() OVER (ORDER BY walk, page) - 1 AS BIGINT) AS position FROM stemmed")
@@ -282,7 +288,8 @@ def _subtrees_sql(parent: str, most: int = 4) -> str:
 def _digests(v, rows):
     """Subtree digests of the symbols; their content hash is one of key, name and flag here."""
     sides = _sides(v)
-    hashed = rows.withColumn("content_hash", F.sha2(F.concat_ws("/", "usr", "qualified_name", F.col("is_documented").cast("string")), 256))
+    # Read for each kind of token and for the subtrees, so it is a table.
+    hashed = cut(rows.withColumn("content_hash", F.sha2(F.concat_ws("/", "usr", "qualified_name", F.col("is_documented").cast("string")), 256)))
     own = fp.own_digests(hashed, sides["references"].withColumn("access", F.lit(0)), sides["related"], sides["enumerators"].withColumns({"value": F.col("idx"), "value_is_signed": F.lit(1)}))
     return hashed, fp.subtree_digests(hashed, own)
 
@@ -296,9 +303,8 @@ gm AS (SELECT 'group:' || group_id AS page, ordinal, usr, 'GM' || {_US} || usr |
 SELECT s.page, sha256(coalesce(a.digest, '') || chr(30) || coalesce(b.digest, '') || chr(30) || coalesce(c.digest, '') || chr(30) || coalesce(d.digest, '') || chr(30) || coalesce(e.digest, '')) AS fingerprint FROM stemmed s LEFT JOIN seed_d a USING (page) LEFT JOIN toc_d b USING (page) LEFT JOIN grp c USING (page) LEFT JOIN gs_d d USING (page) LEFT JOIN gm_d e USING (page)""")
 def _(v):
     """Every page of the namespace hierarchy and of the groups: seeds with what is below, entries of hubs, members of groups."""
-    rows = _with_hollow(v)
-    hashed, subtrees = _digests(v, rows)
-    pages, seeds, entries = _namespace_pages(v)
+    hashed, subtrees = _digests(v, _with_hollow(v))
+    pages, seeds, entries = _stemmed(v, hashed)
     contents = plan.hub_entries(entries, pages).select(F.concat(F.lit("hub\x1f"), "scope").alias("page"), "position", "stem")
     members = q.group_symbols(v.group_members, hashed).select("group_id", "ordinal", "usr", "content_hash")
     return fp.page_fingerprints(pages, seeds, subtrees, contents, groups=v.groups, members=members)
