@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from irloom.functions import rewrite, scalar as s
 from irloom.operators import graph
+from irloom.operators.state import cut
 from irloom.sources.schema import CONTAINER_KINDS, FUNCTION_KINDS, KIND, RECORD_KINDS
 
 
@@ -21,15 +22,32 @@ def _head(signature: str | Column) -> Column:
     return F.when(repaired != "", F.concat(repaired, F.lit(" "))).otherwise(F.lit(""))
 
 
-def member_qualifiers(symbols: DataFrame) -> DataFrame:
-    """usr, heads (of all templated scopes around it, outermost first) and qualified (its name behind theirs, with their arguments)."""
-    scopes = symbols.where(F.col("kind").isin(CONTAINER_KINDS))
+def qualified_members(symbols: DataFrame) -> DataFrame:
+    """The symbols with heads (of all templated scopes around each, outermost first) and qualified (its name behind theirs, with their arguments).
+
+    Only symbols that are parents are walked up from; the others take over what is around their parent, and it.
+    """
+    parent = F.coalesce("parent_usr", F.lit(""))
+    inner = symbols.join(symbols.select(parent.alias("usr")).where("usr <> ''").distinct(), "usr", "left_semi")
     record = F.col("kind").isin(RECORD_KINDS)
     part = F.concat("spelling", F.when(record, s.spec_suffix("display_name", "spelling")).otherwise(F.lit("")))
-    own = scopes.select(F.col("usr").alias("ancestor"), part.alias("part"), F.when(record, _head("signature")).otherwise(F.lit("")).alias("head"))
-    around = graph.ancestors(symbols).join(own, "ancestor").groupBy("usr").agg(F.sort_array(F.collect_list(F.struct("distance", "part", "head")), asc=False).alias("around"))
-    of = lambda c: F.coalesce(F.col("around")[c], F.array().cast("array<string>"))
-    return symbols.select("usr", "spelling").join(around, "usr", "left").select("usr", F.array_join(of("head"), "").alias("heads"), F.concat_ws("::", of("part"), "spelling").alias("qualified"))
+    head = F.when(record, _head("signature")).otherwise(F.lit(""))
+    inner = cut(inner.select("usr", "parent_usr", F.col("kind").isin(CONTAINER_KINDS).alias("scope"), part.alias("part"), head.alias("head")))
+    own = inner.where("scope").select(F.col("usr").alias("ancestor"), "part", "head")
+    around = graph.ancestors(inner).join(own, "ancestor").groupBy("usr").agg(F.sort_array(F.collect_list(F.struct("distance", "part", "head", "ancestor")), asc=False).alias("around"))
+    none = F.array().cast("array<struct<distance:int,part:string,head:string,ancestor:string>>")
+    itself = F.array(F.struct(F.lit(0).alias("distance"), "part", "head", F.col("usr").alias("ancestor")))
+    scopes = inner.join(around, "usr", "left").select(F.lit(True).alias("__below"), F.col("usr").alias("__key"), F.concat(F.coalesce("around", none), F.when(F.col("scope"), itself).otherwise(none)).alias("__around"))
+    # a symbol without a parent has a key of its own, so that they are not all one partition's
+    rows = symbols.withColumns({"__below": parent != "", "__key": F.when(parent != "", parent).otherwise(F.col("usr"))})
+    rows = rows.join(scopes, ["__below", "__key"], "left").withColumn("__around", F.coalesce(F.filter("__around", lambda x: x["ancestor"] != F.col("usr")), none))
+    names = {"heads": F.array_join(F.col("__around")["head"], ""), "qualified": F.concat_ws("::", F.col("__around")["part"], "spelling")}
+    return rows.withColumns(names).drop("__below", "__key", "__around")
+
+
+def member_qualifiers(symbols: DataFrame) -> DataFrame:
+    """usr, heads and qualified of all symbols."""
+    return qualified_members(symbols).select("usr", "heads", "qualified")
 
 
 def _called(signature: Column, spelling: Column, qualified: Column) -> Column:
@@ -42,7 +60,7 @@ def _called(signature: Column, spelling: Column, qualified: Column) -> Column:
 
 def signatures(symbols: DataFrame, bases: Column | None = None) -> DataFrame:
     """usr and the declaration of every symbol by its kind; `bases` is the clause behind a record's name."""
-    rows = symbols.join(member_qualifiers(symbols), "usr")
+    rows = qualified_members(symbols)
     is_kind = lambda *names: F.col("kind").isin([KIND[n] for n in names])
     head = _head("signature")
     bare = F.when(_or_empty("signature") == "", F.concat("spelling", F.lit("()"))).otherwise(F.col("signature"))
@@ -91,7 +109,7 @@ def recovered(definitions: DataFrame, records: DataFrame) -> DataFrame:
     rows = definitions.withColumn("s", F.pandas_udf(_scopes, SCOPE)("signature", "spelling"))
     around = F.regexp_replace("qualified_name", "::[^:]*$", "")
     rows = rows.withColumn("expected", F.when(last(F.col("s.base")) == last(around), around))
-    own = records.where(F.col("kind").isin(RECORD_KINDS)).join(member_qualifiers(records), "usr")
+    own = qualified_members(records).where(F.col("kind").isin(RECORD_KINDS))
     own = own.groupBy(F.col("qualified_name").alias("expected")).agg(F.min_by(F.struct(F.concat("heads", _head("signature")).alias("heads"), "qualified"), "usr").alias("r"))
     joined = rows.join(own, "expected", "left")
     written = F.length(F.concat("s.base", "s.args"))
