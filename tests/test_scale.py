@@ -1,8 +1,12 @@
 """Steps whose work or memory must not grow with more than their input."""
 
+from types import SimpleNamespace
+
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from irloom.functions import rewrite
+from irloom.functions import grammar, rewrite
 from irloom.operators import graph, signatures
 
 
@@ -29,3 +33,31 @@ def test_equal_texts_of_a_batch_are_rewritten_once():
     calls = []
     out = rewrite.text_udf(lambda x: calls.append(x) or x.upper()).func(pd.Series(["a", None, "b", "a"] * 3, dtype=object))
     assert list(out) == ["A", None, "B", "A"] * 3 and calls == ["a", "b"]
+
+
+def test_comments_are_structs_a_few_at_a_time(spark, monkeypatch):
+    made = []
+
+    def rows():
+        texts = [None, "", "x" * 600_000, *["/// @brief A b.\n/// @param[in] c d\n/// @ingroup e"] * 20_000]
+        yield pa.array(texts)
+
+    def handed_on():
+        for out in grammar.parse_column("raw", lambda raw: made.append(raw) or grammar.parse(raw)).run(rows()):
+            sizes.append((len(out), len(made)))
+            yield from out.to_pylist()
+
+    sizes = []
+    monkeypatch.setattr(grammar.F, "arrow_udf", lambda run, kind: lambda *columns: SimpleNamespace(run=run))
+    found = list(handed_on())
+    assert [n for n, _ in sizes][:3] == [2, 1, grammar.SLICE_ROWS] and max(n for n, _ in sizes) == grammar.SLICE_ROWS
+    assert sum(n for n, _ in sizes) == len(found) == 20_003 and sizes[0][1] == 2
+    assert found[0] == found[1] and found[2]["brief"] == "x" * 600_000
+    assert found[-1]["param"] == [{"name": "c", "description": "d", "direction": "in"}] and found[-1]["custom"] == [("ingroup", ["e"])]
+
+
+def test_parsers_by_row_over_several_runs(spark):
+    raw = spark.range(3000).selectExpr("id", "concat('/// a ', id, '  b') AS raw", "CASE id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'none' END AS which").repartition(1)
+    which = grammar.parse_each(F.col("raw"), F.col("which"), {"plain": lambda x: grammar.plain(x) | {"custom": {"k": ["v"]}}})
+    for r in raw.select("id", which.alias("c")).collect():
+        assert r.c.brief == f"a {r.id} b" and r.c.custom == ({"k": ["v"]} if r.id % 3 == 0 else {}) and r.c.param == []
