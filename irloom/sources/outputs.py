@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,34 +33,37 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def recorded(spark: SparkSession, path: str) -> DataFrame:
     """name and digest of the pages that the manifest has."""
     if not exists(spark, f"{path}/.state/CURRENT"):
-        return spark.createDataFrame([], RECORD)
+        return spark.createDataFrame(pa.table({n: pa.array([], pa.string()) for n in ("name", "digest")}), RECORD)  # of an empty list, tasks would start Python
     version = spark.read.text(f"{path}/.state/CURRENT").first().value
     return spark.read.schema(RECORD).parquet(f"{path}/.state/{version}/manifest")
 
 
-def _apply(spark: SparkSession, path: str, run: str) -> int:
-    """Puts and removes the files of a staged run; doing it again gives the same."""
+def _putter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts the files of batches (name, text) and removes those whose text is null; texts go out as the bytes they are, none is unpacked."""
 
     def put(batches):
         fs, base = file_system(path)
         fs.create_dir(base, recursive=True)
         for batch in batches:
-            done = 0
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = f"{base}/{name}"
-                if text is None:
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                target = f"{base}/{name.as_py()}"
+                if not text.is_valid:
                     if fs.get_file_info(target).type == pafs.FileType.File:
                         fs.delete_file(target)
                 else:
-                    beside = f"{base}/.{name}.{uuid.uuid4().hex}"
+                    beside = f"{base}/.{name.as_py()}.{uuid.uuid4().hex}"
                     with fs.open_output_stream(beside, compression=None) as out:
-                        out.write(text.encode())
+                        out.write(text.as_buffer())
                     fs.move(beside, target)
-                done += 1
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return put
 
+
+def _apply(spark: SparkSession, path: str, run: str) -> int:
+    """Puts and removes the files of a staged run; doing it again gives the same."""
     staged = spark.read.schema("name string, text string").parquet(f"{path}/.state/{run}/changes")
-    return staged.select("name", "text").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return staged.select("name", "text").mapInArrow(_putter(path), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _finish(spark: SparkSession, path: str, run: str, after: Callable[[str], None]) -> int:

@@ -10,6 +10,7 @@ import os
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,8 +151,8 @@ def resolve_inputs(spark: SparkSession, patterns: list[str]) -> DataFrame:
         for f in named:
             if f.isFile():
                 found.setdefault(f.getPath().toString(), (pos, f.getLen()))
-    rows = [(pos, path, length) for path, (pos, length) in found.items()]
-    return spark.createDataFrame(rows, "pos int, path string, length long")
+    rows = pa.table({"pos": pa.array((pos for pos, _ in found.values()), pa.int32()), "path": pa.array(found, pa.string()), "length": pa.array((n for _, n in found.values()), pa.int64())})
+    return spark.createDataFrame(rows, "pos int, path string, length long")  # of rows as tuples, tasks would start Python
 
 
 COMMANDS = "array<struct<directory:string,file:string,command:string,arguments:array<string>>>"

@@ -1,5 +1,6 @@
 """Steps whose work or memory must not grow with more than their input."""
 
+import tracemalloc
 from types import SimpleNamespace
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from irloom.functions import grammar, rewrite
 from irloom.operators import graph, signatures
+from irloom.sources import outputs, snapshot
 
 
 def _symbols(spark, rows):
@@ -61,3 +63,25 @@ def test_parsers_by_row_over_several_runs(spark):
     which = grammar.parse_each(F.col("raw"), F.col("which"), {"plain": lambda x: grammar.plain(x) | {"custom": {"k": ["v"]}}})
     for r in raw.select("id", which.alias("c")).collect():
         assert r.c.brief == f"a {r.id} b" and r.c.custom == ({"k": ["v"]} if r.id % 3 == 0 else {}) and r.c.param == []
+
+
+def test_files_are_put_without_unpacking_a_batch(tmp_path):
+    texts = [f"{n} \u00e9\U0001f600" + "x" * 100_000 for n in range(200)] + ["", None]
+    (tmp_path / "f201").write_text("to go")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{n}" for n in range(202)]), pa.array(texts)], names=["name", "text"])
+    put = outputs._putter(f"file://{tmp_path}")
+    tracemalloc.start()
+    done = [b.column(0).to_pylist() for b in put(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == [[202]] and peak < 4_000_000
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"f{n}": x for n, x in enumerate(texts) if x is not None}
+
+
+def test_found_inputs_are_no_work_of_python_tasks(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / n).write_text(n * 3)
+    found = snapshot.resolve_inputs(spark, [f"{tmp_path}/b", f"{tmp_path}/*"])
+    assert [(r.pos, r.path[-1], r.length) for r in found.orderBy("pos").collect()] == [(0, "b", 3), (1, "a", 3)]
+    for df in (found, outputs.recorded(spark, f"{tmp_path}/none")):
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
