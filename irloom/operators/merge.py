@@ -87,10 +87,14 @@ def replaced_files(asked: DataFrame, anchors: DataFrame, files: DataFrame) -> Da
 
 
 def delete_files(tables: dict[str, DataFrame], ids: DataFrame, children: dict[str, str]) -> dict[str, DataFrame]:
-    """Tables without the symbols of files and, by `children` (table to its symbol column), what hangs on them."""
-    gone = tables["symbols"].join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("usr")
+    """Tables without the symbols of files and, by `children` (table to its symbol column), what hangs on them.
+
+    Symbols go by their file, a short key of few values, so that their rows are not sent by usr.
+    """
+    files = ids.select(F.col("id").alias("file_id"))
+    gone = tables["symbols"].join(files, "file_id", "left_semi").select("usr")
     out = dict(tables)
-    out["symbols"] = tables["symbols"].join(gone, "usr", "left_anti")
+    out["symbols"] = tables["symbols"].join(files, "file_id", "left_anti")
     for name, column in children.items():
         out[name] = tables[name].join(gone.select(F.col("usr").alias(column)), column, "left_anti")
     return out

@@ -97,7 +97,7 @@ def write(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
         df = spark.createDataFrame([], schema) if df is None else df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
         if name == "meta":
             df = df.where("key <> 'schema_version'").union(spark.createDataFrame([("schema_version", SCHEMA_VERSION)], schema))
-        df.write.parquet(f"{path}/{version}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{path}/{version}/{name}")
     write_small(spark, f"{path}/CURRENT", version.encode())
     return version
 

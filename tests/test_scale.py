@@ -5,10 +5,11 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from irloom.functions import grammar, rewrite
-from irloom.operators import graph, signatures
+from irloom.operators import graph, merge, signatures
 from irloom.sources import outputs, snapshot
 
 
@@ -85,3 +86,14 @@ def test_found_inputs_are_no_work_of_python_tasks(spark, tmp_path):
     assert [(r.pos, r.path[-1], r.length) for r in found.orderBy("pos").collect()] == [(0, "b", 3), (1, "a", 3)]
     for df in (found, outputs.recorded(spark, f"{tmp_path}/none")):
         assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_symbols_of_deleted_files_go_by_their_file(spark, tmp_path):
+    symbols = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 1)], "usr string, file_id long")
+    references = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a")], "from_usr string, to_usr string")
+    kept = merge.delete_files({"symbols": symbols, "references": references}, spark.createDataFrame([(1,)], "id long"), {"references": "from_usr"})
+    assert sorted(r.usr for r in kept["symbols"].collect()) == ["b", "c"] and sorted(r.from_usr for r in kept["references"].collect()) == ["b", "x"]
+    assert "hashpartitioning(usr" not in kept["symbols"]._jdf.queryExecution().executedPlan().toString()
+    version = snapshot.write(spark, str(tmp_path), {"symbols": symbols})
+    part = next((tmp_path / version / "symbols").glob("*.parquet"))
+    assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "ZSTD"
