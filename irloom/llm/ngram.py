@@ -11,6 +11,9 @@ block in the order of its request. The block then looks up every n-gram of every
 position and sums per document. A frequent n-gram is one entry a block, so no key is hot,
 and no count reaches the driver.
 
+A task holds a few whole numbers a word of one block: n-grams are hashed, sorted and looked
+up a slice of places or a range of hashes at a time, and only two orders' counts are kept.
+
 n-grams are known by a hash so wide that two of all those in the corpus share one with a
 probability of 2**-SPARE for each.
 
@@ -21,6 +24,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +41,8 @@ BLOCK_BYTES = 16 << 20
 #: n-grams of a bucket, about.
 BUCKET_NGRAMS = 3_000_000
 SPARE = 24
+#: Places that are worked on at a time, n-grams of a bucket that are added up at a time, and ranges of hashes that a block looks up one after another.
+SLICE, ADDED, RANGES = 1 << 18, 1 << 19, 16
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -65,17 +72,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def hashes(words: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The hash of the n-gram that ends at each of the given places."""
+    out = np.empty(len(at), np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(len(at), n, np.uint64) * FACTORS[-1]
-        for i in range(n):
-            h += words[at - i] * FACTORS[i]
-        return mixed(h) >> np.uint64(64 - bits)
+        for first in range(0, len(at), SLICE):
+            some = at[first : first + SLICE]
+            h = np.full(len(some), n, np.uint64) * FACTORS[-1]
+            for i in range(n):
+                h += words[some - i] * FACTORS[i]
+            out[first : first + SLICE] = mixed(h) >> np.uint64(64 - bits)
+    return out
 
 
 def places(lengths: np.ndarray, n: int) -> np.ndarray:
     """Positions, over all texts one after another, where an n-gram of a text ends."""
-    starts = np.cumsum(lengths) - lengths
-    return np.flatnonzero(np.arange(int(lengths.sum())) - np.repeat(starts, lengths) >= n - 1)
+    starts, ends = np.cumsum(lengths) - lengths, np.ones(int(lengths.sum()), bool)
+    for k in range(n - 1):
+        ends[starts[lengths > k] + k] = False
+    return np.flatnonzero(ends).astype(np.int32)
 
 
 def block_table(docs: DataFrame) -> DataFrame:
@@ -107,6 +120,80 @@ def cuts(sorted_hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
 
 
+def runs(buckets: int, most: int) -> list[range]:
+    """All buckets as ranges of at most so many."""
+    return [range(first, min(buckets, first + most)) for first in range(0, buckets, most)]
+
+
+def requests_of(sizes: np.ndarray, words: np.ndarray, n: int, bits: int, buckets: int) -> Iterator[tuple[range, list[bytes], list[bytes]]]:
+    """Some buckets at a time: the distinct n-grams that a block has in each, as steps from hash to hash, and how often."""
+    h = hashes(words, places(sizes, n), n, bits)
+    h.sort()
+    at = cuts(h, buckets, bits)
+    for some in runs(buckets, min(256, -(-buckets // RANGES))):
+        start, end = at[some[0]], at[some[-1] + 1]
+        new = np.flatnonzero(np.diff(h[start:end]))
+        new = np.concatenate(([0], new + 1)) if end > start else new
+        own, times = h[start:end][new], np.diff(new, append=end - start).astype("<u4")
+        inner = np.searchsorted(new, at[some[0] : some[-1] + 2] - start)
+        parts = [slice(inner[k], inner[k + 1]) for k in range(len(some))]
+        yield some, [packed(np.diff(own[x], prepend=np.uint64(0))) for x in parts], [packed(times[x]) for x in parts]
+
+
+def added(asked: list[np.ndarray], given: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each list of ascending hashes of one bucket, every hash's number over all lists."""
+    got = [np.zeros(len(a), "<u8") for a in asked]
+    full = [i for i, a in enumerate(asked) if len(a)]
+    if not full:
+        return got
+    low, high = min(int(asked[i][0]) for i in full), max(int(asked[i][-1]) for i in full)
+    ranges = -(-sum(map(len, asked)) // ADDED)
+    edges = np.array([low + (high - low) * k // ranges for k in range(1, ranges)], np.uint64)
+    at = {i: [0, *np.searchsorted(asked[i], edges).tolist(), len(asked[i])] for i in full}
+    for k in range(ranges):
+        own = np.concatenate([asked[i][at[i][k] : at[i][k + 1]] for i in full])
+        which = np.unique(own, return_inverse=True)[1]
+        sums = np.bincount(which, np.concatenate([given[i][at[i][k] : at[i][k + 1]] for i in full])).astype("<u8")  # sums below 2**53 are exact
+        done = 0
+        for i in full:
+            start, end = at[i][k], at[i][k + 1]
+            got[i][start:end] = sums[which[done : done + end - start]]
+            done += end - start
+    return got
+
+
+def counts_of(sizes: np.ndarray, words: np.ndarray, n: int, bits: int, replies: list[bytes], total: int) -> np.ndarray:
+    """The count of the n-gram that ends at each place, 0 where none does, from the replies of all buckets in turn; none is above the total."""
+    buckets, at = len(replies), places(sizes, n)
+    out, h = np.zeros(int(sizes.sum()), "<u4" if total < 1 << 32 else "<u8"), hashes(words, at, n, bits)
+    for some in runs(buckets, max(1, -(-buckets // RANGES))):
+        low, high = ((b << bits) // buckets for b in (some[0], some[-1] + 1))
+        here = np.flatnonzero((h >= np.uint64(low)) & (h < np.uint64(high)))
+        sums = np.concatenate([unpacked(replies[b], "<u8") for b in some])
+        out[at[here]] = sums[np.unique(h[here], return_inverse=True)[1]]
+    return out
+
+
+def logs_of(sizes: np.ndarray, words: np.ndarray, bits: int, replies: list[list[bytes]], total: int, alpha: float, min_count: int) -> np.ndarray:
+    """The log of every place's score; replies: of each order, those of all buckets in turn."""
+    log = np.zeros(int(sizes.sum()))
+    longest = np.zeros(len(log), np.int8)
+    for n in range(1, len(replies) + 1):
+        longest[places(sizes, n)] = n
+    shorter = None
+    for n, of_order in enumerate(replies, 1):  # what a longer n-gram gives replaces what a shorter one gave
+        counts = counts_of(sizes, words, n, bits, of_order, total)
+        for first in range(0, len(log), SLICE):
+            use = longest[first : first + SLICE] >= n
+            if n > 1:
+                use &= counts[first : first + SLICE] >= min_count
+            at = first + np.flatnonzero(use)
+            over = shorter[at - 1] if n > 1 else float(total)
+            log[at] = np.log(counts[at] / over) + np.log(alpha) * (longest[at] - n)
+        shorter = counts
+    return log
+
+
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words and log_score of every row of `docs`."""
     spark = docs.sparkSession
@@ -121,46 +208,24 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             for row in batch.to_pylist():
                 sizes, words = of_block(row["lengths"], row["words"], row["known"])
                 for n in range(1, order + 1):  # one order at a time bounds memory
-                    own, times = np.unique(hashes(words, places(sizes, n), n, bits), return_counts=True)
-                    at = cuts(own, buckets, bits)
-                    for first in range(0, buckets, 256):
-                        some = range(first, min(buckets, first + 256))
-                        steps = [packed(np.diff(own[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some]
-                        counts = [packed(times[at[b] : at[b + 1]].astype("<u4")) for b in some]
+                    for some, steps, counts in requests_of(sizes, words, n, bits, buckets):
                         yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([n] * len(some), pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "block", "n", "steps", "counts"])
 
     def answer(key, batches):
         table = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
         asked = [np.cumsum(unpacked(s.as_py(), "<u8"), dtype=np.uint64) for s in table.column("steps")]
-        given = np.concatenate([unpacked(c.as_py(), "<u4") for c in table.column("counts")])
-        _, which = np.unique(np.concatenate(asked), return_inverse=True)
-        got = np.bincount(which, given)[which].astype("<u8") if len(which) else np.zeros(0, "<u8")  # sums below 2**53 are exact
-        ends = np.cumsum([len(a) for a in asked])
-        replies = [packed(got[e - len(a) : e]) for a, e in zip(asked, ends, strict=True)]
+        given = [unpacked(c.as_py(), "<u4") for c in table.column("counts")]
+        replies = [packed(got) for got in added(asked, given)]
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "n": table.column("n"), "sums": pa.array(replies, pa.binary())})
 
     def settle(block, answers):
         ids, sizes_out, logs = [], [], []
         for row in block.to_pylist():
             sizes, words = of_block(row["lengths"], row["words"], row["known"])
-            replies = sorted(zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("sums").to_pylist(), strict=True))
-            log = np.zeros(int(sizes.sum()))
-            done = np.zeros(len(log), bool)
-            counts, longest = [], np.zeros(len(log), np.int8)  # of the n-gram of each order that ends at a place; the longest order there
-            for n in range(1, order + 1):
-                c, at = np.zeros(len(log)), places(sizes, n)
-                sums = np.concatenate([np.zeros(0, "<u8"), *(unpacked(r, "<u8") for m, _, r in replies if m == n)])
-                c[at] = sums[np.unique(hashes(words, at, n, bits), return_inverse=True)[1]]
-                longest[at] = n
-                counts.append(c)
-            for n in range(order, 0, -1):
-                use = ~done & (longest >= n)
-                if n > 1:
-                    use &= counts[n - 1] >= min_count
-                at = np.flatnonzero(use)
-                over = counts[n - 2][at - 1] if n > 1 else float(total)
-                log[at] = np.log(counts[n - 1][at] / over) + np.log(alpha) * (longest[at] - n)
-                done[at] = True
+            replies = [[b""] * buckets for _ in range(order)]
+            for n, b, sums in zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("sums").to_pylist(), strict=True):
+                replies[n - 1][b] = sums
+            log = logs_of(sizes, words, bits, replies, total, alpha, min_count)
             ends = np.cumsum(sizes)
             ids += row["doc_ids"]
             sizes_out += sizes.tolist()

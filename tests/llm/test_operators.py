@@ -4,10 +4,14 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +312,89 @@ def test_language_model(spark, odd, empty, monkeypatch):
     assert ngram.scores(empty).count() == 0
 
 
+class Here:
+    """Stands in for a DataFrame: runs Arrow functions in this process, and notes the most that each held, by its name."""
+
+    def __init__(self, table, peaks, key=None, other=None):
+        self.table, self.peaks, self.key, self.other = table, peaks, key, other
+
+    def run(self, f, *given):
+        tracemalloc.start()
+        try:
+            return [b for out in [f(*given)] for b in (out.to_batches() if isinstance(out, pa.Table) else out)]
+        finally:
+            self.peaks[f.__name__] = max(self.peaks.get(f.__name__, 0), tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    def agg(self, _):
+        return self
+
+    def first(self):
+        return (sum(self.table.column("n_words").to_pylist()),)
+
+    def drop(self, *names):
+        return Here(self.table.drop_columns(list(names)), self.peaks)
+
+    def groupBy(self, key):
+        return Here(self.table, self.peaks, key)
+
+    def cogroup(self, other):
+        return Here(self.table, self.peaks, self.key, other)
+
+    def mapInArrow(self, f, _):
+        return Here(pa.Table.from_batches(self.run(f, self.table.to_batches())), self.peaks)
+
+    def applyInArrow(self, f, _):
+        of = lambda df, k: df.table.filter(pc.equal(df.table.column(df.key), k))
+        keys = self.table.column(self.key).unique()
+        return Here(pa.Table.from_batches([b for k in keys for b in self.run(f, of(self, k) if self.other else k, of(self.other or self, k))]), self.peaks)
+
+
+def scores_here(docs, monkeypatch):
+    """doc_id and log_score in order, the most bytes that each function of the language model held, and the blocks."""
+    peaks, blocks = {}, ngram.block_table(docs).toArrow()
+    monkeypatch.setattr(ngram, "block_table", lambda _: Here(blocks, peaks))
+    got = ngram.scores(docs).table
+    return sorted(zip(got.column("doc_id").to_pylist(), got.column("log_score").to_pylist(), strict=True)), peaks, blocks
+
+
+def test_language_model_by_slices(spark, odd, monkeypatch):
+    for name, value in {"BLOCK_BYTES": 2000, "BUCKET_NGRAMS": 50, "SLICE": 7, "ADDED": 16, "RANGES": 5}.items():
+        monkeypatch.setattr(ngram, name, value)
+    got, _, blocks = scores_here(documents(spark, odd), monkeypatch)
+    assert len(blocks) > 2 and sum(blocks.column("n_words").to_pylist()) > 50 * ngram.RANGES
+    want = sorted((i, s) for (i, _, _), s in zip(odd, brute_scores(odd), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
+def test_language_model_holds_a_few_numbers_a_word(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "BUCKET_NGRAMS", 20_000)
+    monkeypatch.setattr(ngram, "SLICE", 1 << 13, raising=False)
+    draw = np.random.default_rng(5).zipf(1.3, (10, 20_000)) % 30_000
+    rows = [(i, " ".join(map(str, x)), "en") for i, x in enumerate(draw.tolist())]
+    got, peaks, blocks = scores_here(documents(spark, rows).coalesce(1), monkeypatch)
+    assert len(blocks) == 1 and np.allclose([s for _, s in got], brute_scores(rows))
+    assert peaks["ask"] < 40 * draw.size and peaks["settle"] < 60 * draw.size
+
+
+def test_language_model_adds_up_a_bucket_a_part_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    asked = [np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in (0, 100_000, 1, 200_000)] + [np.array([5], np.uint64)] * 2
+    asked[3] = np.unique(np.concatenate((asked[3], asked[1][::3])))
+    given = [rng.integers(1, 9, len(a)).astype("<u4") for a in asked]
+    counts = Counter()
+    for a, g in zip(asked, given, strict=True):
+        counts.update(dict(zip(a.tolist(), g.tolist(), strict=True)))
+    monkeypatch.setattr(ngram, "ADDED", 1 << 13)
+    tracemalloc.start()
+    got = ngram.added(asked, given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g.tolist() for g in got] == [[counts[h] for h in a.tolist()] for a in asked]
+    assert peak < 12 * sum(map(len, asked))
+    assert [len(g) for g in ngram.added([asked[0]], [given[0]])] == [0]
+
+
 def test_licenses(spark, empty):
     texts = ["Prose.\nReleased under the MIT License.", "mit der Zeit\nund mit ihm", "You need a license to drive.", "Licensed under CC BY-NC 4.0.", None, "", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."]
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licenses.scan(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
