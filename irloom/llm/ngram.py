@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from irloom.llm.common import Numbering, cut, text_batches, text_blocks
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_BYTES = 16 << 20
+#: A block ends at whichever comes first; texts of usual words reach the bytes.
+BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 5_000_000
 #: n-grams of a bucket, about.
 BUCKET_NGRAMS = 3_000_000
 SPARE = 24
@@ -95,15 +96,21 @@ def block_table(docs: DataFrame) -> DataFrame:
     """Texts as blocks of word numbers: block, doc_ids, lengths, words (numbers), known (the words' hashes), n_words."""
     text_batches(docs.sparkSession)
 
+    def row(block, ids, words, number):
+        lengths = np.array([len(w) for w in words], np.int32)
+        known = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([packed(lengths)]), "words": pa.array([packed(np.concatenate(words))]), "known": pa.array([packed(known)]), "n_words": pa.array([int(lengths.sum())], pa.int64())})
+
     def run(batches):
-        part = TaskContext.get().partitionId()
-        for k, (ids, texts) in enumerate(text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES)):
-            number = Numbering()
-            words = [np.fromiter(map(number.__getitem__, words_of(t)), np.int32) for t in texts]
-            lengths = np.array([len(w) for w in words], np.int32)
-            known = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-            row = {"block": pa.array([(part << 24) + k], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([packed(lengths)]), "words": pa.array([packed(np.concatenate(words))]), "known": pa.array([packed(known)]), "n_words": pa.array([int(lengths.sum())], pa.int64())}
-            yield pa.RecordBatch.from_pydict(row)
+        block = TaskContext.get().partitionId() << 24
+        for ids, texts in text_blocks(batches, ["doc_id", "text"], BLOCK_BYTES):
+            first, held, words, number = 0, 0, [], Numbering()
+            for end, text in enumerate(texts, 1):
+                words.append(np.fromiter(map(number.__getitem__, words_of(text)), np.int32))
+                held += len(words[-1])
+                if held >= BLOCK_WORDS or end == len(texts):
+                    yield row(block, ids[first:end], words, number)
+                    block, first, held, words, number = block + 1, end, 0, [], Numbering()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut(rows.mapInArrow(run, "block long, doc_ids array<long>, lengths binary, words binary, known binary, n_words long"))

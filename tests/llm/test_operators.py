@@ -377,6 +377,16 @@ def test_language_model_holds_a_few_numbers_a_word(spark, monkeypatch):
     assert peaks["ask"] < 40 * draw.size and peaks["settle"] < 60 * draw.size
 
 
+def test_language_model_cuts_blocks_of_short_words(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "BLOCK_WORDS", 1000, raising=False)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices("abcdef", k=i % 7 * 50)), "en") for i in range(60)]
+    got, _, blocks = scores_here(documents(spark, rows).coalesce(1), monkeypatch)
+    sizes = blocks.column("n_words").to_pylist()
+    assert len(set(blocks.column("block").to_pylist())) == len(sizes) > 5 and max(sizes) < 1300
+    assert [i for i, _ in got] == list(range(60)) and np.allclose([s for _, s in got], brute_scores(rows))
+
+
 def test_language_model_adds_up_a_bucket_a_part_at_a_time(monkeypatch):
     rng = np.random.default_rng(6)
     asked = [np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in (0, 100_000, 1, 200_000)] + [np.array([5], np.uint64)] * 2
